@@ -8,6 +8,8 @@ from vectile.plans.registry import ORACLES, QUERIES
 
 MODULES = (
     "table_queries",
+    "sampling_queries",
+    "source_queries",
 )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vectile.functions import text as tx
 from vectile.operators import profile as pf
 from vectile.plans.registry import query, table
+from vectile.session import spread
 
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -410,7 +411,7 @@ BITS_SQL = f"""{GRAMS_SQL},
 )
 def fingerprint(spark, sf):
     bits = F.col("bits")
-    return tx.fingerprint(table(spark, sf, "documents"), "doc_id", "text", n_bits=N_BITS).select(
+    return tx.fingerprint(spread(table(spark, sf, "documents")), "doc_id", "text", n_bits=N_BITS).select(
         "doc_id",
         "n_on",
         F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("bit_sum"),
@@ -427,7 +428,7 @@ def fingerprint(spark, sf):
 )
 def fingerprint_provenance(spark, sf):
     return (
-        tx.fingerprint_provenance(table(spark, sf, "documents"), "doc_id", "text", n_bits=N_BITS)
+        tx.fingerprint_provenance(spread(table(spark, sf, "documents")), "doc_id", "text", n_bits=N_BITS)
         .groupBy("doc_id", "bit")
         .agg(F.count(F.lit(1)).alias("n_grams"), F.min("gram").alias("first_gram"))
     )
@@ -440,7 +441,7 @@ def fingerprint_provenance(spark, sf):
                CAST(sum(bit) AS DOUBLE) AS weighted FROM b GROUP BY doc_id""",
 )
 def fingerprint_dense(spark, sf):
-    bits = tx.fingerprint(table(spark, sf, "documents"), "doc_id", "text", n_bits=2048)
+    bits = tx.fingerprint(spread(table(spark, sf, "documents")), "doc_id", "text", n_bits=2048)
     dense = bits.select("doc_id", tx.fingerprint_dense(F.col("bits"), 2048).alias("v"))
     zero = F.lit(0.0)
     return dense.select(
@@ -460,7 +461,7 @@ def fingerprint_dense(spark, sf):
         SELECT doc_id, idx, CASE WHEN norm > 0 THEN round(v / norm, 6) END AS value FROM c JOIN n USING (doc_id)""",
 )
 def embed_hashing(spark, sf):
-    return tx.embed_hashing(table(spark, sf, "documents"), "doc_id", "text").withColumn("value", F.round("value", 6))
+    return tx.embed_hashing(spread(table(spark, sf, "documents")), "doc_id", "text").withColumn("value", F.round("value", 6))
 
 
 @query(
@@ -470,4 +471,4 @@ def embed_hashing(spark, sf):
                i < 512 AS in_limit FROM t""",
 )
 def tokenize_truncate(spark, sf):
-    return tx.tokens(table(spark, sf, "documents"), "doc_id", "text")
+    return tx.tokens(spread(table(spark, sf, "documents")), "doc_id", "text")

@@ -50,3 +50,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder, so that later rounds neither recompute it nor lose it."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share when the input is a file too small to split; large scans pass untouched."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
