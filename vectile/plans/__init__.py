@@ -10,6 +10,7 @@ MODULES = (
     "table_queries",
     "sampling_queries",
     "source_queries",
+    "vector_queries",
 )
 
 
