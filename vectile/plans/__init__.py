@@ -11,6 +11,7 @@ MODULES = (
     "sampling_queries",
     "source_queries",
     "vector_queries",
+    "score_queries",
 )
 
 
