@@ -12,6 +12,7 @@ MODULES = (
     "source_queries",
     "vector_queries",
     "score_queries",
+    "set_queries",
 )
 
 

@@ -8,7 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def build_session(
+    master: str | None = None, shuffle_partitions: int | None = None, driver_memory: str | None = None
+) -> SparkSession:
     """A session with the settings the operators are tuned for; cluster defaults win when unset."""
     b = (
         SparkSession.builder.appName("vectile")
@@ -23,6 +25,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     )
     if master:
         b = b.master(master)
+    if driver_memory:
+        b = b.config("spark.driver.memory", driver_memory)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return b.getOrCreate()
@@ -56,3 +60,8 @@ def spread(df: DataFrame) -> DataFrame:
     """Give every core a share when the input is a file too small to split; large scans pass untouched."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """Never broadcast this side. Size estimates are drawn from the input file, which exploded rows outgrow."""
+    return df.hint("merge")
