@@ -138,7 +138,7 @@ def tile(
     )
     n, width = points.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
     if not n:
-        return Tiles(points.withColumn("block", F.lit(0)), (), None, metric, p)
+        return Tiles(points.withColumns({"cell": F.lit(0), "block": F.lit(0)}), (), None, metric, p)
     rows = block_rows or min(MAX_BLOCK_ROWS, max(64, BLOCK_VALUES // max(width, 1)), max(64, math.ceil(n / 8)))
     prune = metric in METRIC_SPACES
     want = n_cells or min(MAX_CELLS, max(1, n // (4 * rows)))
@@ -185,7 +185,7 @@ def tile(
     slot = F.pmod(F.xxhash64("id"), F.element_at(F.lit(count).cast("array<long>"), F.col("cell") + 1))
     block = (F.element_at(F.lit(first).cast("array<long>"), F.col("cell") + 1) + slot).cast("int")
     gaps = pairwise(space, pivots, pivots, p) if prune else None
-    return Tiles(placed.withColumn("block", block).drop("cell", "reach"), tuple(cells), gaps, metric, p)
+    return Tiles(placed.withColumn("block", block).drop("reach"), tuple(cells), gaps, metric, p)
 
 
 def block_pairs(tiles: Tiles, cell_pairs: Sequence[tuple[Cell, Cell]]) -> DataFrame:

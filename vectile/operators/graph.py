@@ -13,16 +13,26 @@ from vectile.functions.keys import order_key, unit_float
 from vectile.session import cut
 
 
-def connected_components(edges: DataFrame, ids: DataFrame | None = None, *, src: str = "i", dst: str = "j") -> DataFrame:
+SMALL_EDGES = 20_000  # edge sets up to this size are joined on the driver, sparing a dozen tiny jobs
+
+
+def connected_components(
+    edges: DataFrame, ids: DataFrame | None = None, *, src: str = "i", dst: str = "j", small: int = SMALL_EDGES
+) -> DataFrame:
     """(id, component): component = the lowest id reachable. ``ids`` adds the isolated rows.
 
     Alternating stars: every node links its greater neighbours to the lowest it knows, then its lower
     neighbours to the lowest of them, until the edge set is a set of stars. The lowest id of a component is
     only ever a value, and the per-node minimum is combined before the shuffle, so a hub is no hot task.
+    At most ``small`` edges, checked first, are joined on the driver instead.
     """
     state = cut(
         edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct()
     )
+    few = state.limit(small + 1).collect() if small else []
+    if small and len(few) <= small:
+        named = _join_few(edges.sparkSession, few)
+        return named if ids is None else _with_isolated(ids, named)
     seen = None
     while True:
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -42,9 +52,29 @@ def connected_components(edges: DataFrame, ids: DataFrame | None = None, *, src:
     named = state.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = state.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     out = named.unionByName(roots)
-    if ids is None:
-        return out
-    return ids.select("id").join(out, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return out if ids is None else _with_isolated(ids, out)
+
+
+def _with_isolated(ids: DataFrame, named: DataFrame) -> DataFrame:
+    return ids.select("id").join(named, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def _join_few(spark, pairs) -> DataFrame:
+    """(id, component) of a short list of (u, v) rows."""
+    low: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        low.setdefault(x, x)
+        while low[x] != x:
+            low[x] = low[low[x]]
+            x = low[x]
+        return x
+
+    for u, v in pairs:
+        a, b = find(u), find(v)
+        low[max(a, b)] = min(a, b)
+    rows = pd.DataFrame({"id": list(low), "component": [find(x) for x in low]}, dtype="int64")
+    return spark.createDataFrame(rows, "id long, component long")
 
 
 def modularity(edges: DataFrame, labels: DataFrame, *, weight: str = "w") -> DataFrame:
