@@ -100,87 +100,64 @@ def modularity(edges: DataFrame, labels: DataFrame, *, weight: str = "w") -> Dat
     return whole.select((F.col("ins") / (F.col("w2") / 2) - F.col("dd") / (F.col("w2") * F.col("w2"))).alias("modularity"))
 
 
-def graph_communities(edges: DataFrame, *, weight: str = "w", max_rounds: int = 50) -> DataFrame:
-    """(id, cluster): modularity communities by parallel local moving, level after level.
+def graph_communities(edges: DataFrame, *, weight: str = "w", seed: int = 42) -> DataFrame:
+    """(id, cluster): modularity communities, by merging while a merge raises modularity.
 
-    A round lets one half of the nodes (by a hash of id and round) move to the neighbouring community of
-    highest gain; it is kept only if modularity rises. When no half improves, communities become nodes and
-    the next level starts. ``max_rounds`` bounds the rounds of one level; every node keeps a community.
+    Each round a coin makes every community a leaf or a hub. A leaf applies to the neighbouring hub of
+    highest gain; a hub takes its best applicant, and every other whose gain stays positive even if all
+    applicants were taken. So each round raises modularity without having to measure it, many communities
+    merge at once, and no community's neighbours are gathered in one place. Clusters carry their lowest id.
     """
-    level = cut(edges.where("i <> j").groupBy("i", "j").agg(F.sum(weight).alias("w")))
-    nodes = level.select(F.col("i").alias("id")).union(level.select("j")).distinct()
-    member = cut(nodes.select("id", F.col("id").alias("cluster")))
-    top = cut(level.withColumn("self", F.lit(0.0)))
+    state = edges.where("i <> j").groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(
+        F.sum(weight).alias("w")
+    )
+    state = cut(state)
+    ends = state.select(F.col("a").alias("id"), "w").unionByName(state.select(F.col("b").alias("id"), "w"))
+    deg = cut(ends.groupBy("id").agg(F.sum("w").alias("deg")))
+    ids = deg.select("id")
+    twice = deg.agg(F.sum("deg")).first()[0]  # twice the total weight
+    taken, r = [], 0
     while True:
-        moved = _local_moves(top, max_rounds)
-        if moved is None:
-            return member
-        member = cut(
-            member.join(moved.withColumnsRenamed({"id": "cluster", "cluster": "to"}), "cluster").select("id", F.col("to").alias("cluster"))
-        )
-        lab = moved
-        up = (
-            top.join(lab.withColumnsRenamed({"id": "i", "cluster": "ci"}), "i")
-            .join(lab.withColumnsRenamed({"id": "j", "cluster": "cj"}), "j")
-            .groupBy(F.least("ci", "cj").alias("i"), F.greatest("ci", "cj").alias("j")).agg(F.sum("w").alias("w"))
+        rated = cut(
+            state.join(deg.toDF("a", "da"), "a").join(deg.toDF("b", "db"), "b")
+            .where(F.col("w") > F.col("da") * F.col("db") / twice * (1 + 1e-12))
         )
-        top = cut(up)
-
-
-def _local_moves(edges: DataFrame, max_rounds: int) -> DataFrame | None:
-    """Better communities for the nodes of a weighted graph (self loops i = j allowed), or None."""
-    both = edges.select("i", "j", "w").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
-    both = cut(both)  # a self loop appears twice, as it counts twice in a degree
-    deg = cut(both.groupBy("i").agg(F.sum("w").alias("deg")))
-    w2 = deg.agg(F.sum("deg")).first()[0]
-    if not w2:
-        return None
-    labels = cut(deg.select(F.col("i").alias("id"), F.col("i").alias("cluster"), "deg"))
-
-    def quality(lab: DataFrame) -> float:
-        ins = (
-            both.join(lab.select(F.col("id").alias("i"), F.col("cluster").alias("ci")), "i")
-            .join(lab.select(F.col("id").alias("j"), F.col("cluster").alias("cj")), "j")
-            .where("ci = cj").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
-        )
-        tot = lab.groupBy("cluster").agg(F.sum("deg").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0]
-        return ins / w2 - tot / (w2 * w2)
-
-    best = start = quality(labels)
-    idle = 0
-    for r in range(max_rounds):
-        tot = labels.groupBy("cluster").agg(F.sum("deg").alias("t"))
-        links = (
-            both.where("i <> j").join(labels.select(F.col("id").alias("j"), F.col("cluster").alias("c")), "j")
-            .groupBy("i", "c").agg(F.sum("w").alias("k"))
-        )
-        own = labels.select(F.col("id").alias("i"), F.col("cluster").alias("own"), "deg")
-        offer = links.join(own, "i").join(tot.withColumnRenamed("cluster", "c"), "c")
-        # gain of sitting in c, the node itself taken out of its own community's total
-        gain = F.col("k") - F.col("deg") * (F.col("t") - F.when(F.col("c") == F.col("own"), F.col("deg")).otherwise(0.0)) / w2
-        stay = offer.select("i", "own", "c", gain.alias("g"))
-        pick = stay.groupBy("i", "own").agg(
-            F.max(F.struct("g", (-F.col("c")).alias("nc"))).alias("b"),
-            F.max(F.when(F.col("c") == F.col("own"), F.col("g"))).alias("g0"),
+        if rated.isEmpty():
+            break
+        coin = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(seed + r)), F.lit(2))  # noqa: E731, B023
+        first = coin("a") == 1
+        offers = rated.where(coin("a") != coin("b")).select(
+            "w", F.when(first, F.col("a")).otherwise(F.col("b")).alias("leaf"),
+            F.when(first, F.col("b")).otherwise(F.col("a")).alias("hub"),
+            F.when(first, F.col("da")).otherwise(F.col("db")).alias("dl"),
+            F.when(first, F.col("db")).otherwise(F.col("da")).alias("dh"),
         )
-        lone = own.join(tot.withColumnsRenamed({"cluster": "own", "t": "own_t"}), "own").select(
-            "i", (-F.col("deg") * (F.col("own_t") - F.col("deg")) / w2).alias("g_empty")
+        gain = (F.col("w") - F.col("dl") * F.col("dh") / twice).alias("gain")
+        picks = offers.groupBy("leaf").agg(F.max(F.struct(gain, "hub", "dl", "dh", "w")).alias("p")).select("leaf", "p.*")
+        hubs = picks.groupBy("hub").agg(F.sum("dl").alias("all"), F.max(F.struct("gain", "leaf")).alias("best"))
+        sure = F.col("w") > F.col("dl") * (F.col("dh") + F.col("all") - F.col("dl")) / twice
+        moves = cut(picks.join(hubs, "hub").where((F.col("leaf") == F.col("best.leaf")) | sure).select("leaf", "hub"))
+        r += 1
+        if moves.isEmpty():
+            continue  # the coins separated no pair worth merging; throw again
+        taken.append(moves)
+        deg = cut(
+            deg.join(moves.withColumnRenamed("leaf", "id"), "id", "left")
+            .groupBy(F.coalesce("hub", "id").alias("id")).agg(F.sum("deg").alias("deg"))
         )
-        turn = F.pmod(F.xxhash64(F.col("i"), F.lit(r // 2)), F.lit(2)) == (r % 2)
-        moves = pick.join(lone, "i").where(
-            turn & (F.col("b.g") > F.coalesce("g0", "g_empty") + 1e-12)
-        ).select(F.col("i").alias("id"), (-F.col("b.nc")).alias("to"))
-        trial = cut(
-            labels.join(moves, "id", "left").select("id", F.coalesce("to", "cluster").alias("cluster"), "deg")
+        state = (
+            state.join(moves.toDF("a", "ha"), "a", "left").join(moves.toDF("b", "hb"), "b", "left")
+            .select(F.coalesce("ha", "a").alias("x"), F.coalesce("hb", "b").alias("y"), "w").where("x <> y")
+            .groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w"))
         )
-        q = quality(trial)
-        if q > best + 1e-9:
-            labels, best, idle = trial, q, 0
-        else:
-            idle += 1
-            if idle >= 4:
-                break
-    return labels.select("id", "cluster") if best > start + 1e-9 else None
+        state = cut(state)
+    links = None
+    for m in taken:
+        part = m.toDF("i", "j")
+        links = part if links is None else links.unionByName(part)
+    if links is None:
+        return ids.select("id", F.col("id").alias("cluster"))
+    return connected_components(links, ids).withColumnRenamed("component", "cluster")
 
 
 def fuzzy_graph(knn: DataFrame, k: int) -> DataFrame:

@@ -13,6 +13,7 @@ MODULES = (
     "vector_queries",
     "score_queries",
     "set_queries",
+    "run_queries",
 )
 
 
