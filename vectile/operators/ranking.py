@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectile.functions.keys import order_key
-from vectile.session import cut
+from vectile.session import pinned
 
 _KEY, _BUCKET, _BEFORE, _COUNT = "__key", "__bucket", "__before", "__count"
 _ROW_MASK = (1 << 33) - 1  # monotonically_increasing_id keeps the row number in its lower 33 bits
@@ -89,7 +89,7 @@ def take_lowest(
 def _ranged(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Range-partitioned, sorted, written rows with their partition and row number."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fixed = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order))
+    fixed = pinned(df.repartitionByRange(n, *order).sortWithinPartitions(*order))
     return fixed.withColumn("__mid", F.monotonically_increasing_id()).select(
         "*",
         F.shiftright("__mid", 33).cast("int").alias("__part"),

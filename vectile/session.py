@@ -51,7 +51,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, so that later rounds neither recompute it nor lose it."""
+    """Write ``df`` to the shared folder and read it back: rounds neither recompute it nor lose it.
+
+    Unlike a checkpoint, the table forgets the constraints of its plan, which otherwise pile up from round
+    to round, and the planner knows its true size.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """A checkpoint: the partitions and the row order within them stay as they are."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
