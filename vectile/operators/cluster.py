@@ -103,7 +103,9 @@ def kmeans_lloyd(
 # -- Butina --------------------------------------------------------------------------------------
 
 
-def butina(edges: DataFrame, points: DataFrame, members: DataFrame | None = None) -> DataFrame:
+def butina(
+    edges: DataFrame, points: DataFrame, members: DataFrame | None = None, *, by: Sequence[str] = ()
+) -> DataFrame:
     """(id, cluster, centroid) from neighbour pairs (i, j); clusters are numbered from 1.
 
     Points go by (neighbours, id) descending; the first undecided one becomes a centroid and takes its
@@ -111,50 +113,57 @@ def butina(edges: DataFrame, points: DataFrame, members: DataFrame | None = None
     its neighbours are members; a member belongs to its foremost centroid. The result is the sequential one.
 
     ``points`` holds (id, copies); ``members`` (id, rep) spreads the result over copies. Copies share all
-    neighbours, so the highest id of a group decides for the group.
+    neighbours, so the highest id of a group decides for the group. With ``by`` columns in edges and points,
+    independent graphs (say, one per threshold) are clustered in the same rounds.
     """
-    weighted = edges.select("i", "j").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j")))
-    degree = (
-        weighted.join(points.select(F.col("id").alias("j"), F.col("copies").alias("cj")), "j")
-        .groupBy("i").agg(F.sum("cj").alias("n"))
+    by = list(by)
+    both = edges.select(*by, "i", "j").unionByName(edges.select(*by, F.col("j").alias("i"), F.col("i").alias("j")))
+    at = lambda frame, end, *cols: frame.select(*by, F.col("id").alias(end), *cols)
+    degree = both.join(at(points, "j", F.col("copies").alias("cj")), [*by, "j"]).groupBy(*by, F.col("i").alias("id")).agg(
+        F.sum("cj").alias("n")
     )
     nodes = cut(
-        points.join(degree.withColumnRenamed("i", "id"), "id", "left").select(
-            "id", F.struct((F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("deg"), F.col("id").alias("id")).alias("rank")
+        points.join(degree, [*by, "id"], "left").select(
+            *by, "id", F.struct((F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("deg"), F.col("id").alias("id")).alias("rank")
         )
     )
-    graph = cut(weighted.join(nodes.select(F.col("id").alias("j"), F.col("rank").alias("rj")), "j").select("i", "j", "rj"))
-    live, undecided, found = graph, nodes, []
+    graph = cut(both.join(at(nodes, "j", F.col("rank").alias("rj")), [*by, "j"]).select(*by, "i", "j", "rj"))
+    live, undecided, rounds = graph, nodes, []
     while True:
-        top = live.groupBy("i").agg(F.max("rj").alias("best"))
-        centres = cut(
-            undecided.join(top.withColumnRenamed("i", "id"), "id", "left")
-            .where(F.col("best").isNull() | (F.col("rank") > F.col("best"))).select("id", "rank")
+        top = live.groupBy(*by, F.col("i").alias("id")).agg(F.max("rj").alias("best"))
+        ranked = undecided.join(top, [*by, "id"], "left").withColumn(
+            "first", F.col("best").isNull() | (F.col("rank") > F.col("best"))
         )
-        found.append(centres)
-        taken = live.join(centres.select(F.col("id").alias("j")), "j", "left_semi").select(F.col("i").alias("id"))
-        done = cut(taken.unionByName(centres.select("id")).distinct())
-        undecided = cut(undecided.join(done, "id", "left_anti"))
+        beside = (
+            live.join(at(ranked.where("first"), "j"), [*by, "j"], "left_semi")
+            .select(*by, F.col("i").alias("id")).distinct().withColumn("beside", F.lit(True))
+        )
+        state = cut(
+            ranked.join(beside, [*by, "id"], "left").select(*by, "id", "rank", "first", F.coalesce("beside", F.lit(False)).alias("beside"))
+        )
+        rounds.append(state.where("first"))
+        undecided = state.where("not first and not beside").select(*by, "id", "rank")
         if undecided.isEmpty():
             break
         live = cut(
-            live.join(done.withColumnRenamed("id", "i"), "i", "left_anti").join(done.withColumnRenamed("id", "j"), "j", "left_anti")
+            live.join(at(undecided, "i"), [*by, "i"], "left_semi").join(at(undecided, "j"), [*by, "j"], "left_semi")
         )
-    centres = found[0]
-    for more in found[1:]:
+    centres = rounds[0]
+    for more in rounds[1:]:
         centres = centres.unionByName(more)
-    numbered = cut(
-        range_positions(centres, [F.desc("rank.deg"), F.desc("rank.id")]).select(
-            "id", "rank", (F.col("position") + 1).cast("int").alias("cluster")
-        )
-    )
+    order = [*[F.col(c) for c in by], F.desc("rank.deg"), F.desc("rank.id")]
+    placed = range_positions(centres.select(*by, "id", "rank"), order)
+    if by:
+        placed = placed.join(placed.groupBy(*by).agg(F.min("position").alias("start")), by)
+    else:
+        placed = placed.withColumn("start", F.lit(0))
+    numbered = cut(placed.select(*by, "id", (F.col("position") - F.col("start") + 1).cast("int").alias("cluster")))
     joined = (
-        graph.select("i", "j").join(numbered.select(F.col("id").alias("j"), "cluster"), "j")
-        .join(numbered.select(F.col("id").alias("i")), "i", "left_anti")
-        .groupBy("i").agg(F.min_by("j", "cluster").alias("centroid"), F.min("cluster").alias("cluster"))
-        .select(F.col("i").alias("id"), "cluster", "centroid")
+        graph.select(*by, "i", "j").join(at(numbered, "j", "cluster"), [*by, "j"])
+        .join(at(numbered, "i"), [*by, "i"], "left_anti")
+        .groupBy(*by, F.col("i").alias("id")).agg(F.min("cluster").alias("cluster"), F.min_by("j", "cluster").alias("centroid"))
     )
-    out = numbered.select("id", "cluster", F.col("id").alias("centroid")).unionByName(joined)
+    out = numbered.select(*by, "id", "cluster", F.col("id").alias("centroid")).unionByName(joined)
     return _spread(out, members)
 
 

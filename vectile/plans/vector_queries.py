@@ -183,16 +183,14 @@ SWEEP = (1.1, 1.15, 1.2)
 )
 def sweep_thresholds(spark, sf):
     edges, points, members = edges_of(spark, sf, max(SWEEP))
-    edges = cut(edges)  # one join at the widest radius serves the whole sweep
-    rows = None
-    for t in SWEEP:
-        sizes = (
-            cl.butina(edges.where(F.col("d") <= t), points, members).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-            .agg(F.count(F.lit(1)).alias("n_clusters"), F.max("n").alias("largest"), F.count_if(F.col("n") == 1).alias("singletons"))
-            .select(F.lit(t).alias("threshold"), "n_clusters", "largest", "singletons")
-        )
-        rows = sizes if rows is None else rows.unionByName(sizes)
-    return rows
+    # one join at the widest radius; each threshold keeps its share, and all are clustered in the same rounds
+    edges, grid = cut(edges), F.array(*map(F.lit, SWEEP))
+    graphs = edges.withColumn("threshold", F.explode(grid)).where("d <= threshold")
+    labels = cl.butina(graphs, points.withColumn("threshold", F.explode(grid)), members, by=["threshold"])
+    sizes = labels.groupBy("threshold", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.groupBy("threshold").agg(
+        F.count(F.lit(1)).alias("n_clusters"), F.max("n").alias("largest"), F.count_if(F.col("n") == 1).alias("singletons")
+    )
 
 
 REACH_SQL = """r AS (SELECT id, id AS root FROM {nodes} UNION SELECT b.j, r.root FROM r JOIN {edges} b ON b.i = r.id),
