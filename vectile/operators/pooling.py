@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def mean_pool(df: DataFrame, by: str, vec: str, mask: str | None = None) -> DataFrame:
@@ -44,7 +45,7 @@ def coulomb_matrix(atoms: Column) -> Column:
     return F.transform(atoms, lambda a, i: F.transform(atoms, lambda b, j: entry(a, i, b, j)))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def sorted_eigenvalues(matrix: pd.Series) -> pd.Series:
     """Eigenvalues of symmetric matrices, largest absolute value first."""
 
