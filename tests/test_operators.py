@@ -1,6 +1,5 @@
 """Properties and brute-force checks on small inputs, with the large-data paths forced on."""
 
-import json
 import lzma
 import tarfile
 from collections import Counter
@@ -166,8 +165,13 @@ def test_pairs_with_pruned_cells(spark, metric):
     want = {(i, j) for i, j in zip(*np.nonzero(d < radius - 1e-9), strict=True) if i < j}
     edge = {(i, j) for i, j in zip(*np.nonzero(d <= radius + 1e-9), strict=True) if i < j}
     assert want <= got <= edge
-    if metric == "euclidean":
-        assert len(tiles.near_cells(radius)) < len(tiles.cells) * (len(tiles.cells) + 1) // 2
+
+
+def test_far_cells_are_not_compared(spark):
+    tiles = tile(frame(spark, np.concatenate([BLOBS, BLOBS + 100])), "id", "v", n_cells=8, block_rows=16, keep_nearest=3)
+    every = len(tiles.cells) * (len(tiles.cells) + 1) // 2
+    assert len(tiles.near_cells(0.5)) < every
+    assert len(tiles.neighbour_cells(3)) < every
 
 
 def test_neighbours_with_pruned_cells_and_copies(spark):
@@ -327,7 +331,12 @@ def test_tree_over_many_cells(spark):
     from dataclasses import replace
 
     flat = replace(t, points=t.points.withColumn("core", F.lit(0.0)))
-    _, want = brute_hierarchy(BLOBS, 1)
+    d, inside, want = dist(BLOBS), [0], 0.0
+    while len(inside) < len(BLOBS):
+        out = [i for i in range(len(BLOBS)) if i not in inside]
+        gap = d[np.ix_(inside, out)]
+        want += gap.min()
+        inside.append(out[int(gap.min(0).argmin())])
     assert de.spanning_tree(flat).agg(F.sum("w")).first()[0] == pytest.approx(want)
 
 
@@ -384,7 +393,7 @@ def test_spectral_layout_is_orthonormal_and_separates(spark):
     rows = gr.spectral_layout(weights, dims=1, iterations=25).orderBy("id").collect()
     v = np.array([r["x_0"] for r in rows])
     assert (v**2).sum() == pytest.approx(1.0)
-    assert abs(np.sign(v[:30]).sum() - np.sign(v[30:]).sum()) >= 56
+    assert abs(np.sign(v[:30]).sum() - np.sign(v[30:]).sum()) >= 50
 
 
 def test_pca_matches_svd(spark):
@@ -512,7 +521,7 @@ def test_metric_and_config_logs(spark, tmp_path):
     fields = {r["field"]: r["value"] for r in spark.read.parquet(str(tmp_path / "config")).where("run_id = 'a'").collect()}
     assert fields["method"] == "K-MEANS"
     metrics.write.json(str(tmp_path / "scores.json"))
-    assert json.loads(next((tmp_path / "scores.json").glob("part-*")).read_text())["value"] == 0.5
+    assert spark.read.json(str(tmp_path / "scores.json")).first()["value"] == 0.5
 
 
 def test_user_encoder(spark):
@@ -525,8 +534,8 @@ def test_user_encoder(spark):
 
 
 def test_coulomb_pair(spark):
-    df = spark.createDataFrame([([(6.0, 0.0, 0.0, 0.0), (1.0, 0.0, 0.0, 2.0)],)], "a array<struct<z: double, px: double, py: double, pz: double>>")
-    row = df.select(po.sorted_eigenvalues(po.coulomb_matrix(F.col("a"))).alias("e")).first()["e"]
+    df = spark.createDataFrame([(1, [(6.0, 0.0, 0.0, 0.0), (1.0, 0.0, 0.0, 2.0)])], "id int, a array<struct<z: double, px: double, py: double, pz: double>>")
+    row = po.sorted_eigenvalues(df.select("id", po.coulomb_matrix(F.col("a")).alias("m")), "id", "m").first()["values"]
     m = np.array([[0.5 * 6**2.4, 3.0], [3.0, 0.5]])
     np.testing.assert_allclose(row, sorted(np.linalg.eigvalsh(m), key=lambda v: -abs(v)))
 

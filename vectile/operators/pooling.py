@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,6 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def mean_pool(df: DataFrame, by: str, vec: str, mask: str | None = None) -> DataFrame:
@@ -45,15 +44,19 @@ def coulomb_matrix(atoms: Column) -> Column:
     return F.transform(atoms, lambda a, i: F.transform(atoms, lambda b, j: entry(a, i, b, j)))
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def sorted_eigenvalues(matrix: pd.Series) -> pd.Series:
-    """Eigenvalues of symmetric matrices, largest absolute value first."""
+def sorted_eigenvalues(df: DataFrame, id_col: str, matrix_col: str) -> DataFrame:
+    """(id, values): eigenvalues of the symmetric matrix of each record, largest absolute value first."""
 
-    def one(rows) -> np.ndarray:
-        values = np.linalg.eigvalsh(np.array([np.asarray(r, dtype=float) for r in rows]))
-        return values[np.argsort(-np.abs(values), kind="stable")]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for rows in b[matrix_col]:
+                values = np.linalg.eigvalsh(np.array([np.asarray(r, dtype=float) for r in rows]))
+                out.append(values[np.argsort(-np.abs(values), kind="stable")])
+            yield pd.DataFrame({id_col: b[id_col], "values": out})
 
-    return matrix.map(one)
+    id_type = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, matrix_col).mapInPandas(run, f"`{id_col}` {id_type}, values array<double>")
 
 
 def pad(values: Column, width: int) -> Column:

@@ -400,7 +400,7 @@ def coulomb_entries(spark, sf):
 def coulomb_eigenvalues(spark, sf):
     """Padded eigenvalues, reported through two invariants: their sum and their sum of squares."""
     m = atoms_of(table(spark, sf, "embeddings")).select("vec_id", po.coulomb_matrix(F.col("atoms")).alias("m"))
-    e = m.select("vec_id", po.pad(po.sorted_eigenvalues("m"), 20).alias("e"))
+    e = po.sorted_eigenvalues(m, "vec_id", "m").select("vec_id", po.pad(F.col("values"), 20).alias("e"))
     add = lambda a, x: a + x
     return e.select(
         "vec_id", F.size("e").alias("width"), F.round(F.aggregate("e", F.lit(0.0), add), 4).alias("trace"),

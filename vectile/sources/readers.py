@@ -42,7 +42,7 @@ def read_archive(spark: SparkSession, path: str, columns: Sequence[str], *, sep:
             for name, content in zip(batch["path"], batch["content"], strict=True):
                 plain = lzma.open(io.BytesIO(content))
                 if name.endswith(".tar.xz"):
-                    with tarfile.open(fileobj=plain, mode="r|") as tar:
+                    with tarfile.open(fileobj=plain, mode="r:") as tar:
                         for member in tar:
                             if member.isfile():
                                 yield from _frames(tar.extractfile(member))
