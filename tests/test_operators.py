@@ -21,6 +21,7 @@ from vectile.operators import ranking as rk
 from vectile.operators import reduce as rd
 from vectile.operators import sampling as sp
 from vectile.operators import sets as st
+from vectile.operators import blocks
 from vectile.operators.blocks import pairwise, tile
 from vectile.plans.clustering import ClusterRun, RunConfig
 from vectile.sources import readers, sinks
@@ -174,7 +175,8 @@ def test_far_cells_are_not_compared(spark):
     assert len(tiles.neighbour_cells(3)) < every
 
 
-def test_neighbours_with_pruned_cells_and_copies(spark):
+def test_neighbours_with_pruned_cells_and_copies(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "EXACT_VALUES", 100)
     for x in (BLOBS, COPIED):
         tiles = tile(frame(spark, x), "id", "v", n_cells=8, block_rows=16, keep_nearest=6)
         got = {(r["i"], r["rank"]): (r["j"], r["d"]) for r in pr.knn_tiles(tiles, 6).collect()}

@@ -23,6 +23,7 @@ from vectile.session import cut
 MAX_CELLS = 256
 MAX_BLOCK_ROWS = 8192
 BLOCK_VALUES = 4_000_000  # matrix values per block, whatever the vector width
+EXACT_VALUES = 4_000_000  # vector values of candidate pairs measured at once
 TILE = 512  # rows of a block compared at once
 EPS = 1e-9
 METRIC_SPACES = ("euclidean", "sqeuclidean", "cityblock", "chebyshev", "minkowski", "hamming", "jaccard", "canberra")
@@ -76,6 +77,16 @@ def exact_rows(metric: str, a: np.ndarray, b: np.ndarray, p: float = 3.0) -> np.
     return np.concatenate([pairwise(metric, a[i : i + 1], b[i : i + 1], p)[0] for i in range(len(a))])
 
 
+def exact_pairs(
+    metric: str, a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray, p: float = 3.0
+) -> np.ndarray:
+    """Distances of a[x] to b[y], a slice at a time: a block of copies makes every pair a candidate."""
+    if not len(x):
+        return np.zeros(0)
+    step = max(1, EXACT_VALUES // max(a.shape[1], 1))
+    return np.concatenate([exact_rows(metric, a[x[s : s + step]], b[y[s : s + step]], p) for s in range(0, len(x), step)])
+
+
 @dataclass(frozen=True)
 class Cell:
     code: int

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectile.operators.blocks import TILE, Tiles, block_pairs, exact_rows, map_block_pairs, pairwise, tile
+from vectile.operators.blocks import TILE, Tiles, block_pairs, exact_pairs, map_block_pairs, pairwise, tile
 
 SLACK = 1e-7  # the matrix form of a distance may be off by this much; candidates are then measured exactly
 
@@ -42,7 +42,7 @@ def pairs_within(tiles: Tiles, radius: float) -> DataFrame:
             if same:
                 keep = ia[s + x] < ib[y]
                 x, y = x[keep], y[keep]
-            d = exact_rows(metric, part[x], b[y], p)
+            d = exact_pairs(metric, part, x, b, y, p)
             keep = d <= radius
             i, j, d = ia[s + x[keep]], ib[y[keep]], d[keep]
             yield pd.DataFrame({"i": np.minimum(i, j), "j": np.maximum(i, j), "d": d})
@@ -55,7 +55,10 @@ def pairs_within(tiles: Tiles, radius: float) -> DataFrame:
 def similarity_join(
     df: DataFrame, id_col: str, vec_col: str, radius: float, *, metric: str = "euclidean", p: float = 3.0
 ) -> DataFrame:
-    """All pairs of rows within ``radius``, i < j."""
+    """All pairs of rows within ``radius``, i < j.
+
+    Rows that may repeat go through ``collapse_copies`` first, or every pair of copies is a result.
+    """
     return pairs_within(tile(df, id_col, vec_col, metric=metric, p=p), radius)
 
 
@@ -91,7 +94,7 @@ def knn_tiles(tiles: Tiles, k: int) -> DataFrame:
             if same:
                 off = ia[s + x] != ib[y]
                 x, y = x[off], y[off]
-            exact = exact_rows(metric, part[x], b[y], p)
+            exact = exact_pairs(metric, part, x, b, y, p)
             order = np.lexsort((ib[y], exact, x))
             x, y, exact = x[order], y[order], exact[order]
             start = np.searchsorted(x, x, side="left")

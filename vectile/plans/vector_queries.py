@@ -19,12 +19,21 @@ K = 15
 E_SQL = "e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"
 PAIRS_SQL = f"""{E_SQL}, p AS (SELECT a.id AS i, b.id AS j, list_distance(a.v, b.v) AS d, a.v AS av, b.v AS bv
    FROM e a JOIN e b ON a.id < b.id)"""
+# equal vectors meet the pair work once, under their highest id
+DISTINCT_SQL = PAIRS_SQL.replace(
+    "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings",
+    "SELECT max(vec_id) AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings GROUP BY embedding",
+)
 
 
 def vectors(spark, sf):
     return table(spark, sf, "embeddings")
 
 
+def distinct_vectors(spark, sf):
+    return pr.collapse_copies(vectors(spark, sf), "vec_id", "embedding")[0]
+
+
 def edges_of(spark, sf, radius=RADIUS):
     """(edges, representatives with copies, members) at one radius."""
     reps, members = pr.collapse_copies(vectors(spark, sf), "vec_id", "embedding")
@@ -32,43 +41,43 @@ def edges_of(spark, sf, radius=RADIUS):
     return pr.similarity_join(reps, "id", "embedding", radius), reps.select("id", "copies"), cut(members)
 
 
-@query("pair_distance", f"WITH {PAIRS_SQL} SELECT i, j, round(d, 6) AS d FROM p WHERE d <= {RADIUS}")
+@query("pair_distance", f"WITH {DISTINCT_SQL} SELECT i, j, round(d, 6) AS d FROM p WHERE d <= {RADIUS}")
 def pair_distance(spark, sf):
-    return pr.similarity_join(vectors(spark, sf), "vec_id", "embedding", RADIUS).withColumn("d", F.round("d", 6))
+    return pr.similarity_join(distinct_vectors(spark, sf), "id", "embedding", RADIUS).withColumn("d", F.round("d", 6))
 
 
 @query(
     "pair_distance_full",
-    f"""WITH {PAIRS_SQL} SELECT i, j, round(d, 6) AS d FROM p WHERE d <= {RADIUS}
+    f"""WITH {DISTINCT_SQL} SELECT i, j, round(d, 6) AS d FROM p WHERE d <= {RADIUS}
         UNION ALL SELECT j, i, round(d, 6) FROM p WHERE d <= {RADIUS} UNION ALL SELECT id, id, 0 FROM e""",
 )
 def pair_distance_full(spark, sf):
-    ids = vectors(spark, sf).select(F.col("vec_id").alias("id"))
+    ids = distinct_vectors(spark, sf).select("id")
     return pr.both_ways(pair_distance(spark, sf), ids)
 
 
-@query("pair_similarity", f"WITH {PAIRS_SQL} SELECT i, j, round(1 - d, 6) AS s FROM p WHERE d <= {RADIUS}")
+@query("pair_similarity", f"WITH {DISTINCT_SQL} SELECT i, j, round(1 - d, 6) AS s FROM p WHERE d <= {RADIUS}")
 def pair_similarity(spark, sf):
-    close = pr.similarity_join(vectors(spark, sf), "vec_id", "embedding", RADIUS)
+    close = pr.similarity_join(distinct_vectors(spark, sf), "id", "embedding", RADIUS)
     return close.select("i", "j", F.round(1 - F.col("d"), 6).alias("s"))
 
 
 @query(
     "gaussian_similarity",
-    f"WITH {PAIRS_SQL} SELECT i, j, round(exp(-d * d), 6) AS w FROM p WHERE d <= {RADIUS}",
+    f"WITH {DISTINCT_SQL} SELECT i, j, round(exp(-d * d), 6) AS w FROM p WHERE d <= {RADIUS}",
 )
 def gaussian_similarity(spark, sf):
-    close = pr.similarity_join(vectors(spark, sf), "vec_id", "embedding", RADIUS)
+    close = pr.similarity_join(distinct_vectors(spark, sf), "id", "embedding", RADIUS)
     return close.select("i", "j", F.round(F.exp(-F.col("d") * F.col("d")), 6).alias("w"))
 
 
 @query(
     "similarity_join",
-    f"""WITH {PAIRS_SQL} SELECT i, j, round(list_cosine_distance(av, bv), 6) AS d FROM p
+    f"""WITH {DISTINCT_SQL} SELECT i, j, round(list_cosine_distance(av, bv), 6) AS d FROM p
         WHERE list_cosine_distance(av, bv) <= 0.6""",
 )
 def similarity_join(spark, sf):
-    close = pr.similarity_join(vectors(spark, sf), "vec_id", "embedding", 0.6, metric="cosine")
+    close = pr.similarity_join(distinct_vectors(spark, sf), "id", "embedding", 0.6, metric="cosine")
     return close.withColumn("d", F.round("d", 6))
 
 
@@ -89,12 +98,12 @@ METRIC_SQL = {
 
 @query(
     "distance_metrics",
-    f"""WITH {PAIRS_SQL}, z AS (SELECT *, list_transform(list_zip(av, bv), lambda t: [t[1], t[2]]) AS z FROM p WHERE d <= {RADIUS})
+    f"""WITH {DISTINCT_SQL}, z AS (SELECT *, list_transform(list_zip(av, bv), lambda t: [t[1], t[2]]) AS z FROM p WHERE d <= {RADIUS})
         SELECT i, j, {', '.join(f'round({e}, 6) AS {m}' for m, e in METRIC_SQL.items())} FROM z""",
 )
 def distance_metrics(spark, sf):
-    v = vectors(spark, sf).select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    close = pr.similarity_join(vectors(spark, sf), "vec_id", "embedding", RADIUS).select("i", "j")
+    v = distinct_vectors(spark, sf).select("id", F.col("embedding").cast("array<double>").alias("v"))
+    close = pr.similarity_join(distinct_vectors(spark, sf), "id", "embedding", RADIUS).select("i", "j")
     both = close.join(v.toDF("i", "a"), "i").join(v.toDF("j", "b"), "j")
     return both.select(
         "i", "j", *[F.round(vx.distance(m, F.col("a"), F.col("b")), 6).alias(m) for m in vx.METRICS]
@@ -203,8 +212,11 @@ REACH_SQL = """r AS (SELECT id, id AS root FROM {nodes} UNION SELECT b.j, r.root
         SELECT id, component FROM comp""",
 )
 def connected_components(spark, sf):
-    edges = pr.similarity_join(vectors(spark, sf), "vec_id", "embedding", RADIUS)
-    return gr.connected_components(edges, vectors(spark, sf).select(F.col("vec_id").alias("id")))
+    edges, points, members = edges_of(spark, sf)
+    comp = gr.connected_components(edges, points)
+    rows = cut(members.join(comp.withColumnRenamed("id", "rep"), "rep").select("id", "component"))
+    lowest = rows.groupBy("component").agg(F.min("id").alias("low"))
+    return rows.join(lowest, "component").select("id", F.col("low").alias("component"))
 
 
 DBSCAN_SQL = f"""RECURSIVE {ADJ_SQL.format(radius=RADIUS)},
