@@ -135,6 +135,14 @@ def test_no_one_partition_window(spark):
     assert ranked and all("__bucket" in line for line in ranked)
 
 
+def test_filter_and_columns_reach_the_scan(spark):
+    from vectile.plans import all_queries
+
+    text = plan(all_queries()[0]["filter_outlier"](spark, "/root/testdata/sf0.001"))
+    assert "LessThanOrEqual(o_totalprice,400000.0)" in text
+    assert "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in text
+
+
 # -- profile -------------------------------------------------------------------------------------
 
 
@@ -418,6 +426,22 @@ def test_kmeans_and_lloyd(spark):
     assert moved[2] == [99.0, 99.0, 99.0]
 
 
+def test_kmeans_sweep_fits_each_k(spark):
+    df = frame(spark, BLOBS)
+    fits = cl.kmeans_sweep(df, "id", "v", [1, 2, 5, 9])
+    assert fits[1][2] is None
+    assert fits[1][1] > fits[2][1] > fits[5][1] > fits[9][1]
+    for k in (2, 5):
+        centres, inertia, silhouette = fits[k]
+        near = cl.kmeans_assign(df, "id", "v", centres)
+        assert near.agg(F.sum("d2")).first()[0] == pytest.approx(inertia)
+        assert sc.silhouette_sq(df.join(near, "id"), "v", "cluster") == pytest.approx(silhouette)
+        _, other, _ = cl.kmeans_fit(df, "id", "v", n_clusters=k)
+        assert inertia <= 1.15 * other
+    run = ClusterRun(df, RunConfig("k-means", reduction=None), vec_col="v")
+    assert run.sweep([2, 3]).count() == 8
+
+
 # -- sets ----------------------------------------------------------------------------------------
 
 

@@ -8,9 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vectile.functions.keys import order_key
 from vectile.operators.blocks import pairwise
 from vectile.operators.graph import connected_components
 from vectile.operators.ranking import range_positions
@@ -100,6 +102,125 @@ def kmeans_lloyd(
     return c.tolist()
 
 
+SEED_ROWS = 64  # rows drawn per wanted centre for the k-means++ seeding
+
+
+def _seeds(df: DataFrame, id_col: str, vec_col: str, k: int, init_method: str, seed: int) -> np.ndarray:
+    """k starting centres, each prefix of them a seeding too. The draw is bounded by k alone."""
+    many = k if init_method == "random" else SEED_ROWS * k
+    drawn = df.select(id_col, vec_col).orderBy(order_key(id_col, seed), id_col).limit(many).select(vec_col).collect()
+    rows = _centre_matrix([r[0] for r in drawn])
+    if init_method == "random":
+        return rows
+    rng = np.random.default_rng(seed)
+    picks, gap = [0], ((rows - rows[0]) ** 2).sum(1)
+    while len(picks) < k and gap.max() > 0:
+        tries = rng.choice(len(rows), size=2 + int(np.log(k + 1)), p=gap / gap.sum())
+        left = np.minimum(gap[None], pairwise("sqeuclidean", rows[tries], rows))
+        best = int(left.sum(1).argmin())
+        picks.append(int(tries[best]))
+        gap = left[best]
+        gap[picks] = 0.0
+    return rows[picks]
+
+
+def kmeans_sweep(
+    df: DataFrame, id_col: str, vec_col: str, ks: Sequence[int], *, init_method: str = "k-means++", seed: int = 42,
+    max_iter: int = 100, tol: float = 1e-4,
+) -> dict[int, tuple[list[list[float]], float, float | None]]:
+    """{k: (centres, inertia, squared silhouette)} for all k together: a step is one scan for the whole sweep.
+
+    A batch sends one partial sum per centre. A run stops on its own once its centres move by less than
+    ``tol`` of the mean variance. The silhouette (squared Euclidean) follows from cluster sums in one scan more.
+    """
+    if init_method not in INIT_MODES:
+        raise ValueError(f"{init_method} should be within {sorted(INIT_MODES)}")
+    points = df.select(F.col(vec_col).cast("array<double>").alias("vec")).where(F.col("vec").isNotNull()).persist()
+    first = _seeds(df, id_col, vec_col, max(ks), init_method, seed)
+    centres = {k: first[: min(k, len(first))].copy() for k in ks}
+
+    def sums(of: dict[int, np.ndarray]) -> dict[int, dict[str, np.ndarray]]:
+        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            acc = {k: [np.zeros(len(c), "int64"), np.zeros(len(c)), np.zeros(len(c)), np.zeros_like(c)] for k, c in of.items()}
+            for b in batches:
+                if not len(b):
+                    continue
+                x = np.stack(b["vec"].to_numpy())
+                sq = (x * x).sum(1)
+                for k, c in of.items():
+                    d2 = pairwise("sqeuclidean", x, c)
+                    near = d2.argmin(1)
+                    n, sse, norm, total = acc[k]
+                    n += np.bincount(near, minlength=len(c))
+                    sse += np.bincount(near, d2[np.arange(len(x)), near], len(c))
+                    norm += np.bincount(near, sq, len(c))
+                    np.add.at(total, near, x)
+            for k, (n, sse, norm, total) in acc.items():
+                yield pd.DataFrame(
+                    {"k": k, "c": np.arange(len(n)), "n": n, "sse": sse, "sq": norm, "total": list(total)}
+                )
+
+        parts = points.mapInPandas(partial, "k int, c int, n long, sse double, sq double, total array<double>")
+        rows = parts.groupBy("k", "c").agg(
+            F.sum("n").alias("n"), F.sum("sse").alias("sse"), F.sum("sq").alias("sq"),
+            Summarizer.sum(array_to_vector("total")).alias("total"),
+        ).collect()  # one row per centre
+        out = {k: {"n": np.zeros(len(c)), "sse": np.zeros(len(c)), "sq": np.zeros(len(c)), "total": np.zeros_like(c)} for k, c in of.items()}
+        for r in rows:
+            for name in ("n", "sse", "sq"):
+                out[r["k"]][name][r["c"]] = r[name]
+            out[r["k"]]["total"][r["c"]] = r["total"].toArray()
+        return out
+
+    active, spread = set(centres), None
+    for _ in range(max_iter):
+        stats = sums({k: centres[k] for k in active})
+        for k, s in stats.items():
+            if spread is None:
+                n, total = s["n"].sum(), s["total"].sum(0)
+                spread = max((s["sq"].sum() / n - ((total / n) ** 2).sum()) / len(total), 0.0)
+            new = np.where(s["n"][:, None] > 0, s["total"] / np.maximum(s["n"], 1)[:, None], centres[k])
+            if ((new - centres[k]) ** 2).sum() <= tol * spread:
+                active.discard(k)
+            centres[k] = new
+        if not active:
+            break
+    final = sums(centres)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        acc = dict.fromkeys(centres, 0.0)
+        for b in batches:
+            if not len(b):
+                continue
+            x = np.stack(b["vec"].to_numpy())
+            sq = (x * x).sum(1)
+            for k, c in centres.items():
+                n, s = final[k]["n"], final[k]
+                if (n > 0).sum() < 2:
+                    continue
+                size = np.maximum(n, 1)
+                # mean squared distance to a cluster: |x|^2 - 2 x.mean + mean |y|^2
+                d = sq[:, None] - 2 * x @ (s["total"] / size[:, None]).T + (s["sq"] / size)[None]
+                d[:, n == 0] = np.inf
+                near = pairwise("sqeuclidean", x, c).argmin(1)
+                at = np.arange(len(x))
+                own = d[at, near] * n[near] / np.maximum(n[near] - 1, 1)
+                d[at, near] = np.inf
+                other = d.min(1)
+                top = np.maximum(own, other)
+                acc[k] += np.where((n[near] > 1) & (top > 0), (other - own) / np.where(top > 0, top, 1), 0.0).sum()
+        yield pd.DataFrame({"k": list(acc), "s": list(acc.values())})
+
+    scores = {r["k"]: r["s"] for r in points.mapInPandas(score, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()}
+    points.unpersist()
+    out = {}
+    for k in ks:
+        n = final[k]["n"]
+        silhouette = float(scores[k] / n.sum()) if (n > 0).sum() > 1 else None
+        out[k] = (centres[k].tolist(), float(final[k]["sse"].sum()), silhouette)
+    return out
+
+
 # -- Butina --------------------------------------------------------------------------------------
 
 

@@ -98,12 +98,10 @@ def kmeans_fit(spark, sf):
 
 @query("sweep_kmeans")
 def sweep_kmeans(spark, sf):
-    run = ClusterRun(vectors(spark, sf), RunConfig("k-means", reduction=None), label_col="label")
-    rows = []
-    for k in (2, 5, 10):
-        labels, cost = run.cluster(n_clusters=k)
-        silhouette = sc.silhouette_sq(run.rows.join(labels, "id"), "vector", "cluster")
-        rows += [("n_clusters", float(k), "inertia", cost), ("n_clusters", float(k), "silhouette-sq", silhouette)]
+    """Inertia and silhouette for k = 2 .. 19, fitted together."""
+    fits = cl.kmeans_sweep(vectors(spark, sf), "id", "vector", range(2, 20))
+    rows = [("n_clusters", float(k), "inertia", cost) for k, (_, cost, _) in fits.items()]
+    rows += [("n_clusters", float(k), "silhouette-sq", s) for k, (_, _, s) in fits.items()]
     return spark.createDataFrame(rows, "param string, param_value double, metric string, value double")
 
 

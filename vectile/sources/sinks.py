@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import lzma
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -39,8 +40,8 @@ def write_archives(df: DataFrame, path: str, columns: Sequence[str]) -> int:
 
     The file name is the partition number, so a task that is run again replaces its own file.
     """
-    spark = df.sparkSession
-    base = path if "://" in path else f"file://{path}"
+    local = re.sub("^file:/*", "/", path)
+    base = f"file://{local}" if local.startswith("/") else path
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = FileSystem.from_uri(base)
