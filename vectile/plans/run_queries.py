@@ -15,7 +15,7 @@ from vectile.operators import sampling as sp
 from vectile.plans.clustering import ClusterRun, RunConfig
 from vectile.plans.registry import query, table
 from vectile.plans.score_queries import assigned
-from vectile.plans.vector_queries import ADJ_SQL, K, KNN_SQL, RADIUS
+from vectile.plans.vector_queries import K, KNN_SQL, edges_of
 from vectile.session import cut, spread
 
 
@@ -57,8 +57,9 @@ def hdbscan(spark, sf):
 
 @query("graph_communities")
 def graph_communities(spark, sf):
-    close = pr.similarity_join(vectors(spark, sf), "id", "vector", RADIUS)
-    return gr.graph_communities(close.select("i", "j", F.exp(-F.col("d") * F.col("d")).alias("w")))
+    edges, _, members = edges_of(spark, sf)
+    found = gr.graph_communities(edges.select("i", "j", F.exp(-F.col("d") * F.col("d")).alias("w")))
+    return members.join(found.withColumnRenamed("id", "rep"), "rep").select("id", "cluster")
 
 
 @query("fuzzy_graph")

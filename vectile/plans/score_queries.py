@@ -13,7 +13,7 @@ from vectile.operators import pairs as pr
 from vectile.operators import pooling as po
 from vectile.plans.registry import query, table
 from vectile.plans.source_queries import ATOM_SQL, atoms_of
-from vectile.plans.vector_queries import E_SQL, RADIUS
+from vectile.plans.vector_queries import E_SQL, RADIUS, distinct_vectors
 
 WIDTH = 64
 
@@ -191,7 +191,8 @@ def quality_partition_index(spark, sf):
 
 @query(
     "modularity",
-    f"""WITH {E_SQL}, w AS (SELECT a.id AS i, b.id AS j, a.label AS ci, b.label AS cj,
+    f"""WITH e AS (SELECT max(vec_id) AS id, CAST(embedding AS DOUBLE[]) AS v, arg_max(label, vec_id) AS label
+            FROM embeddings GROUP BY embedding), w AS (SELECT a.id AS i, b.id AS j, a.label AS ci, b.label AS cj,
               exp(-list_distance(a.v, b.v) * list_distance(a.v, b.v)) AS w
             FROM e a JOIN e b ON a.id < b.id WHERE list_distance(a.v, b.v) <= {RADIUS}),
         t AS (SELECT sum(w) AS w FROM w),
@@ -202,7 +203,7 @@ def quality_partition_index(spark, sf):
 )
 def modularity(spark, sf):
     emb = table(spark, sf, "embeddings")
-    close = pr.similarity_join(emb, "vec_id", "embedding", RADIUS)
+    close = pr.similarity_join(distinct_vectors(spark, sf), "id", "embedding", RADIUS)
     edges = close.select("i", "j", F.exp(-F.col("d") * F.col("d")).alias("w"))
     labels = emb.select(F.col("vec_id").alias("id"), F.col("label").alias("cluster"))
     return gr.modularity(edges, labels).select(F.round("modularity", 6).alias("modularity"))
