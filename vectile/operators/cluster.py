@@ -50,6 +50,13 @@ def _centre_matrix(centres: Sequence[Sequence[float]]) -> np.ndarray:
     return np.asarray([list(c) for c in centres], dtype=float)
 
 
+def _member(near: np.ndarray, k: int) -> np.ndarray:
+    """0/1 matrix of rows by centres: sums per centre are one product with it."""
+    out = np.zeros((len(near), k))
+    out[np.arange(len(near)), near] = 1.0
+    return out
+
+
 def kmeans_assign(df: DataFrame, id_col: str, vec_col: str, centres: Sequence[Sequence[float]]) -> DataFrame:
     """(id, cluster, d2): nearest centre (the lower number on ties) and its squared distance."""
     c = _centre_matrix(centres)
@@ -82,7 +89,7 @@ def kmeans_lloyd(
                 if len(b):
                     x = np.stack(b["vec"].to_numpy()).astype(float)
                     near = pairwise("sqeuclidean", x, c).argmin(1)
-                    np.add.at(sums, near, x)
+                    sums += _member(near, len(c)).T @ x
                     n += np.bincount(near, minlength=len(c))
             yield pd.DataFrame({"cluster": np.arange(len(c)), "n": n, "sums": list(sums)})
 
@@ -154,7 +161,7 @@ def kmeans_sweep(
                     n += np.bincount(near, minlength=len(c))
                     sse += np.bincount(near, d2[np.arange(len(x)), near], len(c))
                     norm += np.bincount(near, sq, len(c))
-                    np.add.at(total, near, x)
+                    total += _member(near, len(c)).T @ x
             for k, (n, sse, norm, total) in acc.items():
                 yield pd.DataFrame(
                     {"k": k, "c": np.arange(len(n)), "n": n, "sse": sse, "sq": norm, "total": list(total)}

@@ -100,13 +100,14 @@ def modularity(edges: DataFrame, labels: DataFrame, *, weight: str = "w") -> Dat
     return whole.select((F.col("ins") / (F.col("w2") / 2) - F.col("dd") / (F.col("w2") * F.col("w2"))).alias("modularity"))
 
 
-def graph_communities(edges: DataFrame, *, weight: str = "w", seed: int = 42) -> DataFrame:
+def graph_communities(edges: DataFrame, ids: DataFrame | None = None, *, weight: str = "w", seed: int = 42) -> DataFrame:
     """(id, cluster): modularity communities, by merging while a merge raises modularity.
 
     Each round a coin makes every community a leaf or a hub. A leaf applies to the neighbouring hub of
     highest gain; a hub takes its best applicant, and every other whose gain stays positive even if all
     applicants were taken. So each round raises modularity without having to measure it, many communities
     merge at once, and no community's neighbours are gathered in one place. Clusters carry their lowest id.
+    ``ids`` adds the rows without an edge, each on its own.
     """
     state = edges.where("i <> j").groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(
         F.sum(weight).alias("w")
@@ -114,7 +115,7 @@ def graph_communities(edges: DataFrame, *, weight: str = "w", seed: int = 42) ->
     state = cut(state)
     ends = state.select(F.col("a").alias("id"), "w").unionByName(state.select(F.col("b").alias("id"), "w"))
     deg = cut(ends.groupBy("id").agg(F.sum("w").alias("deg")))
-    ids = deg.select("id")
+    ids = deg.select("id") if ids is None else ids.select("id")
     twice = deg.agg(F.sum("deg")).first()[0]  # twice the total weight
     taken, r = [], 0
     while True:

@@ -57,8 +57,8 @@ def hdbscan(spark, sf):
 
 @query("graph_communities")
 def graph_communities(spark, sf):
-    edges, _, members = edges_of(spark, sf)
-    found = gr.graph_communities(edges.select("i", "j", F.exp(-F.col("d") * F.col("d")).alias("w")))
+    edges, points, members = edges_of(spark, sf)
+    found = gr.graph_communities(edges.select("i", "j", F.exp(-F.col("d") * F.col("d")).alias("w")), points)
     return members.join(found.withColumnRenamed("id", "rep"), "rep").select("id", "cluster")
 
 
