@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vectile.llm.packing import pack_documents
 from vectile.llm.substring_dedup import remove_repeats
+from vectile.llm.wavelet import read_tokens, write_tokens
 from vectile.plans.registry import Query, table
+from vectile.session import scratch_path
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +43,22 @@ def query(name: str, sql: str | None = None):
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(table(spark, sf_dir, "documents"), window=35)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def tokenizer(name: str) -> str:
+    """A public vocabulary file; the package that knows the place is only needed by the queries."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op6_packing")
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), size=1024, end_id=0)
+
+
+@query("op8_token_files")
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "wavelet")
+    write_tokens(table(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"), end_id=2, fold=True)
+    return read_tokens(spark, path).withColumnRenamed("id", "doc_id")
