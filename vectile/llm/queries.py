@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vectile.llm.decision_list import BASE, apply_rules
 from vectile.llm.packing import pack_documents
 from vectile.llm.substring_dedup import remove_repeats
 from vectile.llm.wavelet import read_tokens, write_tokens
+from vectile.llm.weak_labels import score_documents, train
 from vectile.plans.registry import Query, table
 from vectile.session import scratch_path
 
@@ -62,3 +64,17 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "wavelet")
     write_tokens(table(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"), end_id=2, fold=True)
     return read_tokens(spark, path).withColumnRenamed("id", "doc_id")
+
+
+@query("op10_quality_rules")
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged, _ = apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *BASE, "base_failed", "kept", "rule")
+
+
+@query("op9_quality_classifier")
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model, _ = train(docs, table(spark, sf_dir, "labels"))
+    scored = score_documents(docs, model).withColumn("score", F.round("score", 6))
+    return scored.select("doc_id", "score", (F.col("score") < 0.5).alias("kept"))
