@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectile.llm.decision_list import BASE, apply_rules
+from vectile.llm.language_id import fit, held_out, predict
 from vectile.llm.packing import pack_documents
 from vectile.llm.substring_dedup import remove_repeats
 from vectile.llm.wavelet import read_tokens, write_tokens
@@ -78,3 +79,10 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, _ = train(docs, table(spark, sf_dir, "labels"))
     scored = score_documents(docs, model).withColumn("score", F.round("score", 6))
     return scored.select("doc_id", "score", (F.col("score") < 0.5).alias("kept"))
+
+
+@query("op3_language_id")
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, ~held_out("doc_id"))
+    return predict(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
