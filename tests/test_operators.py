@@ -254,14 +254,17 @@ def test_dbscan(spark):
         assert [r["cluster"] for r in got] == brute_dbscan(dist(x), 0.4, 5)
 
 
-def test_components_both_paths(spark):
+def test_components(spark, monkeypatch):
     pairs = [(i, i + 1) for i in range(0, 30)] + [(40, i) for i in range(41, 60)] + [(70, 71)]
     edges = spark.createDataFrame([(max(p), min(p)) for p in pairs], "i long, j long")
     want = {**{i: 0 for i in range(31)}, **{i: 40 for i in range(40, 60)}, 70: 70, 71: 70, 80: 80}
     ids = spark.createDataFrame([(i,) for i in want], "id long")
-    for small in (0, 1000):
-        got = {r["id"]: r["component"] for r in gr.connected_components(edges, ids, small=small).collect()}
+    for hub in (gr.HUB, 3):  # with a low bound the star's root is joined in parts
+        monkeypatch.setattr(gr, "HUB", hub)
+        got = {r["id"]: r["component"] for r in gr.connected_components(edges, ids).collect()}
         assert got == want
+    own = spark.createDataFrame([(5, 5), (None, 3), (8, 9)], "i long, j long")
+    assert sorted(tuple(r) for r in gr.connected_components(own).collect()) == [(5, 5), (8, 8), (9, 8)]
 
 
 def brute_hierarchy(x, m, method="eom"):

@@ -13,68 +13,50 @@ from vectile.functions.keys import order_key, unit_float
 from vectile.session import cut
 
 
-SMALL_EDGES = 20_000  # edge sets up to this size are joined on the driver, sparing a dozen tiny jobs
+HUB = 10_000  # a node with more neighbours than this, and than a 250th of all edges, is joined in parts
 
 
-def connected_components(
-    edges: DataFrame, ids: DataFrame | None = None, *, src: str = "i", dst: str = "j", small: int = SMALL_EDGES
-) -> DataFrame:
-    """(id, component): component = the lowest id reachable. ``ids`` adds the isolated rows.
+def connected_components(edges: DataFrame, ids: DataFrame | None = None, *, src: str = "i", dst: str = "j") -> DataFrame:
+    """(id, component): component = the lowest id reachable. ``ids`` adds the isolated rows. Ids of any ordered type.
 
     Alternating stars: every node links its greater neighbours to the lowest it knows, then its lower
-    neighbours to the lowest of them, until the edge set is a set of stars. The lowest id of a component is
-    only ever a value, and the per-node minimum is combined before the shuffle, so a hub is no hot task.
-    At most ``small`` edges, checked first, are joined on the driver instead.
+    neighbours to the lowest of them, until the edge set is a set of stars. Minima are combined before the shuffle,
+    and the joins that hand them back split the neighbours of a hub, such as the root of a large star. Null ends
+    are no edges; a node whose only edge is to itself is a component.
     """
-    state = cut(
-        edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct()
-    )
-    few = state.limit(small + 1).collect() if small else []
-    if small and len(few) <= small:
-        named = _join_few(edges.sparkSession, few)
-        return named if ids is None else _with_isolated(ids, named)
-    seen = None
-    while True:
+    named = edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
+    state = cut(named.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    mark = _mark(state)
+    while mark[0]:
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.where("u > v")
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        )
-        state = cut(small)
-        mark = tuple(state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        large = _with_lowest(both, 2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        small = _with_lowest(large, 2 * mark[0])
+        # v = m keeps the link to the lowest, any other lower neighbour is linked to it
+        state = cut(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct())
+        seen, mark = mark, _mark(state)
         if mark == seen:
             break
-        seen = mark
-    named = state.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = state.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    out = named.unionByName(roots)
-    return out if ids is None else _with_isolated(ids, out)
-
-
-def _with_isolated(ids: DataFrame, named: DataFrame) -> DataFrame:
-    return ids.select("id").join(named, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-
-
-def _join_few(spark, pairs) -> DataFrame:
-    """(id, component) of a short list of (u, v) rows."""
-    low: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        low.setdefault(x, x)
-        while low[x] != x:
-            low[x] = low[low[x]]
-            x = low[x]
-        return x
-
-    for u, v in pairs:
-        a, b = find(u), find(v)
-        low[max(a, b)] = min(a, b)
-    rows = pd.DataFrame({"id": list(low), "component": [find(x) for x in low]}, dtype="int64")
-    return spark.createDataFrame(rows, "id long, component long")
+    out = state.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+    if ids is None:
+        ids = named.where("u = v").select(F.col("u").alias("id")).distinct().join(out, "id", "left_anti")
+        return out.unionByName(ids.select("id", F.col("id").alias("component")))
+    return ids.select("id").join(out, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def _mark(state: DataFrame) -> tuple:
+    return tuple(state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def _with_lowest(pairs: DataFrame, total: int) -> DataFrame:
+    """(u, v, m): m is the lowest v of each u. At most ``total / bound`` = 500 nodes are hubs, so their list is sent."""
+    bound = max(HUB, total // 500)
+    low = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    parts = F.ceil(F.col("n") / bound).cast("int")
+    hubs = F.broadcast(low.where(F.col("n") > bound).select("u", parts.alias("parts")))
+    dealt = pairs.join(hubs, "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    copied = low.select("u", "m", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return dealt.hint("merge").join(copied, ["u", "part"]).select("u", "v", "m")
 
 
 def modularity(edges: DataFrame, labels: DataFrame, *, weight: str = "w") -> DataFrame:
