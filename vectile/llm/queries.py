@@ -9,6 +9,7 @@ from vectile.llm.decision_list import BASE, apply_rules
 from vectile.llm.language_id import fit, held_out, predict
 from vectile.llm.packing import pack_documents
 from vectile.llm.substring_dedup import remove_repeats
+from vectile.llm.url_filter import Rule, judge_urls
 from vectile.llm.wavelet import read_tokens, write_tokens
 from vectile.llm.weak_labels import score_documents, train
 from vectile.plans.registry import Query, table
@@ -86,3 +87,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, ~held_out("doc_id"))
     return predict(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+URL_RULES = [Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/")]
+
+
+@query("op7_url_filter")
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "address_group")
