@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectile.llm.decision_list import BASE, apply_rules
+from vectile.llm.decontaminate import mark_leaks
 from vectile.llm.language_id import fit, held_out, predict
 from vectile.llm.packing import pack_documents
+from vectile.llm.pii import replace_entities
 from vectile.llm.substring_dedup import remove_repeats
 from vectile.llm.url_filter import Rule, judge_urls
 from vectile.llm.wavelet import read_tokens, write_tokens
@@ -96,3 +98,17 @@ URL_RULES = [Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Ru
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict", "address_group")
+
+
+@query("op4_decontamination")
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+PII_KEY = "surrogate key of the registered queries"
+
+
+@query("op5_pii")
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return replace_entities(docs, key=PII_KEY, count_col="n_entities")
