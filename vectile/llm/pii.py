@@ -21,30 +21,35 @@ FEMALE = "Anna Clara Elena Emma Helen Julia Laura Linda Maria Marie Mary Sarah S
 
 _TITLE = rf"(?:{'|'.join(TITLES)})"
 _GIVEN = rf"(?:{'|'.join(MALE + FEMALE)})"
+_KEYWORD = r"(?i:password|passwd|pwd|secret|token|api.?key)"
 _NAME = r"\p{Lu}\p{Ll}{1,30}"
 PATTERNS = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,5}[A-Za-z]{2,24}(?![A-Za-z0-9-])"),
     ("secret", r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"),
-    ("secret", r"(?<=(?i:password|passwd|pwd|secret|token|api.?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_/+-]{8,128}(?![A-Za-z0-9])"),
+    ("secret", rf"(?<=[=:\s\"'])(?=[A-Za-z0-9_/+-]{{8}})(?<={_KEYWORD}[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?)[A-Za-z0-9_/+-]{{8,128}}(?![A-Za-z0-9])"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("card", r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])"),
-    ("phone", r"(?<![\d+.])(?=(?:[ ().+-]{0,3}\d){7})(?:\+?\d{1,3}[ .-]?)?(?:\(\d{2,5}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?!\d)"),
-    ("phone", r"(?<![\d+])\+\d{8,15}(?!\d)"),
-    ("name", rf"(?<!\p{{L}}){_GIVEN}(?=\s{_NAME})"),
-    ("name", rf"(?<=(?<!\p{{L}}){_TITLE}\.?\s){_NAME}"),
-    ("name", rf"(?<=(?<!\p{{L}}){_GIVEN}\s){_NAME}"),
-    ("name", rf"(?<=(?<!\p{{L}}){_TITLE}\.?\s\p{{Lu}}\p{{Ll}}{{1,30}}\s){_NAME}"),
+    ("phone", r"(?<![\d+.])(?:\+?\d{1,3}[ .-]?)?\(\d{2,5}\)[ .-]?\d{2,4}[ .-]\d{3,4}(?!\d)"),
+    ("phone", r"(?<![\d+.])\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\d)"),
+    ("phone", r"(?<![\d+.])(?:1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)"),
+    ("phone", r"(?<![\d+.])\+\d{8,15}(?!\d)"),
+    ("name", rf"(?=\p{{Lu}})(?<!\p{{L}}){_GIVEN}(?=\s{_NAME})"),
+    ("name", rf"(?=\p{{Lu}})(?<=(?<!\p{{L}}){_TITLE}\.?\s){_NAME}"),
+    ("name", rf"(?=\p{{Lu}})(?<=(?<!\p{{L}}){_GIVEN}\s){_NAME}"),
+    ("name", rf"(?=\p{{Lu}})(?<=(?<!\p{{L}}){_TITLE}\.?\s\p{{Lu}}\p{{Ll}}{{1,30}}\s){_NAME}"),
 )
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
-QUICK = rf"[0-9@]|AKIA|(?i:password|passwd|pwd|secret|token|api.?key)|(?<!\p{{L}})(?:{_TITLE}|{_GIVEN})(?!\p{{L}})"  # no entity without
+# No entity without one of these; the first character of each is looked at first, as most texts have none.
+QUICK = (r"[0-9@]", rf"(?=\p{{Lu}})(?<!\p{{L}})(?:{_TITLE}|{_GIVEN})(?!\p{{L}})", rf"[=:](?<={_KEYWORD}[\"']?\s{{0,3}}[=:])", "AKIA")
 
 
 def mentions(text: Column) -> Column:
     """Entities as written, in order."""
     found = F.regexp_extract_all(text, F.lit(ANY), 0)
-    return F.when(text.rlike(QUICK), found).otherwise(F.array().cast("array<string>"))
+    hint = text.rlike(QUICK[0]) | text.rlike(QUICK[1]) | text.rlike(QUICK[2]) | text.contains(QUICK[3])
+    return F.when(hint, found).otherwise(F.array().cast("array<string>"))
 
 
 def entity_type(value: Column) -> Column:
@@ -112,32 +117,48 @@ def _syllables(digest: Column, attempt: Column, cyrillic: Column, female: Column
     return F.when(cyrillic, name("БВГДЖЗКЛМНПРСТФХ", "бвгдзклмнпрстфх", "аеиоу", "нрслмтк", "а")).otherwise(latin)
 
 
-def surrogate(kind: Column, normal: Column, attempt: Column, key: str) -> Column:
-    """The replacement of a normal form, itself a normal form of the type."""
-    seed = F.concat_ws("\x1f", F.lit(key), kind, normal, attempt.cast("string"))
-    digest = F.concat(*[F.sha2(F.concat(seed, F.lit(f"\x1f{i}")), 256) for i in range(8)])
-    at = F.instr(normal, "@")
-    domain = F.substring_index(normal, "@", -1)
-    labels = F.length(domain) - F.length(F.substring_index(domain, ".", -1)) - 1
-    head = F.substring(normal, F.lit(1), at - 1 + labels + 1)
-    email = F.concat(_scrambled(head, digest), F.lit("."), F.substring_index(domain, ".", -1))
-    ip = F.concat_ws(".", *[(_byte(digest, i) % 254 + 1).cast("string") for i in range(4)])
-    digits = _scrambled(normal, digest)
+def items(found: Column) -> Column:
+    """Mentions as structs of value, kind, normal form and attempt 0."""
+    typed = F.transform(found, lambda v: F.struct(v.alias("value"), entity_type(v).alias("kind")))
+    return F.transform(typed, lambda x: F.struct(x["value"].alias("value"), x["kind"].alias("kind"), normal_form(x["kind"], x["value"]).alias("normal"), F.lit(0).alias("attempt")))
+
+
+def draw(entities: Column, key: str) -> Column:
+    """``items`` with a field new: the replacement of the normal form, itself a normal form of the type.
+
+    Step by step, so that a digest or a scrambled form is worked out once for an entity.
+    """
+    seeded = F.transform(entities, lambda x: F.struct(
+        x["value"].alias("value"), x["kind"].alias("kind"), x["normal"].alias("normal"), x["attempt"].alias("attempt"),
+        F.concat_ws("\x1f", F.lit(key), x["kind"], x["normal"], x["attempt"].cast("string")).alias("seed"),
+    ))
+    digested = F.transform(seeded, lambda x: F.struct(
+        x["value"].alias("value"), x["kind"].alias("kind"), x["normal"].alias("normal"), x["attempt"].alias("attempt"),
+        F.concat(*[F.sha2(F.concat(x["seed"], F.lit(f"\x1f{i}")), 256) for i in range(8)]).alias("digest"),
+    ))
+    mixed = F.transform(digested, lambda x: x.withField("mixed", F.when(x["kind"].startswith("given") | (x["kind"] == "surname"), "").when(
+        (x["kind"] == "secret") & x["normal"].rlike("^[0-9a-f]+$"), _scrambled(x["normal"], x["digest"], HEX, HEX)
+    ).otherwise(_scrambled(x["normal"], x["digest"]))))
+    return F.transform(mixed, lambda x: x.withField("new", _shaped(x["kind"], x["normal"], x["attempt"], x["digest"], x["mixed"])))
+
+
+def _shaped(kind: Column, normal: Column, attempt: Column, digest: Column, mixed: Column) -> Column:
+    """What the scrambled form must keep: top-level domain, country code, card validity, key prefix."""
     n = F.length(normal)
-    body = F.concat(F.substring(normal, 1, 1), F.substring(digits, F.lit(2), n - 2))
+    top = F.length(F.substring_index(normal, ".", -1))
+    email = F.concat(F.substring(mixed, F.lit(1), n - top), F.substring_index(normal, ".", -1))
+    ip = F.concat_ws(".", *[(_byte(digest, i) % 254 + 1).cast("string") for i in range(4)])
+    body = F.concat(F.substring(normal, 1, 1), F.substring(mixed, F.lit(2), n - 2))
     closing = F.pmod(-_luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
-    card = F.when(_luhn(normal) % 10 == 0, F.concat(body, closing)).otherwise(F.concat(F.substring(normal, 1, 1), F.substring(digits, F.lit(2), n)))
-    fictional = F.substring(normal, n - 6, F.lit(3)) == "555"
-    area = F.concat(F.when((n == 11) & normal.startswith("1"), F.lit("1")).otherwise(F.substring(digits, 1, 1)), F.substring(digits, F.lit(2), n))
-    phone = F.when(fictional & (n > 7), F.concat(F.substring(area, F.lit(1), n - 7), F.lit("555"), F.substring(digits, n - 3, F.lit(4)))).otherwise(area)
-    hexes = normal.rlike("^[0-9a-f]+$")
-    secret = F.when(normal.startswith("AKIA"), F.concat(F.lit("AKIA"), F.substring(_scrambled(normal, digest), F.lit(5), n)))
-    secret = secret.when(hexes, _scrambled(normal, digest, HEX, HEX)).otherwise(_scrambled(normal, digest))
-    iban = F.concat(F.substring(normal, 1, 2), F.substring(_scrambled(normal, digest), F.lit(3), n))
-    named = _syllables(digest, attempt, normal.rlike(r"\p{IsCyrillic}"), kind == "given_f")
+    card = F.when(_luhn(normal) % 10 == 0, F.concat(body, closing)).otherwise(F.concat(F.substring(normal, 1, 1), F.substring(mixed, F.lit(2), n)))
+    lead = F.when((n == 11) & normal.startswith("1"), F.lit("1")).otherwise(F.substring(mixed, 1, 1))
+    fictional = (n > 7) & (F.substring(normal, n - 6, F.lit(3)) == "555")
+    phone = F.when(fictional, F.concat(lead, F.substring(mixed, F.lit(2), n - 8), F.lit("555"), F.substring(mixed, n - 3, F.lit(4)))).otherwise(F.concat(lead, F.substring(mixed, F.lit(2), n)))
+    secret = F.when(normal.startswith("AKIA"), F.concat(F.lit("AKIA"), F.substring(mixed, F.lit(5), n))).otherwise(mixed)
+    iban = F.concat(F.substring(normal, 1, 2), F.substring(mixed, F.lit(3), n))
     return (
-        F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone)
-        .when(kind == "ssn", digits).when(kind == "iban", iban).when(kind == "secret", secret).otherwise(named)
+        F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", mixed)
+        .when(kind == "iban", iban).when(kind == "secret", secret).otherwise(_syllables(digest, attempt, normal.rlike(r"\p{IsCyrillic}"), kind == "given_f"))
     )
 
 
@@ -150,12 +171,12 @@ def _written(value: Column, kind: Column, new: Column) -> Column:
 
 def redrawn(rows: DataFrame, key: str) -> DataFrame:
     """(kind, normal, attempt) of the entities whose first draw won't do; ``rows`` has an array ``found`` of mentions."""
-    each = rows.select(F.explode("found").alias("value")).groupBy("value").agg(F.lit(1).alias("one"))
-    typed = each.select(entity_type(F.col("value")).alias("kind"), "value")
-    known = cut(typed.select("kind", normal_form(F.col("kind"), F.col("value")).alias("normal")).distinct())
+    each = rows.select(F.explode(items(F.col("found"))).alias("x"))
+    known = cut(each.select("x.kind", "x.normal").distinct())
     state = known.withColumn("attempt", F.lit(0))
     while True:
-        drawn = cut(state.withColumn("new", surrogate(F.col("kind"), F.col("normal"), F.col("attempt"), key)))
+        one = F.array(F.struct(F.col("normal").alias("value"), "kind", "normal", "attempt"))
+        drawn = cut(state.select("kind", "normal", "attempt", F.element_at(draw(one, key), 1)["new"].alias("new")))
         first = drawn.groupBy("new").agg(F.min(F.struct("attempt", "kind", "normal")).alias("first"), F.count(F.lit(1)).alias("n"))
         twice = drawn.join(first.where("n > 1"), "new").where("NOT (kind = first.kind AND normal = first.normal)").select("kind", "normal")
         real = drawn.join(known.select(F.col("normal").alias("new")).distinct(), "new", "left_semi").select("kind", "normal")
@@ -180,7 +201,7 @@ def replace_entities(docs: DataFrame, *, key: str, id_col: str = "doc_id", text_
     names = iter(f"_pii{i}" for i in range(100) if f"_pii{i}" not in docs.columns)
     new = next(names)
     if n == 0:
-        fresh = F.transform(found, lambda m: _replacement(m, F.lit(0), key))
+        fresh = F.transform(draw(items(found), key), lambda x: _written(x["value"], x["kind"], x["new"]))
         out = docs.withColumn(new, fresh)
     else:
         out = _with_exceptions(docs, found, exceptions, n <= SEND_ROWS, key, id_col, text_col, new)
@@ -194,19 +215,14 @@ def replace_entities(docs: DataFrame, *, key: str, id_col: str = "doc_id", text_
     return out.select(*docs.columns, *([count_col] if count_col else []))
 
 
-def _replacement(value: Column, attempt: Column, key: str) -> Column:
-    kind = entity_type(value)
-    return _written(value, kind, surrogate(kind, normal_form(kind, value), attempt, key))
-
-
 def _with_exceptions(docs, found, exceptions, few, key, id_col, text_col, new) -> DataFrame:
     """As above, with the attempts of redrawn entities looked up mention by mention."""
     row = F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
     rows = docs.select(row.alias("row"), found.alias("found")).where(F.size("found") > 0).distinct()
-    each = rows.select("row", F.posexplode("found").alias("at", "value"))
-    each = each.withColumn("kind", entity_type(F.col("value"))).withColumn("normal", normal_form(F.col("kind"), F.col("value")))
+    each = rows.select("row", F.posexplode(items(F.col("found"))).alias("at", "x")).select("row", "at", "x.value", "x.kind", "x.normal")
     tried = each.join(F.broadcast(exceptions) if few else exceptions.hint("merge"), ["kind", "normal"], "left").withColumn("attempt", F.coalesce("attempt", F.lit(0)))
-    fresh = tried.select("row", "at", _written(F.col("value"), F.col("kind"), surrogate(F.col("kind"), F.col("normal"), F.col("attempt"), key)).alias("new"))
+    one = F.element_at(draw(F.array(F.struct("value", "kind", "normal", "attempt")), key), 1)
+    fresh = tried.select("row", "at", "value", "kind", one["new"].alias("new")).select("row", "at", _written(F.col("value"), F.col("kind"), F.col("new")).alias("new"))
     lists = fresh.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias(new))
     keyed = docs.withColumn("_pii_row", row)
     return keyed.join(lists.withColumnRenamed("row", "_pii_row"), "_pii_row", "left").drop("_pii_row")
