@@ -13,7 +13,7 @@ from vectile.llm.pii import replace_entities
 from vectile.llm.substring_dedup import remove_repeats
 from vectile.llm.url_filter import Rule, judge_urls
 from vectile.llm.wavelet import read_tokens, write_tokens
-from vectile.llm.weak_labels import score_documents, train
+from vectile.llm.weak_labels import REJECT_FROM, score_documents, train
 from vectile.plans.registry import Query, table
 from vectile.session import scratch_path
 
@@ -81,7 +81,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model, _ = train(docs, table(spark, sf_dir, "labels"))
     scored = score_documents(docs, model).withColumn("score", F.round("score", 6))
-    return scored.select("doc_id", "score", (F.col("score") < 0.5).alias("kept"))
+    return scored.select("doc_id", "score", (F.col("score") < REJECT_FROM).alias("kept"))
 
 
 @query("op3_language_id")
