@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vectile.llm.decision_list import BASE, apply_rules
 from vectile.llm.decontaminate import mark_leaks
+from vectile.llm.jaccard_join import jaccard_components
 from vectile.llm.language_id import fit, held_out, predict
 from vectile.llm.packing import pack_documents
 from vectile.llm.pii import replace_entities
@@ -112,3 +113,8 @@ PII_KEY = "surrogate key of the registered queries"
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return replace_entities(docs, key=PII_KEY, count_col="n_entities")
+
+
+@query("op2_jaccard_join")
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), size=3, percent=90)
