@@ -76,7 +76,7 @@ def find_leaks(
     few = known.count() <= SEND_ROWS
     hits = seen.join(F.broadcast(known) if few else known.hint("merge"), "window")
     # the first place of each item window is enough; repeats of it in one document are no further evidence
-    hits = hits.groupBy("key", "item", "at").agg(F.min("pos").alias("pos"), F.first("n_windows").alias("n"))
+    hits = cut(hits.groupBy("key", "item", "at").agg(F.min("pos").alias("pos"), F.first("n_windows").alias("n")))
     diagonal = hits.withColumn("shift", F.col("pos") - F.col("at"))
     enough = hits.groupBy("key", "item").agg((F.count(F.lit(1)) / F.first("n")).alias("share")).where(F.col("share") >= share)
     found = cut(diagonal.join(enough.hint("merge"), ["key", "item"]).select("key", "item", "share", "shift", "at"))
