@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vectile.session import cut
 
-SEND_ROWS = 500_000  # redrawn entities up to this many, counted first, go to every task; more are shuffled
+SEND_ROWS = 500_000  # rows with redrawn entities up to this many, counted first, go to every task; more are shuffled
 # Fixed lists: titles, and given names by gender.
 TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Señor Señora Monsieur Madame".split()
 MALE = "Andreas Carlos Daniel David Hans James Jean John José Juan Mark Michael Paul Peter Pierre Robert Thomas William Иван Пётр Сергей".split()
@@ -152,7 +152,7 @@ def _shaped(kind: Column, normal: Column, attempt: Column, digest: Column, mixed
     closing = F.pmod(-_luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
     card = F.when(_luhn(normal) % 10 == 0, F.concat(body, closing)).otherwise(F.concat(F.substring(normal, 1, 1), F.substring(mixed, F.lit(2), n)))
     lead = F.when((n == 11) & normal.startswith("1"), F.lit("1")).otherwise(F.substring(mixed, 1, 1))
-    fictional = (n > 7) & (F.substring(normal, n - 6, F.lit(3)) == "555")
+    fictional = (attempt == 0) & (n > 7) & (F.substring(normal, n - 6, F.lit(3)) == "555")
     phone = F.when(fictional, F.concat(lead, F.substring(mixed, F.lit(2), n - 8), F.lit("555"), F.substring(mixed, n - 3, F.lit(4)))).otherwise(F.concat(lead, F.substring(mixed, F.lit(2), n)))
     secret = F.when(normal.startswith("AKIA"), F.concat(F.lit("AKIA"), F.substring(mixed, F.lit(5), n))).otherwise(mixed)
     iban = F.concat(F.substring(normal, 1, 2), F.substring(mixed, F.lit(3), n))
@@ -196,15 +196,15 @@ def replace_entities(docs: DataFrame, *, key: str, id_col: str = "doc_id", text_
     """
     text = F.col(text_col).cast("string")
     found = mentions(text)
-    exceptions = cut(redrawn(docs.select(F.coalesce(found, F.array().cast("array<string>")).alias("found")), key))
-    n = exceptions.count()
+    row = F.xxhash64(F.col(id_col), text)
+    mentioned = cut(docs.select(row.alias("row"), found.alias("found")).where(F.size("found") > 0))
     names = iter(f"_pii{i}" for i in range(100) if f"_pii{i}" not in docs.columns)
-    new = next(names)
-    if n == 0:
-        fresh = F.transform(draw(items(found), key), lambda x: _written(x["value"], x["kind"], x["new"]))
-        out = docs.withColumn(new, fresh)
-    else:
-        out = _with_exceptions(docs, found, exceptions, n <= SEND_ROWS, key, id_col, text_col, new)
+    new, key_col, other = next(names), next(names), next(names)
+    others = cut(_redrawn_rows(mentioned, key)).toDF(key_col, other)
+    few = others.count() <= SEND_ROWS
+    out = docs.withColumn(key_col, row).join(F.broadcast(others) if few else others.hint("merge"), key_col, "left")
+    fresh = F.transform(draw(items(found), key), lambda x: _written(x["value"], x["kind"], x["new"]))
+    out = out.withColumn(new, F.coalesce(F.col(other), fresh))
     rest = F.split(text, ANY, -1)
     joined = F.array_join(F.zip_with(rest, F.concat(F.col(new), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     some = F.coalesce(F.size(new), F.lit(0))
@@ -215,14 +215,14 @@ def replace_entities(docs: DataFrame, *, key: str, id_col: str = "doc_id", text_
     return out.select(*docs.columns, *([count_col] if count_col else []))
 
 
-def _with_exceptions(docs, found, exceptions, few, key, id_col, text_col, new) -> DataFrame:
-    """As above, with the attempts of redrawn entities looked up mention by mention."""
-    row = F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
-    rows = docs.select(row.alias("row"), found.alias("found")).where(F.size("found") > 0).distinct()
-    each = rows.select("row", F.posexplode(items(F.col("found"))).alias("at", "x")).select("row", "at", "x.value", "x.kind", "x.normal")
-    tried = each.join(F.broadcast(exceptions) if few else exceptions.hint("merge"), ["kind", "normal"], "left").withColumn("attempt", F.coalesce("attempt", F.lit(0)))
-    one = F.element_at(draw(F.array(F.struct("value", "kind", "normal", "attempt")), key), 1)
-    fresh = tried.select("row", "at", "value", "kind", one["new"].alias("new")).select("row", "at", _written(F.col("value"), F.col("kind"), F.col("new")).alias("new"))
-    lists = fresh.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias(new))
-    keyed = docs.withColumn("_pii_row", row)
-    return keyed.join(lists.withColumnRenamed("row", "_pii_row"), "_pii_row", "left").drop("_pii_row")
+def _redrawn_rows(mentioned: DataFrame, key: str) -> DataFrame:
+    """(row, replacements in order) of the rows that mention an entity whose first draw won't do."""
+    exceptions = cut(redrawn(mentioned, key))
+    one = F.posexplode(items(F.col("found"))).alias("at", "x")
+    each = mentioned.distinct().select("row", one).select("row", "at", "x.value", "x.kind", "x.normal")
+    tried = each.join(exceptions, ["kind", "normal"], "left")
+    hit = tried.where("attempt IS NOT NULL").select("row").distinct()
+    tried = tried.join(hit, "row", "left_semi").withColumn("attempt", F.coalesce("attempt", F.lit(0)))
+    drawn = F.element_at(draw(F.array(F.struct("value", "kind", "normal", "attempt")), key), 1)
+    fresh = tried.select("row", "at", "value", "kind", drawn["new"].alias("new")).select("row", "at", _written(F.col("value"), F.col("kind"), F.col("new")).alias("new"))
+    return fresh.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias("new"))
