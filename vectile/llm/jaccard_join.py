@@ -257,7 +257,7 @@ def _measured(points: DataFrame, big: DataFrame) -> DataFrame:
     order = Window.partitionBy("region").orderBy("c", "class")
     pivots = drawn.withColumn("c", chance).withColumn("k", F.row_number().over(order)).where(F.col("k") <= PIVOTS)
     salts = F.ceil(F.col("n") / REGION).cast("int")
-    pivots = pivots.select("region", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "k", "class", "grams")
+    pivots = cut(pivots.select("region", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "k", "class", "grams"))
     dealt = large.withColumn("salt", F.pmod(F.xxhash64("class"), salts).cast("int")).select("region", "salt", "class", "grams")
 
     def measure(mine: pa.Table, theirs: pa.Table) -> pa.Table:
