@@ -577,3 +577,56 @@ def test_dataset_catalog_picks_tasks_by_name(spark):
     assert Counter(r["split"] for r in rows) == {"train": 16, "valid": 2, "test": 2}
     with pytest.raises(ValueError):
         readers.load_dataset(spark, "", catalog, "other")
+
+
+def test_run_and_sweep_agree(spark):
+    df = frame(spark, BLOBS).withColumnRenamed("v", "vector")
+    for n_init in (1, 2):
+        run = ClusterRun(df, RunConfig("k-means", {"n_clusters": 4, "n_init": n_init}, reduction=None))
+        one = {(r["metric"], round(r["value"], 9)) for r in run.run()[1].collect() if r["value"] is not None}
+        many = run.sweep([2, 4])
+        assert one == {(r["metric"], round(r["value"], 9)) for r in many.where("param_value = 4").collect() if r["value"] is not None}
+
+
+def test_weighted_pairs_lose_no_copy(spark):
+    x = np.round(np.random.default_rng(8).random((60, 2)), 1)
+    reps, members = pr.collapse_copies(frame(spark, x), "id", "v")
+    top = {r["id"]: r["rep"] for r in members.collect()}
+    got = {(r["i"], r["j"]): r["n_pairs"] for r in pr.weighted_pairs(pr.similarity_join(reps, "id", "v", 0.25), reps).collect()}
+    want, d = {}, dist(x)
+    for i in range(len(x)):
+        for j in range(i):
+            if d[i, j] <= 0.25:
+                key = tuple(sorted((top[i], top[j])))
+                want[key] = want.get(key, 0) + 1
+    assert len(set(top.values())) < len(x) and got == want
+
+
+def test_short_family_is_an_error(spark):
+    df = spark.createDataFrame([(k, "t", 1, "a" if k else "b") for k in range(9)], "id long, text string, labels int, fam string")
+    assert rd_load(df, ["a"], 6).count() == 6
+    with pytest.raises(ValueError, match="too few"):
+        rd_load(df, ["a", "b"], 6)
+
+
+def rd_load(df, families, n):
+    from vectile.sources.readers import load_multi_family
+
+    return load_multi_family(df, "id", "fam", families, sample_size=n, strict=True)
+
+
+def test_scores_as_json(spark, tmp_path):
+    from vectile.sources.sinks import write_scores_json
+
+    rows = spark.createDataFrame([("auc", 0.5), ("f1", 1.0)], "metric string, value double")
+    paths = {write_scores_json(rows, str(tmp_path), "eval") for _ in range(2)}
+    assert len(paths) == 2 and all(sorted(map(tuple, spark.read.json(p).collect())) == [("auc", 0.5), ("f1", 1.0)] for p in paths)
+
+
+def test_nan_is_missing(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (float("nan"),), (None,)], "x double")
+    from vectile.operators.profile import histogram, minmax_scale
+
+    got = sorted(str(r["x"]) for r in minmax_scale(df, ["x"]).collect())
+    assert got == ["0.0", "0.5", "1.0", "None", "nan"]
+    assert sorted((r["bin"], r["n"]) for r in histogram(df, ["x"], 2).collect()) == [(0, 1), (1, 2)]

@@ -9,10 +9,10 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectile.functions.keys import order_key
+from vectile.functions.keys import order_key, unit_float
 from vectile.operators.blocks import pairwise
 from vectile.operators.graph import connected_components
 from vectile.operators.ranking import range_positions
@@ -109,22 +109,98 @@ def kmeans_lloyd(
     return c.tolist()
 
 
-SEED_ROWS = 64  # rows drawn per wanted centre for the k-means++ seeding
+SEED_ROUNDS = 4  # oversampling rounds over all rows; each draws twice as many rows as centres are wanted
 
 
-def _seeds(df: DataFrame, id_col: str, vec_col: str, k: int, init_method: str, seed: int) -> np.ndarray:
-    """k starting centres, each prefix of them a seeding too. The draw is bounded by k alone."""
-    many = k if init_method == "random" else SEED_ROWS * k
-    drawn = df.select(id_col, vec_col).orderBy(order_key(id_col, seed), id_col).limit(many).select(vec_col).collect()
-    rows = _centre_matrix([r[0] for r in drawn])
+def _seeds(df: DataFrame, id_col: str, vec_col: str, ks: Sequence[int], init_method: str, seed: int) -> dict[int, np.ndarray]:
+    """Starting centres of every k, drawn from all rows in the same scans; a k's draw doesn't depend on the others.
+
+    Oversampling as in k-means||: a round draws 2k rows with a chance in proportion to their squared distance from
+    the rows drawn so far (the least keys -log(u) / distance, with u a hash of id and round). All rows then count as
+    weights of their nearest drawn row, and weighted k-means finds k centres of them. Fewer different rows, fewer centres.
+    """
     if init_method == "random":
-        return rows
+        rows = df.select(id_col, vec_col).where(F.col(vec_col).isNotNull()).orderBy(order_key(id_col, seed), id_col).limit(max(ks)).collect()
+        first = _centre_matrix([r[vec_col] for r in rows])
+        return {k: first[: min(k, len(first))].copy() for k in ks}
+    points = df.select(F.col(id_col).cast("string").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where(F.col("vec").isNotNull())
+    start = points.orderBy(order_key("id", seed), "id").limit(1).collect()
+    if not start:
+        return {k: np.zeros((0, 0)) for k in ks}
+    drawn = {k: np.array([start[0]["vec"]], dtype=float) for k in ks}
+    for r in range(SEED_ROUNDS):
+
+        def draw(batches: Iterator[pd.DataFrame], now: dict = dict(drawn)) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if not len(b):
+                    continue
+                x, u = np.stack(b["vec"].to_numpy()), np.maximum(b["u"].to_numpy(), 1e-300)
+                for k, c in now.items():
+                    gap = pairwise("sqeuclidean", x, c).min(1)
+                    gap[gap <= 1e-12 * np.maximum((x * x).sum(1), 1e-300)] = 0.0  # copies of drawn rows
+                    with np.errstate(divide="ignore"):
+                        key = np.where(gap > 0, -np.log(u) / gap, np.inf)
+                    at = np.argsort(key, kind="stable")[: 2 * k]
+                    at = at[np.isfinite(key[at])]
+                    yield pd.DataFrame({"k": k, "key": key[at], "vec": list(x[at])})
+
+        one = points.withColumn("u", unit_float(F.concat(F.col("id"), F.lit(f":{seed}:{r}"))))
+        order = Window.partitionBy("k").orderBy("key")
+        picks = one.mapInPandas(draw, "k int, key double, vec array<double>").withColumn("rn", F.row_number().over(order))
+        for k, rows in _grouped(picks.where(F.col("rn") <= 2 * F.col("k")).orderBy("k", "key").collect()).items():  # 2k rows of each k
+            drawn[k] = np.concatenate([drawn[k], _centre_matrix(rows)])
+    drawn = {k: np.unique(c, axis=0) for k, c in drawn.items()}
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        acc = {k: np.zeros(len(c), dtype="int64") for k, c in drawn.items()}
+        for b in batches:
+            if len(b):
+                x = np.stack(b["vec"].to_numpy())
+                for k, c in drawn.items():
+                    acc[k] += np.bincount(pairwise("sqeuclidean", x, c).argmin(1), minlength=len(c))
+        for k, n in acc.items():
+            yield pd.DataFrame({"k": k, "c": np.arange(len(n)), "n": n})
+
+    weights = {k: np.zeros(len(c)) for k, c in drawn.items()}
+    for r in points.select("vec").mapInPandas(weigh, "k int, c int, n long").groupBy("k", "c").agg(F.sum("n").alias("n")).collect():
+        weights[r["k"]][r["c"]] = r["n"]
+    return {k: _recluster(c, weights[k], k, seed) for k, c in drawn.items()}
+
+
+def _recluster(rows: np.ndarray, weight: np.ndarray, k: int, seed: int, starts: int = 10, steps: int = 20) -> np.ndarray:
+    """Weighted k-means of the drawn rows: the best of some starts."""
+    best = None
+    for start in range(starts):
+        c = _plus_plus(rows, weight, k, seed + 1000 * start)
+        for _ in range(steps):
+            near = pairwise("sqeuclidean", rows, c).argmin(1)
+            mass = np.bincount(near, weights=weight, minlength=len(c))
+            total = _member(near, len(c)).T @ (rows * weight[:, None])
+            c = np.where(mass[:, None] > 0, total / np.maximum(mass, 1)[:, None], c)
+        cost = float((pairwise("sqeuclidean", rows, c).min(1) * weight).sum())
+        if best is None or cost < best[0]:
+            best = (cost, c)
+    return best[1]
+
+
+def _grouped(rows) -> dict[int, list]:
+    out: dict[int, list] = {}
+    for r in rows:
+        out.setdefault(r["k"], []).append(r["vec"])
+    return out
+
+
+def _plus_plus(rows: np.ndarray, weight: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Greedy k-means++ over weighted rows."""
     rng = np.random.default_rng(seed)
-    picks, gap = [0], ((rows - rows[0]) ** 2).sum(1)
-    while len(picks) < k and gap.max() > 0:
-        tries = rng.choice(len(rows), size=2 + int(np.log(k + 1)), p=gap / gap.sum())
+    picks = [int(rng.choice(len(rows), p=weight / weight.sum()))]
+    gap = pairwise("sqeuclidean", rows, rows[picks]).min(1)
+    gap[picks] = 0.0
+    while len(picks) < k and (gap * weight).max() > 0:
+        share = gap * weight
+        tries = rng.choice(len(rows), size=2 + int(np.log(k + 1)), p=share / share.sum())
         left = np.minimum(gap[None], pairwise("sqeuclidean", rows[tries], rows))
-        best = int(left.sum(1).argmin())
+        best = int((left * weight[None]).sum(1).argmin())
         picks.append(int(tries[best]))
         gap = left[best]
         gap[picks] = 0.0
@@ -143,8 +219,7 @@ def kmeans_sweep(
     if init_method not in INIT_MODES:
         raise ValueError(f"{init_method} should be within {sorted(INIT_MODES)}")
     points = df.select(F.col(vec_col).cast("array<double>").alias("vec")).where(F.col("vec").isNotNull()).persist()
-    first = _seeds(df, id_col, vec_col, max(ks), init_method, seed)
-    centres = {k: first[: min(k, len(first))].copy() for k in ks}
+    centres = _seeds(df, id_col, vec_col, list(dict.fromkeys(ks)), init_method, seed)
 
     def sums(of: dict[int, np.ndarray]) -> dict[int, dict[str, np.ndarray]]:
         def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -153,25 +153,21 @@ def fuzzy_graph(knn: DataFrame, k: int) -> DataFrame:
 
     @F.pandas_udf("struct<rho: double, sigma: double>")
     def fit(d: pd.Series) -> pd.DataFrame:
-        rho = np.empty(len(d))
-        sigma = np.empty(len(d))
+        width = max((len(r) for r in d), default=0)
+        x = np.full((len(d), width), np.inf)  # rows with fewer neighbours end in weights of zero
         for n, row in enumerate(d):
-            x = np.sort(np.asarray(row, dtype=float))
-            pos = x[x > 0]
-            rho[n] = pos[0] if len(pos) else 0.0
-            gap = np.maximum(x - rho[n], 0.0)
-            lo, hi, mid = 0.0, np.inf, 1.0
-            for _ in range(64):
-                if abs((s := np.exp(-gap / mid).sum()) - goal) < 1e-9:
-                    break
-                if s > goal:
-                    hi = mid
-                    mid = (lo + hi) / 2
-                else:
-                    lo = mid
-                    mid = mid * 2 if np.isinf(hi) else (lo + hi) / 2
-            sigma[n] = max(mid, 1e-9)
-        return pd.DataFrame({"rho": rho, "sigma": sigma})
+            x[n, : len(row)] = row
+        rho = np.where(x > 0, x, np.inf).min(1, initial=np.inf)
+        rho = np.where(np.isfinite(rho), rho, 0.0)
+        gap = np.maximum(x - rho[:, None], 0.0)
+        lo, hi, mid = np.zeros(len(d)), np.full(len(d), np.inf), np.ones(len(d))
+        for _ in range(64):  # all rows of the batch at once
+            s = np.exp(-gap / mid[:, None]).sum(1)
+            open_, over = np.abs(s - goal) >= 1e-9, s > goal
+            hi, lo = np.where(open_ & over, mid, hi), np.where(open_ & ~over, mid, lo)
+            step = np.where(np.isinf(hi), mid * 2, (lo + np.where(np.isinf(hi), 0.0, hi)) / 2)
+            mid = np.where(open_, step, mid)
+        return pd.DataFrame({"rho": rho, "sigma": np.maximum(mid, 1e-9)})
 
     rows = knn.groupBy("i").agg(F.sort_array(F.collect_list("d")).alias("ds"))  # k values per row
     fitted = rows.select("i", fit("ds").alias("f")).select("i", "f.rho", "f.sigma")

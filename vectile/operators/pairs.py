@@ -62,6 +62,20 @@ def similarity_join(
     return pairs_within(tile(df, id_col, vec_col, metric=metric, p=p), radius)
 
 
+def weighted_pairs(edges: DataFrame, reps: DataFrame) -> DataFrame:
+    """Edges between representatives with ``n_pairs``: the pairs of rows each stands for.
+
+    A group of copies adds one row (id, id, 0) for the pairs within it, so that nothing is lost and no group of
+    copies is written out as all its pairs. ``reps`` and its members come from ``collapse_copies``.
+    """
+    copies = reps.select("id", "copies")
+    ends = edges.join(copies.toDF("i", "ci"), "i").join(copies.toDF("j", "cj"), "j")
+    across = ends.select("i", "j", "d", (F.col("ci") * F.col("cj")).alias("n_pairs"))
+    n = F.col("copies")
+    own = reps.where(n > 1).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("d"), (n * (n - 1) / 2).cast("bigint").alias("n_pairs"))
+    return across.unionByName(own)
+
+
 def both_ways(edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """Ordered pairs; with ``ids``, the zero diagonal too. The sparse form of a square distance matrix."""
     out = edges.unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))

@@ -27,10 +27,6 @@ def cast_labels(df: DataFrame, cols: Sequence[str], dataset_type: str) -> DataFr
     return df.withColumns({c: F.col(c).try_cast(target) for c in cols})
 
 
-def cast_numeric(df: DataFrame, target: str = "float") -> DataFrame:
-    return df.withColumns({c: F.col(c).cast(target) for c in numeric_columns(df)})
-
-
 def drop_constant_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Drop the columns of zero variance: one aggregate pass, then a plain projection."""
     row = df.agg(*[F.var_samp(c).alias(c) for c in cols]).first()
@@ -38,14 +34,14 @@ def drop_constant_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def _scalar_range(df: DataFrame, cols: Sequence[str]) -> Column:
-    """One struct of (lo_<c>, hi_<c>) as an uncorrelated scalar subquery: no join."""
-    stats = df.agg(*[F.min(c).cast("double").alias(f"lo_{c}") for c in cols],
-                   *[F.max(c).cast("double").alias(f"hi_{c}") for c in cols])
+    """One struct of (lo_<c>, hi_<c>) as an uncorrelated scalar subquery: no join. NaN is a missing value."""
+    x = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in cols}
+    stats = df.agg(*[F.min(x[c]).alias(f"lo_{c}") for c in cols], *[F.max(x[c]).alias(f"hi_{c}") for c in cols])
     return stats.select(F.struct(*stats.columns)).scalar()
 
 
 def minmax_scale(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(x - min) / (max - min); a constant column becomes 0."""
+    """(x - min) / (max - min) over the values that are there; a constant column becomes 0, null and NaN stay."""
     ranged = df.withColumn("__r", _scalar_range(df, cols))
     scaled = {
         c: F.coalesce(
@@ -160,7 +156,7 @@ def describe_exact(df: DataFrame, cols: Sequence[str], probs: Sequence[float] =
 
 
 def histogram(df: DataFrame, cols: Sequence[str], bins: int = 10) -> DataFrame:
-    """(column_name, bin, n): equal-width bins between min and max, the last one closed."""
+    """(column_name, bin, n): equal-width bins between min and max, the last one closed. Null and NaN are in none."""
     ranged = df.withColumn("__r", _scalar_range(df, cols))
 
     def bin_of(c: str) -> Column:
@@ -169,7 +165,7 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 10) -> DataFrame:
         return F.least(F.coalesce(at, F.lit(0)), F.lit(bins - 1)).cast("int")
 
     cells = F.array(
-        *[F.struct(F.lit(c).alias("column_name"), F.when(F.col(c).isNotNull(), bin_of(c)).alias("bin")) for c in cols]
+        *[F.struct(F.lit(c).alias("column_name"), F.when(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")), bin_of(c)).alias("bin")) for c in cols]
     )
     return (
         ranged.select(F.inline(cells)).where(F.col("bin").isNotNull())
@@ -242,11 +238,14 @@ def attach(left: DataFrame, right: DataFrame, id_col: str, how: str = "inner") -
 
 
 def dedupe_keep_first(df: DataFrame, key: str, id_col: str) -> DataFrame:
-    """The row of lowest id per key. The minimum is taken before the shuffle, so hot keys stay small."""
-    rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.min_by(F.struct(*rest), id_col).alias("__s")).select(
-        *[F.col(key) if c == key else F.col(f"__s.{c}").alias(c) for c in df.columns]
-    )
+    """The row of lowest id per key; ids are unique.
+
+    Only a digest of the key and the id are aggregated, before the shuffle too, so hot keys stay small and long keys
+    aren't carried; the rows come back by id.
+    """
+    digest = F.when(F.col(key).isNotNull(), F.sha2(F.col(key).cast("string"), 256))
+    first = df.groupBy(digest.alias("__k")).agg(F.min(id_col).alias(id_col)).select(id_col)
+    return df.join(first, id_col, "left_semi").select(*df.columns)
 
 
 def factorize(df: DataFrame, col: str, id_col: str) -> DataFrame:

@@ -185,7 +185,7 @@ def metric_log(spark, sf):
             F.col("lang").alias("param_value"), F.lit("mean_chars").alias("metric"), "value",
         )
     )
-    means.write.mode("append").partitionBy("run_id").parquet(path)
+    sinks.log_metrics(means.drop("run_id"), path, F.concat(F.lit("run-"), "param_value"))
     return spark.read.parquet(path).select("run_id", "param", "param_value", "metric", "value")
 
 

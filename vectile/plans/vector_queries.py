@@ -19,11 +19,10 @@ K = 15
 E_SQL = "e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)"
 PAIRS_SQL = f"""{E_SQL}, p AS (SELECT a.id AS i, b.id AS j, list_distance(a.v, b.v) AS d, a.v AS av, b.v AS bv
    FROM e a JOIN e b ON a.id < b.id)"""
-# equal vectors meet the pair work once, under their highest id
-DISTINCT_SQL = PAIRS_SQL.replace(
-    "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings",
-    "SELECT max(vec_id) AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings GROUP BY embedding",
-)
+# all pairs of rows, counted under the highest ids of their groups of copies
+WEIGHED_SQL = f"""{PAIRS_SQL}, rep AS (SELECT id, max(id) OVER (PARTITION BY v) AS rep FROM e),
+   w AS (SELECT least(ri.rep, rj.rep) AS i, greatest(ri.rep, rj.rep) AS j, p.d, p.av, p.bv
+         FROM p JOIN rep ri ON ri.id = p.i JOIN rep rj ON rj.id = p.j)"""
 
 
 def vectors(spark, sf):
@@ -41,44 +40,57 @@ def edges_of(spark, sf, radius=RADIUS):
     return pr.similarity_join(reps, "id", "embedding", radius), reps.select("id", "copies"), cut(members)
 
 
-@query("pair_distance", f"WITH {DISTINCT_SQL} SELECT i, j, round(d, 6) AS d FROM p WHERE d <= {RADIUS}")
+def weighed(spark, sf, radius=RADIUS, **options):
+    """(i, j, d, n_pairs): see ``pairs.weighted_pairs``."""
+    reps = cut(distinct_vectors(spark, sf))
+    return pr.weighted_pairs(pr.similarity_join(reps, "id", "embedding", radius, **options), reps)
+
+
+@query(
+    "pair_distance",
+    f"WITH {WEIGHED_SQL} SELECT i, j, round(min(d), 6) AS d, count(*) AS n_pairs FROM w WHERE d <= {RADIUS} GROUP BY i, j",
+)
 def pair_distance(spark, sf):
-    return pr.similarity_join(distinct_vectors(spark, sf), "id", "embedding", RADIUS).withColumn("d", F.round("d", 6))
+    return weighed(spark, sf).withColumn("d", F.round("d", 6))
 
 
 @query(
     "pair_distance_full",
-    f"""WITH {DISTINCT_SQL} SELECT i, j, round(d, 6) AS d FROM p WHERE d <= {RADIUS}
-        UNION ALL SELECT j, i, round(d, 6) FROM p WHERE d <= {RADIUS} UNION ALL SELECT id, id, 0 FROM e""",
+    f"""WITH {WEIGHED_SQL}, o AS (SELECT i, j, d FROM w WHERE d <= {RADIUS} UNION ALL SELECT j, i, d FROM w WHERE d <= {RADIUS}
+        UNION ALL SELECT rep, rep, 0 FROM rep) SELECT i, j, round(min(d), 6) AS d, count(*) AS n_pairs FROM o GROUP BY i, j""",
 )
 def pair_distance_full(spark, sf):
-    ids = distinct_vectors(spark, sf).select("id")
-    return pr.both_ways(pair_distance(spark, sf), ids)
+    """Ordered pairs of rows, each row with itself too: a group of n copies has n * n."""
+    reps = cut(distinct_vectors(spark, sf))
+    across = pr.weighted_pairs(pr.similarity_join(reps, "id", "embedding", RADIUS), reps).where("i <> j")
+    back = across.select(F.col("j").alias("i"), F.col("i").alias("j"), "d", "n_pairs")
+    own = reps.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("d"), (F.col("copies") * F.col("copies")).alias("n_pairs"))
+    return across.unionByName(back).unionByName(own).withColumn("d", F.round("d", 6))
 
 
-@query("pair_similarity", f"WITH {DISTINCT_SQL} SELECT i, j, round(1 - d, 6) AS s FROM p WHERE d <= {RADIUS}")
+@query(
+    "pair_similarity",
+    f"WITH {WEIGHED_SQL} SELECT i, j, round(1 - min(d), 6) AS s, count(*) AS n_pairs FROM w WHERE d <= {RADIUS} GROUP BY i, j",
+)
 def pair_similarity(spark, sf):
-    close = pr.similarity_join(distinct_vectors(spark, sf), "id", "embedding", RADIUS)
-    return close.select("i", "j", F.round(1 - F.col("d"), 6).alias("s"))
+    return weighed(spark, sf).select("i", "j", F.round(1 - F.col("d"), 6).alias("s"), "n_pairs")
 
 
 @query(
     "gaussian_similarity",
-    f"WITH {DISTINCT_SQL} SELECT i, j, round(exp(-d * d), 6) AS w FROM p WHERE d <= {RADIUS}",
+    f"WITH {WEIGHED_SQL} SELECT i, j, round(exp(-min(d) * min(d)), 6) AS w, count(*) AS n_pairs FROM w WHERE d <= {RADIUS} GROUP BY i, j",
 )
 def gaussian_similarity(spark, sf):
-    close = pr.similarity_join(distinct_vectors(spark, sf), "id", "embedding", RADIUS)
-    return close.select("i", "j", F.round(F.exp(-F.col("d") * F.col("d")), 6).alias("w"))
+    return weighed(spark, sf).select("i", "j", F.round(F.exp(-F.col("d") * F.col("d")), 6).alias("w"), "n_pairs")
 
 
 @query(
     "similarity_join",
-    f"""WITH {DISTINCT_SQL} SELECT i, j, round(list_cosine_distance(av, bv), 6) AS d FROM p
-        WHERE list_cosine_distance(av, bv) <= 0.6""",
+    f"""WITH {WEIGHED_SQL} SELECT i, j, round(min(list_cosine_distance(av, bv)), 6) AS d, count(*) AS n_pairs FROM w
+        WHERE list_cosine_distance(av, bv) <= 0.6 GROUP BY i, j""",
 )
 def similarity_join(spark, sf):
-    close = pr.similarity_join(distinct_vectors(spark, sf), "id", "embedding", 0.6, metric="cosine")
-    return close.withColumn("d", F.round("d", 6))
+    return weighed(spark, sf, 0.6, metric="cosine").withColumn("d", F.round("d", 6))
 
 
 METRIC_SQL = {
@@ -90,7 +102,7 @@ METRIC_SQL = {
     "cosine": "list_cosine_distance(av, bv)",
     "correlation": """list_cosine_distance(list_transform(av, lambda x: x - list_avg(av)), list_transform(bv, lambda x: x - list_avg(bv)))""",
     "hamming": "list_avg(list_transform(z, lambda x: CASE WHEN x[1] <> x[2] THEN 1.0::DOUBLE ELSE 0 END))",
-    "jaccard": "1.0::DOUBLE",
+    "jaccard": "len(list_filter(z, lambda x: x[1] <> x[2]))::DOUBLE / len(list_filter(z, lambda x: x[1] <> 0 OR x[2] <> 0))",
     "canberra": "list_sum(list_transform(z, lambda x: abs(x[1] - x[2]) / (abs(x[1]) + abs(x[2]))))",
     "braycurtis": """list_sum(list_transform(z, lambda x: abs(x[1] - x[2]))) / list_sum(list_transform(z, lambda x: abs(x[1] + x[2])))""",
 }
@@ -98,15 +110,15 @@ METRIC_SQL = {
 
 @query(
     "distance_metrics",
-    f"""WITH {DISTINCT_SQL}, z AS (SELECT *, list_transform(list_zip(av, bv), lambda t: [t[1], t[2]]) AS z FROM p WHERE d <= {RADIUS})
-        SELECT i, j, {', '.join(f'round({e}, 6) AS {m}' for m, e in METRIC_SQL.items())} FROM z""",
+    f"""WITH {WEIGHED_SQL}, z AS (SELECT i, j, any_value(av) AS av, any_value(bv) AS bv, min(d) AS d, count(*) AS n_pairs,
+               list_transform(list_zip(any_value(av), any_value(bv)), lambda t: [t[1], t[2]]) AS z FROM w WHERE d <= {RADIUS} GROUP BY i, j)
+        SELECT i, j, n_pairs, {', '.join(f'round({e}, 6) AS {m}' for m, e in METRIC_SQL.items())} FROM z""",
 )
 def distance_metrics(spark, sf):
-    v = distinct_vectors(spark, sf).select("id", F.col("embedding").cast("array<double>").alias("v"))
-    close = pr.similarity_join(distinct_vectors(spark, sf), "id", "embedding", RADIUS).select("i", "j")
-    both = close.join(v.toDF("i", "a"), "i").join(v.toDF("j", "b"), "j")
+    v = cut(distinct_vectors(spark, sf)).select("id", F.col("embedding").cast("array<double>").alias("v"))
+    both = weighed(spark, sf).select("i", "j", "n_pairs").join(v.toDF("i", "a"), "i").join(v.toDF("j", "b"), "j")
     return both.select(
-        "i", "j", *[F.round(vx.distance(m, F.col("a"), F.col("b")), 6).alias(m) for m in vx.METRICS]
+        "i", "j", "n_pairs", *[F.round(vx.distance(m, F.col("a"), F.col("b")), 6).alias(m) for m in vx.METRICS]
     )
 
 

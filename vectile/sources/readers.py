@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import io
 import lzma
+import re
 import tarfile
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,13 +36,15 @@ def read_csv(
 def read_archive(spark: SparkSession, path: str, columns: Sequence[str], *, sep: str = "\t") -> DataFrame:
     """Tab-separated members of .xz and .tar.xz files, all columns as text. One task per archive.
 
-    xz cannot be split, so the archive is the unit; it is decompressed as a stream, in batches of rows.
+    xz cannot be split, so the archive is the unit. Only its path is a row; the task opens it and decompresses it
+    as a stream, in batches of rows, so its size doesn't matter.
     """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                plain = lzma.open(io.BytesIO(content))
+            for name in batch["path"]:
+                fs, inner = FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+                plain = lzma.open(fs.open_input_file(unquote(inner)))  # Spark names files by their encoded path
                 if name.endswith(".tar.xz"):
                     with tarfile.open(fileobj=plain, mode="r:") as tar:
                         for member in tar:
@@ -54,7 +58,7 @@ def read_archive(spark: SparkSession, path: str, columns: Sequence[str], *, sep:
             stream, sep=sep, dtype=str, names=list(columns), header=0, chunksize=8192, keep_default_na=False
         )
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").load(path).select("path")
     return files.mapInPandas(rows, ", ".join(f"`{c}` string" for c in columns))
 
 
@@ -107,12 +111,19 @@ def load_family(
 
 def load_multi_family(
     df: DataFrame, id_col: str, family_col: str, families: Sequence[str], *, sample_size: int = 3000, seed: int = 42,
-    convert_labels: bool = False,
+    convert_labels: bool = False, strict: bool = False,
 ) -> DataFrame:
-    """int(sample_size / families) positive rows of each family, labelled by family, in one pass."""
+    """int(sample_size / families) positive rows of each family, labelled by family, in one pass.
+
+    A family with fewer positive rows gives all it has; with ``strict`` it is an error.
+    """
     names = sorted(families)
     quota = int(sample_size / len(names))
     rows = df.where((F.col("labels") == 1) & F.col(family_col).isin(names))
+    if strict:
+        sizes = {r[family_col]: r["count"] for r in rows.groupBy(family_col).count().collect()}  # a row per family named
+        if short := {f: sizes.get(f, 0) for f in names if sizes.get(f, 0) < quota}:
+            raise ValueError(f"{quota} positive rows of each family are asked for; too few in {short}")
     out = take_lowest(rows, id_col, quota, seed=seed, by=[family_col]).select(
         id_col, "text", F.col(family_col).alias("labels")
     )

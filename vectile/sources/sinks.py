@@ -6,11 +6,12 @@ import dataclasses
 import lzma
 import re
 from collections.abc import Iterator, Sequence
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyarrow.fs import FileSystem
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -61,8 +62,16 @@ def write_archives(df: DataFrame, path: str, columns: Sequence[str]) -> int:
     return written or 0
 
 
-def log_metrics(metrics: DataFrame, path: str, run_id: str) -> str:
-    """Append (param, param_value, metric, value) rows of one run."""
+def write_scores_json(scores: DataFrame, folder: str, name: str, *, at: datetime | None = None) -> str:
+    """Write scores as JSON lines into a folder of their own, named after ``name`` and the time; returns its path."""
+    stamp = (at or datetime.now(UTC)).strftime("%Y-%m-%d-%H-%M-%S-%f")
+    path = f"{folder.rstrip('/')}/{name}-{stamp}"
+    scores.write.json(path, mode="errorifexists")
+    return path
+
+
+def log_metrics(metrics: DataFrame, path: str, run_id: str | Column) -> str:
+    """Append (param, param_value, metric, value) rows of one run, or of the run that a column names."""
     metrics.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
     return path
 
