@@ -405,7 +405,7 @@ def test_urls(spark):
         if rule:
             assert r["verdict"] == rule.verdict
     says = {r["page_id"]: r["verdict"] for r in out}
-    assert says[2] == "block" and says[7] == "allow" and says[14] == "block" and says[16] == "block" and {says[k] for k in (3, 4, 5, 8, 13)} == {"allow"}
+    assert says[2] == "block" and says[7] == "allow" and says[14] == "block" and says[16] == "block" and says[8] == "block" and {says[k] for k in (3, 4, 5, 13)} == {"allow"}  # 8 is 9 with another ending
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert judge_urls(empty, URL_RULES).count() == 0
 
