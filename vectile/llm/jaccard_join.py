@@ -56,8 +56,8 @@ def gram_sets(col, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _classes(row: np.ndarray, gram: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(size, 63-bit name) of each row's set; equal sets have equal names. Two of a billion different sets share a name
-    with a chance below one in ten; the sets themselves are compared wherever texts are linked."""
+    """(size, 63-bit name) of each row's set; equal sets have equal names, and sets of one name count as equal. That
+    any two of a billion different sets share a name has a chance of 5 %."""
     n = np.bincount(row, minlength=rows)
     total = np.zeros(len(gram) + 1, dtype=np.uint64)
     np.cumsum(W.mix(gram), out=total[1:])
