@@ -20,7 +20,8 @@ from vectile.llm.blobs import blob_rows, by_bucket, pack, parts_for, text_bytes,
 DEPTH = 2  # sketch rows
 BLOCK_BITS = 20
 MAX_BITS = 29  # a merged sketch row has at most 2**29 bits; the broadcast is DEPTH * 64 MB at most
-FLUSH = 1_500_000  # values a task gathers before it hands them on
+PIECE_BYTES = 2 << 20
+FLUSH = 800_000  # values a task gathers before it hands them on
 GROUP_BYTES = 8 << 20
 
 _SKETCH = pa.schema([("block", pa.int32()), ("cells", pa.binary())])
@@ -75,7 +76,7 @@ def _sketch(rows: DataFrame, window: int, anchor: int, span: int, bits: int) ->
     def count(batches):
         held, size = [], 0
         for batch in batches:
-            for part in W.pieces(batch, "text"):
+            for part in W.pieces(batch, "text", PIECE_BYTES):
                 w = W.words_of(part.column("text"))
                 runs, least, ok = _anchors(w, W.word_hashes(w), window, anchor, span)
                 if not len(ok):
@@ -132,7 +133,7 @@ def _find(window: int, anchor: int, span: int, bits: int, planes, n: int, k: int
     def find(batches):
         held, size = [], 0
         for batch in batches:
-            for part in W.pieces(batch, "text"):
+            for part in W.pieces(batch, "text", PIECE_BYTES):
                 w = W.words_of(part.column("text"))
                 h = W.word_hashes(w)
                 _, least, ok = _anchors(w, h, window, anchor, span)
@@ -219,7 +220,7 @@ def _strip(window: int):
         key, at = key[order], at[order]
         n_words, n_removed, texts, ids = [], [], [], []
         for batch in docs.combine_chunks().to_batches():
-            for part in W.pieces(batch, "text"):
+            for part in W.pieces(batch, "text", PIECE_BYTES):
                 w = W.words_of(part.column("text"))
                 own = part.column("key").to_numpy(zero_copy_only=False)
                 lo, hi = np.searchsorted(key, own, "left"), np.searchsorted(key, own, "right")
