@@ -52,6 +52,8 @@ def _with_lowest(pairs: DataFrame, total: int) -> DataFrame:
     """(u, v, m): m is the lowest v of each u. At most ``total / bound`` = 500 nodes are hubs, so their list is sent."""
     bound = max(HUB, total // 500)
     low = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    if total <= bound:  # no node can have more neighbours than there are
+        return pairs.hint("merge").join(low.select("u", "m"), "u").select("u", "v", "m")
     parts = F.ceil(F.col("n") / bound).cast("int")
     hubs = F.broadcast(low.where(F.col("n") > bound).select("u", parts.alias("parts")))
     dealt = pairs.join(hubs, "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
