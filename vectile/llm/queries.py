@@ -103,7 +103,8 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_decontamination")
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    marked = mark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return marked.withColumn("kept", ~F.col("leaked"))
 
 
 PII_KEY = "surrogate key of the registered queries"
