@@ -36,3 +36,40 @@ def test_odd_rows(spark, odd, none):
         assert stage(spark, odd, SF).count() >= 0
         assert stage(spark, none.select(*odd.columns), SF).count() == 0
     assert P.personal_data(spark, odd, SF).count() == odd.count()
+
+
+def brute_groups(texts, size=5, percent=80):
+    """Least place of each text's group, linked by distinct word runs."""
+    split = [re.sub(r"[A-Z]", lambda m: m[0].lower(), t or "") for t in texts]
+    split = [tuple(x for x in re.split(r"[\x20\x09-\x0D]+", t) if x) for t in split]
+    runs = [{w[k : k + size] for k in range(max(len(w) - size, 0) + 1)} if w else set() for w in split]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    at = {}
+    for k, r in enumerate(runs):
+        for x in r:
+            at.setdefault(x, []).append(k)
+    for i, j in {(i, j) for k in at.values() for i in k for j in k if i < j}:
+        common = len(runs[i] & runs[j])
+        if 100 * common >= percent * (len(runs[i]) + len(runs[j]) - common):
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    return [find(k) for k in range(len(texts))]
+
+
+def test_near_copies_are_groups_at_five_words(spark):
+    import corpus_pipeline as P
+
+    docs = P.table(spark, SF.replace("0.001", "0.01"), "documents")
+    rows = docs.toPandas().sort_values("doc_id")
+    ids = rows["doc_id"].tolist()
+    stay = {ids[k] for k, r in enumerate(brute_groups(rows["text"].tolist())) if k == r}
+    assert {r["doc_id"] for r in P.near_copies(spark, docs, SF).select("doc_id").collect()} == stay
+    text = " ".join(f"w{k}" for k in range(100))
+    made = spark.createDataFrame([(1, text), (2, text + " " + " ".join(f"v{k}" for k in range(20)))], "doc_id long, text string")
+    assert [r["doc_id"] for r in P.near_copies(spark, made, SF).collect()] == [1]
