@@ -30,13 +30,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked at 0.8 over five-word runs, that of the least id; texts without words are no copies.
+    """One row of each group linked at 0.8 over five-word runs, that of the least id; texts without words are no copies.
 
-    Rows with the same id and text are one document; of rows with the same id and other texts, each is judged.
+    Rows are judged one by one: of rows that share an id, only the copies go, and rows without an id go before others.
     """
-    found = jaccard_components(docs, size=5, percent=80)
-    gone = found.where("doc_id IS NOT NULL AND component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    # ordered as a copy is chosen: least id, null last, then by content; the number tells equal rows apart
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*docs.columns).alias("content"), "_row")
+    found = jaccard_components(rows.select(order.alias("_at"), "text"), id_col="_at", size=5, percent=80)
+    gone = found.where("component_id._row <> _at._row").select("_at._row")
+    return rows.join(gone.hint("merge"), "_row", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

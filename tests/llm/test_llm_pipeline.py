@@ -73,3 +73,13 @@ def test_near_copies_are_groups_at_five_words(spark):
     text = " ".join(f"w{k}" for k in range(100))
     made = spark.createDataFrame([(1, text), (2, text + " " + " ".join(f"v{k}" for k in range(20)))], "doc_id long, text string")
     assert [r["doc_id"] for r in P.near_copies(spark, made, SF).collect()] == [1]
+
+
+def test_near_copies_of_rows(spark):
+    import corpus_pipeline as P
+
+    text = [" ".join(f"{c}{k}" for k in range(30)) for c in "abcd"]
+    rows = [(1, text[0]), (2, text[0]), (2, text[1]), (3, text[2]), (3, text[2]), (None, text[2]), (None, text[3]), (None, text[3]), (None, text[3]), (4, ""), (4, None)]
+    left = P.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), SF)
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in left.collect())
+    assert got == sorted([(1, text[0]), (2, text[1]), (3, text[2]), (0, text[3]), (4, ""), (4, "")])
