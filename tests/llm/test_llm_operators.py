@@ -207,6 +207,22 @@ def test_leaks(spark, docs, odd, none):
     assert mark_leaks(none, asked).count() == 0 and mark_leaks(odd, asked.limit(0)).where("leaked").count() == 0
 
 
+def test_leaks_at_any_place(spark):
+    from vectile.llm.decontaminate import mark_leaks
+
+    items = [
+        "add 3 and 5 to get the first sum then add 4 and 6 to get the first sum then add 7 and 9 to get the first sum",
+        "what is the sum of 12 and 7 in base 10 what is the sum of 15 and 9 in base 8", QUESTION,
+    ]
+    part = "she saw how Mary met John at the market and bought 20 apples for 20 dollars then she gave Mary 20 apples"
+    far = " ".join(f"x{k}" for k in range(50))
+    grown = QUESTION.replace("and bought", "and then quite happily bought")
+    texts = [*items, f"{part} {far} {items[2]}", f"{part} {far} {grown}", f"{items[0]} {far} {items[0]}", items[0].replace("4 and 6", "3 and 3").replace("7 and 9", "5 and 5"), part]
+    want = [[0], [1], [2], [2], [2], [0], [], []]
+    got = mark_leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert {r["doc_id"]: r["items"] for r in got.collect()} == dict(enumerate(want))
+
+
 # op5 -----------------------------------------------------------------------------------------------------------------
 
 

@@ -14,6 +14,7 @@ from vectile.session import cut
 
 WINDOW = 8
 LITERALS = 4  # words a benchmark window must have that are no placeholders
+ANYWHERE = -(1 << 62)  # in place of a shift: the windows' first places
 SEND_ROWS = 2_000_000  # benchmark windows up to this many, counted first, go to every task; more are shuffled
 NUM, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 # Fixed unit words.
@@ -66,7 +67,8 @@ def find_leaks(
     """(key, item, share, slots, same): items of which a row holds at least ``share`` of the windows.
 
     ``key`` is ``row_key`` of the row. ``slots``: placeholders of the item in matched windows; ``same``: those whose
-    value is mapped as most often for it, in both directions; at least ``consistent`` of them must be. Items under
+    value is mapped as most often for it, in both directions; at least ``consistent`` of them must be. Share and slots
+    are those of one alignment, the best that passes. Items under
     eight words are not looked for; null and short texts hold nothing; an item that occurs more often counts once.
     """
     known = cut(benchmark_windows(benchmark, item_col=item_col, text_col=item_text_col))
@@ -75,30 +77,49 @@ def find_leaks(
     seen = hashed.select("key", F.posexplode(_windows(F.col("h"))).alias("pos", "window"))
     few = known.count() <= SEND_ROWS
     hits = seen.join(F.broadcast(known) if few else known.hint("merge"), "window")
-    # the first place of each item window is enough; repeats of it in one document are no further evidence
-    hits = cut(hits.groupBy("key", "item", "at").agg(F.min("pos").alias("pos"), F.first("n_windows").alias("n")))
-    diagonal = hits.withColumn("shift", F.col("pos") - F.col("at"))
-    enough = hits.groupBy("key", "item").agg((F.count(F.lit(1)) / F.first("n")).alias("share")).where(F.col("share") >= share)
-    found = cut(diagonal.join(enough.hint("merge"), ["key", "item"]).select("key", "item", "share", "shift", "at"))
+    hits = hits.groupBy("key", "item", "at", "pos").agg(F.first("n_windows").alias("n")).withColumn("shift", F.col("pos") - F.col("at"))
+    found = cut(_alignments(cut(hits), share))
     # slots of the matched windows, item value against document value
     text = F.col(item_text_col).cast("string")
     token = F.transform(template(text), lambda x, k: F.struct(x.alias("kind"), F.get(originals(text), k).alias("value")))
     slots = benchmark.where(text.isNotNull()).select(F.col(item_col).alias("item"), F.posexplode(token).alias("place", "x"))
     slots = cut(slots.where(F.col("x.kind").isin(NUM, NAME, UNIT)).select("item", "place", "x.kind", "x.value").distinct())
-    spread = found.select("key", "item", "shift", F.explode(F.sequence(F.col("at"), F.col("at") + WINDOW - 1)).alias("place")).distinct()
-    asked = cut(spread.join(slots, ["item", "place"]).select("key", "item", "kind", "value", (F.col("place") + F.col("shift")).alias("pos")))
+    spread = found.select("key", "item", "start", "shift", F.explode(F.sequence(F.col("at"), F.col("at") + WINDOW - 1)).alias("place")).distinct()
+    asked = cut(spread.join(slots, ["item", "place"]).select("key", "item", "start", "kind", "value", (F.col("place") + F.col("shift")).alias("pos")))
     needed = asked.select("key").distinct()
     words = rows.join(needed, "key", "left_semi").distinct().select("key", F.posexplode(originals(F.col("text"))).alias("pos", "other"))
     clean = lambda c: F.regexp_replace(F.lower(c), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}%]+$", "")
-    pairs = asked.join(words, ["key", "pos"]).select("key", "item", "kind", clean(F.col("value")).alias("value"), clean(F.col("other")).alias("other"))
-    many = pairs.groupBy("key", "item", "kind", "value", "other").agg(F.count(F.lit(1)).alias("n"))
-    there = Window.partitionBy("key", "item", "kind", "value").orderBy(F.desc("n"), "other")
-    back = Window.partitionBy("key", "item", "kind", "other").orderBy(F.desc("n"), "value")
+    pairs = asked.join(words, ["key", "pos"]).select("key", "item", "start", "kind", clean(F.col("value")).alias("value"), clean(F.col("other")).alias("other"))
+    many = pairs.groupBy("key", "item", "start", "kind", "value", "other").agg(F.count(F.lit(1)).alias("n"))
+    there = Window.partitionBy("key", "item", "start", "kind", "value").orderBy(F.desc("n"), "other")
+    back = Window.partitionBy("key", "item", "start", "kind", "other").orderBy(F.desc("n"), "value")
     many = many.withColumn("a", F.row_number().over(there)).withColumn("b", F.row_number().over(back))
-    fit = many.groupBy("key", "item").agg(F.sum("n").alias("slots"), F.sum(F.when((F.col("a") == 1) & (F.col("b") == 1), F.col("n")).otherwise(0)).alias("same"))
-    out = found.select("key", "item", "share").distinct().join(fit, ["key", "item"], "left")
-    out = out.select("key", "item", "share", F.coalesce("slots", F.lit(0)).alias("slots"), F.coalesce("same", F.lit(0)).alias("same"))
-    return out.where(F.col("same") >= consistent * F.col("slots"))
+    fit = many.groupBy("key", "item", "start").agg(F.sum("n").alias("slots"), F.sum(F.when((F.col("a") == 1) & (F.col("b") == 1), F.col("n")).otherwise(0)).alias("same"))
+    out = found.select("key", "item", "start", "share").distinct().join(fit, ["key", "item", "start"], "left")
+    out = out.select("key", "item", F.struct("share", F.coalesce("slots", F.lit(0)).alias("slots"), F.coalesce("same", F.lit(0)).alias("same")).alias("x"))
+    return out.where(F.col("x.same") >= consistent * F.col("x.slots")).groupBy("key", "item").agg(F.max("x").alias("x")).select("key", "item", "x.*")
+
+
+def _alignments(hits: DataFrame, share: float) -> DataFrame:
+    """(key, item, start, at, shift, share): the ways in which a row holds at least ``share`` of an item's windows.
+
+    One takes the first place of every window (start ANYWHERE). The others begin at each shift that occurs: of the places
+    of a window that are off by no more than the item's length, the nearest, so a copy may have words put in or left out.
+    """
+    held = lambda rows, *by: rows.groupBy("key", "item", *by).agg((F.count(F.lit(1)) / F.first("n")).alias("share")).where(F.col("share") >= share)
+    first = hits.groupBy("key", "item", "at").agg(F.min("shift").alias("shift"), F.first("n").alias("n"))
+    enough = cut(held(first))
+    whole = first.join(enough.hint("merge"), ["key", "item"]).select("key", "item", F.lit(ANYWHERE).alias("start"), "at", "shift", "share")
+    reach = F.col("n") + WINDOW
+    places = cut(hits.join(enough.hint("merge"), ["key", "item"], "left_semi").withColumn("block", F.floor(F.col("shift") / reach)))
+    # shifts no farther apart than the reach lie in the same block or in neighbours
+    starts = places.select("key", "item", F.col("shift").cast("bigint").alias("start"), "block").distinct()
+    starts = starts.withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
+    off = F.abs(F.col("shift") - F.col("start"))
+    near = places.join(starts.hint("merge"), ["key", "item", "block"]).where(off <= reach)
+    near = cut(near.groupBy("key", "item", "start", "at").agg(F.min(F.struct(off.alias("off"), "shift"))["shift"].alias("shift"), F.first("n").alias("n")))
+    kept = near.join(held(near, "start").hint("merge"), ["key", "item", "start"])
+    return whole.unionByName(kept.select("key", "item", "start", "at", "shift", "share"))
 
 
 def row_key(id_col: str, text_col: str) -> Column:
