@@ -223,6 +223,16 @@ def test_leaks_at_any_place(spark):
     assert {r["doc_id"]: r["items"] for r in got.collect()} == dict(enumerate(want))
 
 
+def test_leaks_of_short_and_dense_items(spark):
+    from vectile.llm.decontaminate import mark_leaks
+
+    items = ["What is 12 times 13?", "Add 3.5 kg", "Paris", "12 km 14 km 15 km 16 km 17 km 18 km", "", "...", None]
+    texts = [f"He asked: {items[0]} Now", "what is 12 times 14", "then add 3.5 kg.", "add 35 kg", "to Paris, then", f"x {items[3]} y", items[3].replace("15", "95").replace("17", "97"), "", None]
+    want = [[0], [], [1], [], [2], [3], [], [], []]
+    got = mark_leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert {r["doc_id"]: r["items"] for r in got.collect()} == dict(enumerate(want))
+
+
 # op5 -----------------------------------------------------------------------------------------------------------------
 
 

@@ -1,7 +1,8 @@
 """Benchmark questions in documents, also with other numbers, names and units. DataFrame functions only.
 
 Texts become templates: numbers, capitalised words within a sentence, and units after numbers turn into typed
-placeholders; the rest is lowered and freed of punctuation. Windows of eight template words are joined by hash. What
+placeholders; the rest is lowered and freed of punctuation. Windows of eight template words (of all words of a shorter
+item) are joined by hash; those with few plain words by the words themselves. What
 matches is then checked slot by slot: a value of the question must always stand for the same value of the document.
 """
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from vectile.session import cut
 
 WINDOW = 8
-LITERALS = 4  # words a benchmark window must have that are no placeholders
+LITERALS = 4  # words that are no placeholders; a benchmark window with fewer is joined literally
 ANYWHERE = -(1 << 62)  # in place of a shift: the windows' first places
 SEND_ROWS = 2_000_000  # benchmark windows up to this many, counted first, go to every task; more are shuffled
 NUM, NAME, UNIT = "\ue000", "\ue001", "\ue002"
@@ -43,21 +44,51 @@ def template(text: Column) -> Column:
     return F.filter(F.split(t, _SPLIT), lambda x: x.rlike(r"[\p{L}\p{N}\ue000-\ue002]"))
 
 
-def _windows(hashes: Column) -> Column:
-    """A hash of every window of WINDOW consecutive hashes."""
-    upto = F.size(hashes) - WINDOW
-    one = lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(WINDOW)])
-    return F.when(upto >= 0, F.transform(F.sequence(F.lit(0), upto), one)).otherwise(F.array().cast("array<bigint>"))
+def literal(text: Column) -> Column:
+    """The words of ``originals`` lowered, without punctuation around them: values stay."""
+    t = F.regexp_replace(F.lower(text), r"(?<!\S)[^\p{L}\p{N}\x09-\x0D\x20]+|[^\p{L}\p{N}%\x09-\x0D\x20]+(?!\S)", "")
+    return F.filter(F.split(t, _SPLIT), lambda x: x.rlike(r"[\p{L}\p{N}]"))
+
+
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda x: F.xxhash64(x))
+
+
+def _window(hashes: Column, at: Column, size) -> Column:
+    return F.xxhash64(F.slice(hashes, at + 1, size))
 
 
 def benchmark_windows(benchmark: DataFrame, *, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item, at, window, n_windows) of every item; windows with fewer than LITERALS plain words say nothing and go."""
-    items = benchmark.select(F.col(item_col).alias("item"), template(F.col(text_col).cast("string")).alias("t")).where("t IS NOT NULL")
-    items = items.withColumn("h", F.transform("t", lambda x: F.xxhash64(x)))
-    wide = items.select("item", "t", F.posexplode(_windows(F.col("h"))).alias("at", "window"))
-    plain = F.size(F.filter(F.slice("t", F.col("at") + 1, WINDOW), lambda x: ~x.isin(NUM, NAME, UNIT)))
-    kept = wide.where(plain >= LITERALS).select("item", "at", "window").distinct()
-    return kept.withColumn("n_windows", F.count(F.lit(1)).over(Window.partitionBy("item")))
+    """(item, at, size, window, literal, typed, n_typed, n_all): windows of every item, of all its words if it has fewer than WINDOW.
+
+    Windows with at least LITERALS plain words are ``typed``: of template words. The others say nothing as templates
+    and are windows of literal words. ``n_typed`` and ``n_all`` count the places of an item.
+    """
+    text = F.col(text_col).cast("string")
+    items = benchmark.select(F.col(item_col).alias("item"), template(text).alias("t"), literal(text).alias("l")).where("t IS NOT NULL")
+    items = items.where(F.size("t") > 0).withColumn("size", F.least(F.size("t"), F.lit(WINDOW)))
+    items = items.withColumn("ht", _hashes(F.col("t"))).withColumn("hl", _hashes(F.col("l")))
+    wide = items.select("*", F.explode(F.sequence(F.lit(0), F.size("t") - F.col("size"))).alias("at"))
+    plain = F.size(F.filter(F.slice("t", F.col("at") + 1, F.col("size")), lambda x: ~x.isin(NUM, NAME, UNIT)))
+    wide = wide.withColumn("typed", plain >= LITERALS)
+    window = F.when(F.col("typed"), _window(F.col("ht"), F.col("at"), F.col("size"))).otherwise(_window(F.col("hl"), F.col("at"), F.col("size")))
+    kept = wide.select("item", "at", "size", window.alias("window"), (~F.col("typed")).alias("literal"), "typed").distinct()
+    places = kept.groupBy("item", "at").agg(F.max("typed").alias("typed")).groupBy("item").agg(F.count_if("typed").alias("n_typed"), F.count(F.lit(1)).alias("n_all"))
+    return kept.join(places.hint("merge"), "item")
+
+
+def document_windows(rows: DataFrame, sizes: list[tuple[int, bool]]) -> DataFrame:
+    """(key, pos, window) of every row (key, text), for each size that items have; with literal words where that is true."""
+    texts = rows.select("key", _hashes(template(F.col("text"))).alias("ht"), (_hashes(literal(F.col("text"))) if any(x for _, x in sizes) else F.lit(None)).alias("hl"))
+
+    def places(size: int, literals: bool) -> Column:
+        forms = ["ht", "hl"] if literals else ["ht"]
+        upto = F.size("ht") - size
+        one = lambda i: F.struct(i.alias("pos"), F.array_distinct(F.array(*[_window(F.col(f), i, size) for f in forms])).alias("windows"))
+        return F.when(upto >= 0, F.transform(F.sequence(F.lit(0), upto), one)).otherwise(F.array().cast("array<struct<pos:int,windows:array<bigint>>>"))
+
+    each = texts.select("key", F.explode(F.concat(*[places(*s) for s in sizes])).alias("x"))
+    return each.select("key", "x.pos", F.explode("x.windows").alias("window"))
 
 
 def find_leaks(
@@ -68,23 +99,24 @@ def find_leaks(
 
     ``key`` is ``row_key`` of the row. ``slots``: placeholders of the item in matched windows; ``same``: those whose
     value is mapped as most often for it, in both directions; at least ``consistent`` of them must be. Share and slots
-    are those of one alignment, the best that passes. Items under
-    eight words are not looked for; null and short texts hold nothing; an item that occurs more often counts once.
+    are those of one alignment, the best that passes. The share is
+    that of all windows or of the typed ones, whichever is more. Items under eight words are one window; null and empty
+    texts hold nothing; an item that occurs more often counts once.
     """
     known = cut(benchmark_windows(benchmark, item_col=item_col, text_col=item_text_col))
     rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    hashed = rows.select("key", F.transform(template(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
-    seen = hashed.select("key", F.posexplode(_windows(F.col("h"))).alias("pos", "window"))
+    sizes = [tuple(r) for r in known.groupBy("size").agg(F.max("literal")).orderBy("size").collect()]  # at most WINDOW of them
+    seen = document_windows(rows, sizes or [(WINDOW, False)])
     few = known.count() <= SEND_ROWS
     hits = seen.join(F.broadcast(known) if few else known.hint("merge"), "window")
-    hits = hits.groupBy("key", "item", "at", "pos").agg(F.first("n_windows").alias("n")).withColumn("shift", F.col("pos") - F.col("at"))
+    hits = hits.groupBy("key", "item", "at", "pos").agg(*[F.max(c).alias(c) for c in ("size", "typed", "n_typed", "n_all")]).withColumn("shift", F.col("pos") - F.col("at"))
     found = cut(_alignments(cut(hits), share))
     # slots of the matched windows, item value against document value
     text = F.col(item_text_col).cast("string")
     token = F.transform(template(text), lambda x, k: F.struct(x.alias("kind"), F.get(originals(text), k).alias("value")))
     slots = benchmark.where(text.isNotNull()).select(F.col(item_col).alias("item"), F.posexplode(token).alias("place", "x"))
     slots = cut(slots.where(F.col("x.kind").isin(NUM, NAME, UNIT)).select("item", "place", "x.kind", "x.value").distinct())
-    spread = found.select("key", "item", "start", "shift", F.explode(F.sequence(F.col("at"), F.col("at") + WINDOW - 1)).alias("place")).distinct()
+    spread = found.select("key", "item", "start", "shift", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1)).alias("place")).distinct()
     asked = cut(spread.join(slots, ["item", "place"]).select("key", "item", "start", "kind", "value", (F.col("place") + F.col("shift")).alias("pos")))
     needed = asked.select("key").distinct()
     words = rows.join(needed, "key", "left_semi").distinct().select("key", F.posexplode(originals(F.col("text"))).alias("pos", "other"))
@@ -101,25 +133,27 @@ def find_leaks(
 
 
 def _alignments(hits: DataFrame, share: float) -> DataFrame:
-    """(key, item, start, at, shift, share): the ways in which a row holds at least ``share`` of an item's windows.
+    """(key, item, start, at, shift, size, share): the ways in which a row holds at least ``share`` of an item's windows.
 
     One takes the first place of every window (start ANYWHERE). The others begin at each shift that occurs: of the places
     of a window that are off by no more than the item's length, the nearest, so a copy may have words put in or left out.
     """
-    held = lambda rows, *by: rows.groupBy("key", "item", *by).agg((F.count(F.lit(1)) / F.first("n")).alias("share")).where(F.col("share") >= share)
-    first = hits.groupBy("key", "item", "at").agg(F.min("shift").alias("shift"), F.first("n").alias("n"))
+    part = F.greatest(F.count(F.lit(1)) / F.first("n_all"), F.coalesce(F.count_if("typed") / F.nullif(F.first("n_typed"), F.lit(0)), F.lit(0.0)))
+    held = lambda rows, *by: rows.groupBy("key", "item", *by).agg(part.alias("share")).where(F.col("share") >= share)
+    same = [F.max(c).alias(c) for c in ("size", "typed", "n_typed", "n_all")]
+    first = hits.groupBy("key", "item", "at").agg(F.min("shift").alias("shift"), *same)
     enough = cut(held(first))
-    whole = first.join(enough.hint("merge"), ["key", "item"]).select("key", "item", F.lit(ANYWHERE).alias("start"), "at", "shift", "share")
-    reach = F.col("n") + WINDOW
+    whole = first.join(enough.hint("merge"), ["key", "item"]).select("key", "item", F.lit(ANYWHERE).alias("start"), "at", "shift", "size", "share")
+    reach = F.col("n_all") + WINDOW
     places = cut(hits.join(enough.hint("merge"), ["key", "item"], "left_semi").withColumn("block", F.floor(F.col("shift") / reach)))
     # shifts no farther apart than the reach lie in the same block or in neighbours
     starts = places.select("key", "item", F.col("shift").cast("bigint").alias("start"), "block").distinct()
     starts = starts.withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
     off = F.abs(F.col("shift") - F.col("start"))
     near = places.join(starts.hint("merge"), ["key", "item", "block"]).where(off <= reach)
-    near = cut(near.groupBy("key", "item", "start", "at").agg(F.min(F.struct(off.alias("off"), "shift"))["shift"].alias("shift"), F.first("n").alias("n")))
+    near = cut(near.groupBy("key", "item", "start", "at").agg(F.min(F.struct(off.alias("off"), "shift"))["shift"].alias("shift"), *same))
     kept = near.join(held(near, "start").hint("merge"), ["key", "item", "start"])
-    return whole.unionByName(kept.select("key", "item", "start", "at", "shift", "share"))
+    return whole.unionByName(kept.select("key", "item", "start", "at", "shift", "size", "share"))
 
 
 def row_key(id_col: str, text_col: str) -> Column:
