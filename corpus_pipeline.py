@@ -44,7 +44,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item in them."""
-    leaks = cut(find_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("key").alias("_key")).distinct())
+    leaks = cut(find_leaks(docs, table(spark, sf_dir, "benchmark"), any_case=True).select(F.col("key").alias("_key")).distinct())
     return docs.withColumn("_key", row_key("doc_id", "text")).join(leaks, "_key", "left_anti").select(*docs.columns)
 
 

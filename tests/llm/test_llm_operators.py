@@ -233,6 +233,23 @@ def test_leaks_of_short_and_dense_items(spark):
     assert {r["doc_id"]: r["items"] for r in got.collect()} == dict(enumerate(want))
 
 
+def test_leaks_in_any_case(spark):
+    from vectile.llm.decontaminate import mark_leaks
+
+    german = "Der Hund von Herrn Maier lief am Morgen über die Straße zum Bäcker und brachte Brot nach Hause"
+    starts = "Anna has 5 apples. Tom has 7 pears. Anna gives Tom 2 apples. Tom eats 3 pears. Anna sleeps."
+    items = [QUESTION, german, starts]
+    texts = [f(t) for t in (QUESTION, german) for f in (str.upper, str.title, str.lower)]
+    texts += [starts.replace("Anna", "Mary").replace("Tom", "John"), "Mary has 5 apples. John has 7 pears. Peter gives Paul 2 apples. Clara eats 3 pears. Laura sleeps."]
+    docs, bench = (spark.createDataFrame(list(enumerate(x)), f"{name} long, text string") for x, name in ((texts, "doc_id"), (items, "item_id")))
+    got = {r["doc_id"]: r["items"] for r in mark_leaks(docs, bench, any_case=True).collect()}
+    assert got == dict(enumerate([[0]] * 3 + [[1]] * 3 + [[2], []]))
+    known = spark.read.parquet(f"{SF}/benchmark.parquet").selectExpr("item_id", "text", "item_id AS doc_id")
+    for form in ("upper(text)", "initcap(text)", "lower(text)"):
+        found = mark_leaks(known.selectExpr("doc_id", f"{form} AS text"), known.drop("doc_id"), any_case=True).collect()
+        assert all(r["doc_id"] in r["items"] for r in found)
+
+
 # op5 -----------------------------------------------------------------------------------------------------------------
 
 

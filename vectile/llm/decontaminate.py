@@ -17,7 +17,7 @@ WINDOW = 8
 LITERALS = 4  # words that are no placeholders; a benchmark window with fewer is joined literally
 ANYWHERE = -(1 << 62)  # in place of a shift: the windows' first places
 SEND_ROWS = 2_000_000  # benchmark windows up to this many, counted first, go to every task; more are shuffled
-NUM, NAME, UNIT = "\ue000", "\ue001", "\ue002"
+NUM, NAME, UNIT, START = "\ue000", "\ue001", "\ue002", "\ue003"
 # Fixed unit words.
 UNITS = (
     "mm cm m km in ft yd mi mile miles meter meters metre metres foot feet inch inches g kg mg lb lbs oz gram grams kilogram "
@@ -27,26 +27,57 @@ UNITS = (
 
 _NUMBER = r"(?<!\S)[(\[\"'$€£+-]*\d[\d.,:/%°()-]*[\"'\]).,;:!?]*(?!\S)"
 _NAME = r"(?<=[^\s.!?:\"]\s{1,3})[(\[\"']*\p{Lu}\p{L}*(?:['-]\p{L}+)*[\"')\].,;:!?]*(?!\S)"
-_UNIT = rf"(?i)(?<={NUM}\s{{1,3}})(?:{'|'.join(UNITS)})[)\].,;:!?]*(?!\S)"
+_START = r"(?<!\S)[(\[\"']*\p{Lu}\p{L}*(?:['-]\p{L}+)*[\"')\].,;:!?]*(?!\S)"
+_UNIT = rf"(?i)(?<={NUM}\s{{1,3}})({NAME}?)(?:{'|'.join(UNITS)})[)\].,;:!?]*(?!\S)"
 _SPLIT = r"[\x20\x09-\x0D]+"
 
 
+def _free(text: Column) -> Column:
+    """Without the characters that stand for placeholders."""
+    return F.regexp_replace(text, "[\ue000-\ue003]", "a")
+
+
+def _lowered(text: Column) -> Column:
+    """Lowered so that upper case leads to the same."""
+    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+
+
 def originals(text: Column) -> Column:
     """Words with a letter or digit, as written."""
-    return F.filter(F.split(text, _SPLIT), lambda t: t.rlike(r"[\p{L}\p{N}]"))
+    return F.filter(F.split(_free(text), _SPLIT), lambda t: t.rlike(r"[\p{L}\p{N}]"))
+
+
+def marked(text: Column) -> Column:
+    """Lowered words without punctuation: numbers replaced, NAME before names within a sentence, START before other
+    capitalised words, and UNIT in place of units, also of marked ones."""
+    t = F.regexp_replace(F.regexp_replace(_free(text), _NUMBER, NUM), _NAME, f"{NAME}$0")
+    t = _lowered(F.regexp_replace(F.regexp_replace(t, _START, f"{START}$0"), _UNIT, f"$1{UNIT}"))
+    t = F.regexp_replace(t, r"[^\p{L}\p{N}\p{M}\x09-\x0D\x20\ue000-\ue003]+", "")
+    return F.regexp_replace(t, r"(?<!\S)\p{M}+(?!\S)", "")
+
+
+def _split(text: Column) -> Column:
+    return F.array_remove(F.split(text, _SPLIT), "")
+
+
+def template(mark: Column) -> Column:
+    """One template word of ``marked`` text for each word of ``originals``; names at a sentence start are plain words."""
+    return _split(F.translate(F.regexp_replace(mark, rf"{NAME}\S*", NAME), START, ""))
+
+
+def started(mark: Column) -> Column:
+    """As ``template``, with placeholders for all capitalised words, also at a sentence start."""
+    return _split(F.regexp_replace(F.translate(F.regexp_replace(mark, rf"{NAME}{UNIT}", UNIT), START, NAME), rf"{NAME}\S*", NAME))
 
 
-def template(text: Column) -> Column:
-    """One template word for each word of ``originals``."""
-    t = F.regexp_replace(F.regexp_replace(text, "[\ue000-\ue002]", "a"), _NUMBER, NUM)
-    t = F.regexp_replace(F.regexp_replace(t, _NAME, NAME), _UNIT, UNIT)
-    t = F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}\p{M}\x09-\x0D\x20\ue000-\ue002]+", "")
-    return F.filter(F.split(t, _SPLIT), lambda x: x.rlike(r"[\p{L}\p{N}\ue000-\ue002]"))
+def cased(mark: Column) -> Column:
+    """As ``template``, with names as lowered words: the same in every case."""
+    return _split(F.translate(mark, NAME + START, ""))
 
 
 def literal(text: Column) -> Column:
     """The words of ``originals`` lowered, without punctuation around them: values stay."""
-    t = F.regexp_replace(F.lower(text), r"(?<!\S)[^\p{L}\p{N}\x09-\x0D\x20]+|[^\p{L}\p{N}%\x09-\x0D\x20]+(?!\S)", "")
+    t = F.regexp_replace(_lowered(_free(text)), r"(?<!\S)[^\p{L}\p{N}\x09-\x0D\x20]+|[^\p{L}\p{N}%\x09-\x0D\x20]+(?!\S)", "")
     return F.filter(F.split(t, _SPLIT), lambda x: x.rlike(r"[\p{L}\p{N}]"))
 
 
@@ -58,31 +89,36 @@ def _window(hashes: Column, at: Column, size) -> Column:
     return F.xxhash64(F.slice(hashes, at + 1, size))
 
 
-def benchmark_windows(benchmark: DataFrame, *, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+def benchmark_windows(benchmark: DataFrame, *, item_col: str = "item_id", text_col: str = "text", any_case: bool = False) -> DataFrame:
     """(item, at, size, window, literal, typed, n_typed, n_all): windows of every item, of all its words if it has fewer than WINDOW.
 
-    Windows with at least LITERALS plain words are ``typed``: of template words. The others say nothing as templates
-    and are windows of literal words. ``n_typed`` and ``n_all`` count the places of an item.
+    A place has a window in each form that has at least LITERALS plain words there: template, names at sentence starts
+    replaced too, and with ``any_case`` names as lowered words. With neither the first nor the last the window is of
+    literal words. ``typed`` places have the first form; ``n_typed`` and ``n_all`` count the places of an item.
     """
     text = F.col(text_col).cast("string")
-    items = benchmark.select(F.col(item_col).alias("item"), template(text).alias("t"), literal(text).alias("l")).where("t IS NOT NULL")
+    items = benchmark.select(F.col(item_col).alias("item"), marked(text).alias("m"), literal(text).alias("l")).where("m IS NOT NULL")
+    items = items.select("item", "l", template(F.col("m")).alias("t"), started(F.col("m")).alias("s"), cased(F.col("m")).alias("c"))
     items = items.where(F.size("t") > 0).withColumn("size", F.least(F.size("t"), F.lit(WINDOW)))
-    items = items.withColumn("ht", _hashes(F.col("t"))).withColumn("hl", _hashes(F.col("l")))
+    items = items.select("*", *[_hashes(F.col(f)).alias(f"h{f}") for f in "tscl"])
     wide = items.select("*", F.explode(F.sequence(F.lit(0), F.size("t") - F.col("size"))).alias("at"))
-    plain = F.size(F.filter(F.slice("t", F.col("at") + 1, F.col("size")), lambda x: ~x.isin(NUM, NAME, UNIT)))
-    wide = wide.withColumn("typed", plain >= LITERALS)
-    window = F.when(F.col("typed"), _window(F.col("ht"), F.col("at"), F.col("size"))).otherwise(_window(F.col("hl"), F.col("at"), F.col("size")))
-    kept = wide.select("item", "at", "size", window.alias("window"), (~F.col("typed")).alias("literal"), "typed").distinct()
+    plain = lambda f: F.size(F.filter(F.slice(f, F.col("at") + 1, F.col("size")), lambda x: ~x.isin(NUM, NAME, UNIT))) >= LITERALS
+    wide = wide.withColumn("typed", plain("t")).withColumn("open", plain("s")).withColumn("low", plain("c") & F.lit(any_case))
+    form = lambda ok, f: F.when(ok, F.struct(_window(F.col(f"h{f}"), F.col("at"), F.col("size")).alias("window"), F.lit(f == "l").alias("literal")))
+    forms = F.array_compact(F.array(form(F.col("typed"), "t"), form(F.col("open"), "s"), form(F.col("low"), "c"), form(~F.col("typed") & ~F.col("low"), "l")))
+    kept = wide.select("item", "at", "size", "typed", F.explode(forms).alias("x")).select("item", "at", "size", "x.window", "x.literal", "typed").distinct()
     places = kept.groupBy("item", "at").agg(F.max("typed").alias("typed")).groupBy("item").agg(F.count_if("typed").alias("n_typed"), F.count(F.lit(1)).alias("n_all"))
     return kept.join(places.hint("merge"), "item")
 
 
-def document_windows(rows: DataFrame, sizes: list[tuple[int, bool]]) -> DataFrame:
+def document_windows(rows: DataFrame, sizes: list[tuple[int, bool]], any_case: bool = False) -> DataFrame:
     """(key, pos, window) of every row (key, text), for each size that items have; with literal words where that is true."""
-    texts = rows.select("key", _hashes(template(F.col("text"))).alias("ht"), (_hashes(literal(F.col("text"))) if any(x for _, x in sizes) else F.lit(None)).alias("hl"))
+    texts = rows.select("key", marked(F.col("text")).alias("m"), *([literal(F.col("text")).alias("l")] if any(x for _, x in sizes) else []))
+    words = {"ht": template(F.col("m")), "hs": started(F.col("m"))} | ({"hc": cased(F.col("m"))} if any_case else {}) | ({"hl": F.col("l")} if "l" in texts.columns else {})
+    texts = texts.select("key", *[_hashes(w).alias(name) for name, w in words.items()])
 
     def places(size: int, literals: bool) -> Column:
-        forms = ["ht", "hl"] if literals else ["ht"]
+        forms = [f for f in words if literals or f != "hl"]
         upto = F.size("ht") - size
         one = lambda i: F.struct(i.alias("pos"), F.array_distinct(F.array(*[_window(F.col(f), i, size) for f in forms])).alias("windows"))
         return F.when(upto >= 0, F.transform(F.sequence(F.lit(0), upto), one)).otherwise(F.array().cast("array<struct<pos:int,windows:array<bigint>>>"))
@@ -93,7 +129,7 @@ def document_windows(rows: DataFrame, sizes: list[tuple[int, bool]]) -> DataFram
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text", share: float = 0.5, consistent: float = 0.9,
+    item_text_col: str = "text", share: float = 0.5, consistent: float = 0.9, any_case: bool = False,
 ) -> DataFrame:
     """(key, item, share, slots, same): items of which a row holds at least ``share`` of the windows.
 
@@ -101,28 +137,33 @@ def find_leaks(
     value is mapped as most often for it, in both directions; at least ``consistent`` of them must be. Share and slots
     are those of one alignment, the best that passes. The share is
     that of all windows or of the typed ones, whichever is more. Items under eight words are one window; null and empty
-    texts hold nothing; an item that occurs more often counts once.
+    texts hold nothing; with ``any_case`` a copy in another case, or with the same names in it, is found too; an item that occurs more often counts once.
     """
-    known = cut(benchmark_windows(benchmark, item_col=item_col, text_col=item_text_col))
+    known = cut(benchmark_windows(benchmark, item_col=item_col, text_col=item_text_col, any_case=any_case))
     rows = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
     sizes = [tuple(r) for r in known.groupBy("size").agg(F.max("literal")).orderBy("size").collect()]  # at most WINDOW of them
-    seen = document_windows(rows, sizes or [(WINDOW, False)])
+    seen = document_windows(rows, sizes or [(WINDOW, False)], any_case)
     few = known.count() <= SEND_ROWS
     hits = seen.join(F.broadcast(known) if few else known.hint("merge"), "window")
     hits = hits.groupBy("key", "item", "at", "pos").agg(*[F.max(c).alias(c) for c in ("size", "typed", "n_typed", "n_all")]).withColumn("shift", F.col("pos") - F.col("at"))
     found = cut(_alignments(cut(hits), share))
     # slots of the matched windows, item value against document value
     text = F.col(item_text_col).cast("string")
-    token = F.transform(template(text), lambda x, k: F.struct(x.alias("kind"), F.get(originals(text), k).alias("value")))
-    slots = benchmark.where(text.isNotNull()).select(F.col(item_col).alias("item"), F.posexplode(token).alias("place", "x"))
-    slots = cut(slots.where(F.col("x.kind").isin(NUM, NAME, UNIT)).select("item", "place", "x.kind", "x.value").distinct())
+    items = benchmark.where(text.isNotNull()).select(F.col(item_col).alias("item"), marked(text).alias("m"), originals(text).alias("o"))
+    items = items.select("item", "o", template(F.col("m")).alias("t"), started(F.col("m")).alias("s"))
+    token = F.transform("s", lambda x, k: F.struct(x.alias("kind"), F.get("o", k).alias("value"), ((x == NAME) & (F.get("t", k) != NAME)).alias("begins")))
+    slots = items.select("item", F.posexplode(token).alias("place", "x"))
+    slots = cut(slots.where(F.col("x.kind").isin(NUM, NAME, UNIT)).select("item", "place", "x.kind", "x.value", "x.begins").distinct())
     spread = found.select("key", "item", "start", "shift", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1)).alias("place")).distinct()
-    asked = cut(spread.join(slots, ["item", "place"]).select("key", "item", "start", "kind", "value", (F.col("place") + F.col("shift")).alias("pos")))
+    asked = cut(spread.join(slots, ["item", "place"]).select("key", "item", "start", "kind", "value", "begins", (F.col("place") + F.col("shift")).alias("pos")))
     needed = asked.select("key").distinct()
     words = rows.join(needed, "key", "left_semi").distinct().select("key", F.posexplode(originals(F.col("text"))).alias("pos", "other"))
     clean = lambda c: F.regexp_replace(F.lower(c), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}%]+$", "")
-    pairs = asked.join(words, ["key", "pos"]).select("key", "item", "start", "kind", clean(F.col("value")).alias("value"), clean(F.col("other")).alias("other"))
-    many = pairs.groupBy("key", "item", "start", "kind", "value", "other").agg(F.count(F.lit(1)).alias("n"))
+    pairs = asked.join(words, ["key", "pos"]).select("key", "item", "start", "kind", "begins", clean(F.col("value")).alias("value"), clean(F.col("other")).alias("other"))
+    many = pairs.groupBy("key", "item", "start", "kind", "value", "other").agg(F.count(F.lit(1)).alias("n"), F.max(~F.col("begins")).alias("firm"))
+    # a word that only begins sentences is a name's value if the document has another in its place
+    alters = F.max(F.col("value") != F.col("other")).over(Window.partitionBy("key", "item", "start", "kind", "value"))
+    many = many.withColumn("alters", alters).where("firm OR alters")
     there = Window.partitionBy("key", "item", "start", "kind", "value").orderBy(F.desc("n"), "other")
     back = Window.partitionBy("key", "item", "start", "kind", "other").orderBy(F.desc("n"), "value")
     many = many.withColumn("a", F.row_number().over(there)).withColumn("b", F.row_number().over(back))

@@ -103,7 +103,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_decontamination")
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = mark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    marked = mark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), any_case=True)
     return marked.withColumn("kept", ~F.col("leaked"))
 
 
