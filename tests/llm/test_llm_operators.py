@@ -453,6 +453,26 @@ def test_urls(spark):
     assert judge_urls(empty, URL_RULES).count() == 0
 
 
+def test_links_of_all_forms(spark):
+    from pyspark.sql import functions as F
+
+    from vectile.llm.queries import URL_RULES
+    from vectile.llm.url_filter import declared_links, judge_urls, resolved
+
+    url = "http://a.info/x/y/z?q=1#f"
+    canon = ['"/en/x"', "'?p=1&amp;b=2'", "//b.net/c", "w", "../v/", "./u", "..", '"#top"', "https://c.org/d", "mailto:x", '" /s "']
+    want = ["http://a.info/en/x", "http://a.info/x/y/z?p=1&b=2", "http://b.net/c", "http://a.info/x/y/w", "http://a.info/x/v/", "http://a.info/x/y/u", "http://a.info/x/", url[:-2] + "#top", "https://c.org/d", None, "http://a.info/s"]
+    html = [f"<link rel=canonical href={c}>" for c in canon]
+    moves = ["""content="0;url='https://b.net/c'" """, "content='3; URL=/r?a=1&amp;b=2'", "content=0;url=q"]
+    html += [f"<meta http-equiv=refresh {m}>" for m in moves]
+    want += ["https://b.net/c", "http://a.info/r?a=1&b=2", "http://a.info/x/y/q"]
+    df = spark.createDataFrame(list(enumerate(html)), "k long, html string").select("k", F.explode(declared_links(F.col("html"))).alias("x"))
+    assert {r["k"]: r["to"] for r in df.select("k", resolved(F.col("x"), F.lit(url)).alias("to")).collect()} == dict(enumerate(want))
+    pages = [(1, "http://d.info/1", "<link rel=canonical href=//evil.net/a>"), (2, "http://evil.net/a", ""), (3, "http://d.info/2", "<link rel='canonical' href='/1'>")]
+    out = judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), URL_RULES).collect()
+    assert {r["page_id"]: r["verdict"] for r in out} == {1: "block", 2: "block", 3: "block"}
+
+
 # op9, op10 -----------------------------------------------------------------------------------------------------------
 
 

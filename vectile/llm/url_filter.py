@@ -59,10 +59,32 @@ def address(url: Column) -> Column:
 
 
 def declared_links(html: Column) -> Column:
-    """Targets of canonical links and refresh redirects in a page's markup."""
-    canonical = F.regexp_extract_all(html, F.lit(r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']([^\"'>]+)"), 1)
-    refresh = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\burl\s*=\s*([^\"'>\s]+)"), 1)
-    return F.filter(F.concat(canonical, refresh), lambda x: x.contains("://"))
+    """Targets of canonical links and refresh redirects in a page's markup, as written but for ``&amp;``."""
+    canonical = F.regexp_extract_all(html, F.lit(r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?\s*canonical\b)[^>]*(?<![\w-])href\s*=\s*(\"[^\">]*|'[^'>]*|[^\s\"'>]+)"), 1)
+    refresh = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?\s*refresh\b)[^>]*(?<![\w-])url\s*=\s*[\"']?\s*([^\"'>\s]+)"), 1)
+    links = F.transform(F.concat(canonical, refresh), lambda x: F.regexp_replace(F.regexp_replace(x, r"^[\"']?\s+|^[\"']|\s+$", ""), r"(?i)&(?:amp|#38|#x26);", "&"))
+    return F.filter(links, lambda x: x != "")
+
+
+def resolved(link: Column, url: Column) -> Column:
+    """A link of the page ``url`` as a whole url; null if it leads to no page or if the page has no host."""
+    scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
+    root = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*", 0)
+    path = url_path(url)
+    folder = F.coalesce(F.nullif(F.regexp_extract(path, r"(?s)^.*/", 0), F.lit("")), F.lit("/"))
+    rel = F.regexp_extract(link, r"(?s)^[^?#]*", 0)
+    tail = F.substring(link, F.length(rel) + 1, F.length(link))
+    own = F.regexp_extract(url, r"(?s)^[^#?]*(\?[^#]*)", 1)  # a fragment alone keeps the page's query
+    parts = F.split(F.concat(F.when(rel.startswith("/"), "").otherwise(folder), rel), "/")
+    # "." goes, ".." takes the folder before it along
+    done = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == ".", a).when(
+        x == "..", F.when(F.size(a) > 1, F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(a)
+    ).otherwise(F.concat(a, F.array(x))))
+    ends = F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise("")
+    there = F.concat(root, F.array_join(done, "/"), ends, tail)
+    same = F.concat(root, path, F.when(tail.startswith("?"), tail).otherwise(F.concat(own, tail)))
+    whole = F.when(link.startswith("//"), F.concat(scheme, F.lit(":"), link)).when(rel == "", same).otherwise(there)
+    return F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link).when(~link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") & (root != ""), whole)
 
 
 def judge_urls(
@@ -74,14 +96,15 @@ def judge_urls(
     A rule that fits the url itself decides. Else the url takes part in what is decided for its aliases, which are the
     urls connected with it by equal addresses, declared links and ``redirects`` (src, dst urls): allow if a rule allows
     one of them, block if a rule blocks one of them, and allow if nothing is known. Null, empty and hostless urls
-    have no rule and no aliases but equal urls; null html declares nothing. Relative links are not followed. Equal
+    have no rule and no aliases but equal urls; null html declares nothing. Relative links are taken from the page's url. Equal
     rows are kept; other columns are not read.
     """
     url = F.col(url_col).cast("string")
     base = pages.select(F.col(id_col).alias("id"), url.alias("url"), F.col(html_col).cast("string").alias("html"))
     known = base.select("id", "url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"), address(F.col("url")).alias("at"))
     known = known.withColumn("rule", matched_rule(F.col("host"), F.col("path"), rules))
-    links = base.select(address(F.col("url")).alias("i"), F.explode(declared_links(F.coalesce("html", F.lit("")))).alias("to")).select("i", address(F.col("to")).alias("j"))
+    told = base.select("url", F.explode(declared_links(F.coalesce("html", F.lit("")))).alias("to"))
+    links = told.select(address(F.col("url")).alias("i"), address(resolved(F.col("to"), F.col("url"))).alias("j"))
     if redirects is not None:
         links = links.unionByName(redirects.select(address(F.col("src")).alias("i"), address(F.col("dst")).alias("j")))
     groups = connected_components(links.where("i <> '' AND j <> ''").distinct())
