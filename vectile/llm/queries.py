@@ -15,25 +15,13 @@ from vectile.llm.substring_dedup import remove_repeats
 from vectile.llm.url_filter import Rule, judge_urls
 from vectile.llm.wavelet import read_tokens, write_tokens
 from vectile.llm.weak_labels import REJECT_FROM, score_documents, train
-from vectile.plans.registry import Query, table
+from vectile.llm.registered import ORACLES, QUERIES, query, tokenizer
+from vectile.plans.registry import table
 from vectile.session import scratch_path
 
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
 WORDS_SQL = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 
-def query(name: str, sql: str | None = None):
-    def add(fn: Query) -> Query:
-        QUERIES[name] = fn
-        if sql:
-            ORACLES[name] = sql.strip()
-        return fn
-
-    return add
-
-
 @query(
     "op1_substring_dedup",
     f"""
@@ -52,13 +40,6 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-def tokenizer(name: str) -> str:
-    """A public vocabulary file; the package that knows the place is only needed by the queries."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 @query("op6_packing")
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), size=1024, end_id=0)
@@ -119,3 +100,6 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_jaccard_join")
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
+import vectile.llm.queries_more  # noqa: E402, F401  registers the rest
