@@ -6,33 +6,89 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vectile.functions.keys import order_key, unit_float
 from vectile.session import cut
 
 
+GRAIN = 500_000  # edges that one task makes a forest of
 HUB = 10_000  # a node with more neighbours than this, and than a 250th of all edges, is joined in parts
 
 
+def forest(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node of its component), ascending, of every node that isn't the least itself."""
+    names, back = np.unique(np.concatenate([i, j]), return_inverse=True)
+    a, b = back[: len(i)], back[len(i) :]
+    root = np.arange(len(names))
+    while True:
+        # hook the greater root onto the lesser, then shorten the paths
+        lo, hi = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        live = lo < hi
+        if not live.any():
+            break
+        a, b = a[live], b[live]
+        np.minimum.at(root, hi[live], lo[live])
+        while not np.array_equal(shorter := root[root], root):
+            root = shorter
+    apart = np.flatnonzero(root != np.arange(len(names)))
+    return names[apart], names[root[apart]]
+
+
+def _contracted(pairs: DataFrame) -> DataFrame:
+    """(u, v) of each task's edges as a forest of stars around least nodes. Types without an array form stay as they are."""
+    kind = pairs.schema["u"].dataType
+    if not isinstance(kind, (T.IntegralType, T.StringType)) or pairs.schema["v"].dataType != kind:
+        return pairs
+
+    def stars(u: list, v: list) -> pa.RecordBatch:
+        both = [pa.concat_arrays(x) for x in (u, v)]
+        values = pc.unique(pa.concat_arrays(both))
+        values = values.take(pc.sort_indices(values))  # places in order, so that the least place is the least value
+        a, b = forest(*(pc.index_in(x, values).to_numpy(zero_copy_only=False).astype(np.int64) for x in both))
+        return pa.record_batch([values.take(pa.array(a)), values.take(pa.array(b))], names=["u", "v"])
+
+    def run(batches):
+        u, v, held = [], [], 0
+        for batch in batches:
+            u.append(batch.column("u"))
+            v.append(batch.column("v"))
+            held += batch.num_rows
+            if held > GRAIN:
+                yield stars(u, v)
+                u, v, held = [], [], 0
+        if held:
+            yield stars(u, v)
+
+    return pairs.mapInArrow(run, f"u {kind.simpleString()}, v {kind.simpleString()}")
+
+
 def connected_components(edges: DataFrame, ids: DataFrame | None = None, *, src: str = "i", dst: str = "j") -> DataFrame:
     """(id, component): component = the lowest id reachable. ``ids`` adds the isolated rows. Ids of any ordered type.
 
-    Alternating stars: every node links its greater neighbours to the lowest it knows, then its lower
+    Every task first makes a forest of its edges, again after each round; what fits a task is done then. Otherwise,
+    alternating stars: every node links its greater neighbours to the lowest it knows, then its lower
     neighbours to the lowest of them, until the edge set is a set of stars. Minima are combined before the shuffle,
     and the joins that hand them back split the neighbours of a hub, such as the root of a large star. Null ends
     are no edges; a node whose only edge is to itself is a component.
     """
     named = edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
-    state = cut(named.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    state = cut(_contracted(named.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))))
     mark = _mark(state)
     while mark[0]:
+        if mark[0] <= GRAIN:
+            state = cut(_contracted(state.coalesce(1)))
+            if isinstance(state.schema["u"].dataType, (T.IntegralType, T.StringType)):
+                break
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_lowest(both, 2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         small = _with_lowest(large, 2 * mark[0])
         # v = m keeps the link to the lowest, any other lower neighbour is linked to it
-        state = cut(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct())
+        state = cut(_contracted(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()))
         seen, mark = mark, _mark(state)
         if mark == seen:
             break
