@@ -1,9 +1,10 @@
 """Texts linked by the Jaccard similarity of their word n-grams: an exact metric-space join around pivots.
 
 Random texts all lie at distance one from each other, so pivots say nothing about them. Spaces in which pivots do tell
-texts apart are found first: the n-grams are dealt to so many parts that two texts near enough agree on one part
-entirely, and texts that agree on a part, directly or over others, form a space. In a space, pivots take the texts
-within the radius as their balls. By the triangle inequality a member of a ball can have partners outside it only if
+texts apart are found first, in two ways, and cut by one another. The n-grams are dealt to so many parts that two texts
+near enough agree on one part entirely. And put all n-grams in one order, the seldom ones first: two texts near enough share one of
+the first few n-grams of either. Texts that share such a key, directly or over others, form a space. In a space, pivots take
+the texts within the radius as their balls. By the triangle inequality a member of a ball can have partners outside it only if
 it is at least as far out as the nearest outsider less the radius; the other members are done. Large spaces are split
 by Spark: texts go to the Voronoi region of their nearest pivot, and boundary texts, no more than twice the radius
 farther from another pivot, to that region too. Regions are split again until one task can hold them.
@@ -11,22 +12,27 @@ farther from another pivot, to that region too. Regions are split again until on
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectile.llm import words as W
 from vectile.llm.blobs import blob_rows, by_bucket, pack, parts_for, text_bytes, unpack
-from vectile.operators.graph import connected_components
+from vectile.llm.joins import attached
+from vectile.operators.graph import connected_components, forest
 from vectile.session import cut
 
 GROW = 1.5  # sizes up to this factor share a way of dealing n-grams to parts
+CELLS = 24  # the table of common n-grams, sent to every task, has 2**24 bytes
 FLUSH = 1_000_000
 GROUP_BYTES = 8 << 20
-REGION = 2_000  # texts of a region that one task joins
+REGION = 2_000  # texts of a region that one task joins, and their n-grams
+REGION_GRAMS = 4_000_000
 PIVOTS = 16
-HOT = 10_000
 SLACK = 1e-9
 
 _SET = "id {id}, key bigint, n bigint, class bigint"
@@ -92,10 +98,17 @@ def jaccard_components(
     id is never the least, unless alone. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col).cast("string")).alias("key"), F.col(text_col).cast("string").alias("text"))
-    total = text_bytes(rows, "text")
+    spark, total = docs.sparkSession, text_bytes(rows, "text")
     sets = cut(rows.mapInArrow(_describe(size), _SET.format(id=rows.schema["id"].dataType.simpleString())))
-    near = cut(_candidates(rows, total, size, percent))
-    spaces = cut(connected_components(near).select(F.col("id").alias("class"), F.col("component").alias("region")))
+    level = spark.sparkContext.broadcast(_common_grams(rows, size))
+    spaces = None
+    for keys in (lambda *x: _signatures(*x, percent), lambda *x: [first_grams(*x, percent, level.value)]):
+        space = connected_components(cut(_candidates(rows, total, size, keys))).select(F.col("id").alias("class"), "component")
+        # near sets are in one space either way, so spaces are cut by one another
+        spaces = space.withColumnRenamed("component", "region") if spaces is None else spaces.join(space, "class").select("class", F.xxhash64("region", "component").alias("region"))
+    spaces = cut(spaces)
+    alone = spaces.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("region")
+    spaces = cut(spaces.join(alone.hint("merge"), "region", "left_semi"))
     first = sets.where("n > 0").groupBy("class").agg(F.min("key").alias("key")).join(spaces, "class").select("key", "class", "region")
     points = rows.select("key", "text").join(first, "key").select("class", "region", "text").mapInArrow(_points(size), "region bigint, class bigint, grams binary")
     links = _join(cut(points), percent)
@@ -103,23 +116,14 @@ def jaccard_components(
     own = sets.where("n > 0").groupBy("class").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n_rows"))
     named = own.join(joined, "class", "left").withColumn("root", F.coalesce("root", "class"))
     lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = cut(_attached(named, lowest, "root", named.select("root")).select("class", "component_id"))
-    full = _attached(sets.where("n > 0"), named, "class", sets.select("class"))
+    named = cut(attached(named, lowest, "root").select("class", "component_id"))
+    full = attached(sets.where("n > 0"), named, "class")
     out = full.select("id", F.col("n").alias("n_shingles"), "component_id").unionByName(
         sets.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     )
     return out.withColumnRenamed("id", id_col)
 
 
-def _attached(rows: DataFrame, values: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
-    """Rows with the values of their key; keys of over a 500th of all rows, 500 at most, are joined in parts."""
-    bound = max(HOT, sizes.count() // 500)
-    hot = F.broadcast(sizes.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bound).select(key, F.ceil(F.col("_n") / bound).cast("int").alias("_parts")))
-    dealt = rows.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
-    copied = values.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-    return dealt.join(copied.hint("merge"), [key, "_part"], "left").drop("_part")
-
-
 def _describe(size: int):
     def run(batches):
         for batch in batches:
@@ -130,8 +134,54 @@ def _describe(size: int):
     return run
 
 
-def _candidates(rows: DataFrame, total: int, size: int, percent: int) -> DataFrame:
-    """(i, j): classes that agree on a part. All of a part's classes hang together over their least."""
+def _cells(gram: np.ndarray) -> np.ndarray:
+    return (W.mix(gram + np.uint64(3)) >> np.uint64(64 - CELLS)).astype(np.uint32)
+
+
+def _common_grams(rows: DataFrame, size: int) -> np.ndarray:
+    """For each cell of n-grams the logarithm of how often it was met again within what one task had at hand.
+
+    It only puts the n-grams in an order, so it need not be exact. Whatever stands in more than about the root of the
+    number of such portions is met again somewhere. The table's size is fixed.
+    """
+
+    def again(held: list) -> pa.RecordBatch:
+        cells, n = np.unique(np.concatenate(held), return_counts=True)
+        cells, n = cells[n > 1], n[n > 1]
+        return blob_rows([(b, pack(cells[p], n[p].astype(np.uint32))) for b, p in by_bucket((cells >> np.uint32(CELLS - 6)).astype(np.int64))], _SENT)
+
+    def count(batches):
+        held, many = [], 0
+        for batch in batches:
+            for part in W.pieces(batch, "text"):
+                held.append(_cells(gram_sets(part.column("text"), size)[1]))
+                many += len(held[-1])
+                if many > 2 * FLUSH:
+                    yield again(held)
+                    held, many = [], 0
+        if held:
+            yield again(held)
+
+    def merge(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                cells, n = unpack(blob, np.uint32, np.uint32)
+                whole = total.setdefault(bucket, np.zeros(1 << (CELLS - 6), dtype=np.int64))
+                whole[cells & np.uint32((1 << (CELLS - 6)) - 1)] += n
+        for bucket, n in total.items():
+            level = np.ceil(np.log2(np.maximum(n, 1)) * 4).astype(np.uint8)
+            yield blob_rows([(bucket, level.tobytes())], _SENT)
+
+    out = np.zeros(1 << CELLS, dtype=np.uint8)
+    kept = rows.select("text").mapInArrow(count, "bucket int, blob binary").repartition(64, "bucket").mapInArrow(merge, "bucket int, blob binary")
+    for bucket, blob in kept.toLocalIterator():  # 2**CELLS bytes in all
+        out[bucket << (CELLS - 6) : (bucket + 1) << (CELLS - 6)] = np.frombuffer(blob, np.uint8)
+    return out
+
+
+def _candidates(rows: DataFrame, total: int, size: int, keys: Callable) -> DataFrame:
+    """(i, j): classes that share one of ``keys``. All classes of a key hang together over their least."""
     n = parts_for(rows.sparkSession, total // 4, GROUP_BYTES)
 
     def deal(batches):
@@ -140,11 +190,12 @@ def _candidates(rows: DataFrame, total: int, size: int, percent: int) -> DataFra
             for part in W.pieces(batch, "text"):
                 row, gram = gram_sets(part.column("text"), size)
                 count, name = _classes(row, gram, part.num_rows)
-                held += _signatures(row, gram, count, name, percent)
-                held_n = sum(len(x[0]) for x in held)
+                new = keys(row, gram, count, name)
+                held += new
+                held_n += sum(len(x[0]) for x in new)
                 if held_n > FLUSH:
                     yield from _flushed(held, n)
-                    held = []
+                    held, held_n = [], 0
         if held:
             yield from _flushed(held, n)
 
@@ -154,10 +205,21 @@ def _candidates(rows: DataFrame, total: int, size: int, percent: int) -> DataFra
             return
         sign, name, i, j = (np.concatenate(x) for x in zip(*sent, strict=True))
         a, b = _stars(sign, name)[:2]
-        pair = np.unique(np.stack([np.concatenate([i, a]), np.concatenate([j, b])]), axis=1)
-        yield pa.record_batch([pa.array(pair[0]), pa.array(pair[1])], schema=_EDGE)
+        yield pa.record_batch([pa.array(x) for x in forest(np.concatenate([i, a]), np.concatenate([j, b]))], schema=_EDGE)
 
-    return rows.select("text").mapInArrow(deal, "bucket int, blob binary").repartition(n, "bucket").mapInArrow(meet, "i bigint, j bigint").distinct()
+    return rows.select("text").mapInArrow(deal, "bucket int, blob binary").repartition(n, "bucket").mapInArrow(meet, "i bigint, j bigint")
+
+
+def first_grams(row, gram, count, name, percent: int, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n-gram, class) of the first of each set in the order of ``level`` and hash.
+
+    Near sets of sizes n and m share at least percent * max(n, m) / 100 n-grams, so of the first n - that + 1 of one and the
+    first of the other, in whatever order all keep to, one is the same.
+    """
+    order = np.lexsort((W.mix(gram ^ np.uint64(0xA5A5A5A5A5A5A5A5)), level[_cells(gram)], row))
+    start = np.cumsum(count) - count
+    many = np.where(count > 0, count - -(-count * percent // 100) + 1, 0)
+    return gram[order][W.ranges(start, many)], np.repeat(name, many)
 
 
 def _signatures(row, gram, count, name, percent) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -205,9 +267,15 @@ def _stars(sign: np.ndarray, name: np.ndarray):
 
 
 def _flushed(held: list, n: int):
+    """Signatures of a flush under the least class that theirs hangs together with, and each class with that one."""
     sign, name = (np.concatenate(x) for x in zip(*held, strict=True))
     i, j, sign, name = _stars(sign, name)
-    pair = np.unique(np.stack([i, j]), axis=1)
+    i, j = forest(i, j)
+    at = np.searchsorted(i, name)
+    known = at < len(i)
+    known[known] = i[at[known]] == name[known]
+    name = np.where(known, j[np.minimum(at, max(0, len(j) - 1))], name) if len(i) else name
+    pair = np.stack([i, j])
     rows = []
     to = dict(by_bucket(((pair[0].view(np.uint64) ^ pair[1].view(np.uint64)) % np.uint64(n)).astype(np.int64)))
     none = np.zeros(0, dtype=np.int64)
@@ -236,29 +304,36 @@ def _join(points: DataFrame, percent: int) -> DataFrame:
     """(i, j): links that connect what is connected, from regions split until a task can hold them."""
     out = None
     while True:
-        sizes = cut(points.groupBy("region").agg(F.count(F.lit(1)).alias("n")))
-        big = sizes.where(F.col("n") > REGION)
+        sizes = cut(points.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum(_grams()).alias("grams_n")))
+        big = sizes.where((F.col("n") > 1) & (_tasks() > 1)).withColumn("salts", _tasks())
         many = big.count()
         small = points.join(big.select("region"), "region", "left_anti") if many else points
         found = cut(small.groupBy("region").applyInArrow(_joined(percent), "i bigint, j bigint"))
         out = found if out is None else out.unionByName(found)
         if not many:
             return out
-        measured = cut(_measured(points, big))
-        links, stuck, points = _split(measured, big, percent)
+        links, stuck, points = _split(points, cut(_measured(points, big)), big, percent)
         out = out.unionByName(links).unionByName(cut(_tiled(stuck, percent)))
 
 
+def _grams() -> Column:
+    return F.octet_length("grams") / 8
+
+
+def _tasks() -> Column:
+    """How many tasks a region's n texts with grams_n n-grams are worth."""
+    return F.ceil(F.greatest(F.col("n") / REGION, F.col("grams_n") / REGION_GRAMS)).cast("int")
+
+
 def _measured(points: DataFrame, big: DataFrame) -> DataFrame:
-    """Points of large regions with the distances to their region's pivots, drawn by a hash of the class."""
+    """(region, class, pivots, common, united): large regions' texts and their pivots, drawn by a hash of the class."""
     large = points.join(big, "region")
     chance = F.pmod(F.xxhash64("class", "region"), F.lit(1 << 30)) / float(1 << 30)
     drawn = large.where(chance < 4.0 * PIVOTS / F.col("n"))
     order = Window.partitionBy("region").orderBy("c", "class")
     pivots = drawn.withColumn("c", chance).withColumn("k", F.row_number().over(order)).where(F.col("k") <= PIVOTS)
-    salts = F.ceil(F.col("n") / REGION).cast("int")
-    pivots = cut(pivots.select("region", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "k", "class", "grams"))
-    dealt = large.withColumn("salt", F.pmod(F.xxhash64("class"), salts).cast("int")).select("region", "salt", "class", "grams")
+    pivots = cut(pivots.select("region", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "k", "class", "grams"))
+    dealt = large.withColumn("salt", F.pmod(F.xxhash64("class"), "salts").cast("int")).select("region", "salt", "class", "grams")
 
     def measure(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         order = np.argsort(theirs.column("k").to_numpy())
@@ -270,51 +345,59 @@ def _measured(points: DataFrame, big: DataFrame) -> DataFrame:
         lists = lambda x, t: pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * len(sets), pa.int32()), pa.array(x.ravel(), t))
         whole = np.broadcast_to(names, (len(n), len(names)))
         return pa.table({
-            "region": mine.column("region"), "class": mine.column("class"), "grams": mine.column("grams"), "pivots": lists(np.ascontiguousarray(whole), pa.int64()),
+            "region": mine.column("region"), "class": mine.column("class"), "pivots": lists(np.ascontiguousarray(whole), pa.int64()),
             "common": lists(common, pa.int64()), "united": lists(united, pa.int64()),
         })
 
     return dealt.groupBy("region", "salt").cogroup(pivots.groupBy("region", "salt")).applyInArrow(
-        measure, "region bigint, class bigint, grams binary, pivots array<bigint>, common array<bigint>, united array<bigint>"
+        measure, "region bigint, class bigint, pivots array<bigint>, common array<bigint>, united array<bigint>"
     )
 
 
-def _split(measured: DataFrame, big: DataFrame, percent: int):
+def _split(points: DataFrame, measured: DataFrame, big: DataFrame, percent: int):
     """(links to pivots, regions that pivots don't part, the regions that they do)."""
     radius = 1 - percent / 100
-    each = measured.select("region", "class", F.explode(F.arrays_zip("pivots", "common", "united")).alias("x")).select("region", "class", "x.*")
-    linked = F.col("common") * 100 >= F.col("united") * percent
-    links = cut(each.where(linked & (F.col("pivots") != F.col("class"))).select(F.col("class").alias("i"), F.col("pivots").alias("j")))
-    far = 1 - F.col("common") / F.col("united")
-    nearest = each.where(~linked).groupBy("region", "pivots").agg(F.min(far).alias("edge"))  # the nearest outsider of each ball
+    balls = F.arrays_zip("pivots", "common", "united")
+    held = lambda x: x["common"] * 100 >= x["united"] * percent
+    d = lambda x: 1 - x["common"] / x["united"]
+    # a text links to the first pivot whose ball holds it, and that pivot to the others, once each
+    near = measured.select("region", "class", F.transform(F.filter(balls, held), lambda x: x["pivots"]).alias("near")).where(F.size("near") > 0)
+    first = near.where(F.get("near", F.lit(0)) != F.col("class")).select(F.col("class").alias("i"), F.get("near", F.lit(0)).alias("j"))
+    among = near.where(F.size("near") > 1).select("near").distinct().select(F.get("near", F.lit(0)).alias("i"), F.explode(F.slice("near", F.lit(2), F.size("near"))).alias("j")).distinct()
+    links = cut(first.unionByName(among))
+    each = measured.select("region", F.explode(F.filter(balls, lambda x: ~held(x))).alias("x")).select("region", "x.*")
+    nearest = each.groupBy("region", "pivots").agg(F.min(1 - F.col("common") / F.col("united")).alias("edge"))  # the nearest outsider of each ball
     edges = nearest.groupBy("region").agg(F.map_from_entries(F.collect_list(F.struct("pivots", "edge"))).alias("edges"))  # PIVOTS at most
     lonely = F.create_map().cast("map<bigint,double>")
     known = measured.join(edges, "region", "left").withColumn("edges", F.coalesce("edges", lonely))
-    balls = F.arrays_zip("pivots", "common", "united")
-    d = lambda x: 1 - x["common"] / x["united"]
-    done = F.exists(balls, lambda x: (x["common"] * 100 >= x["united"] * percent) & (d(x) < F.coalesce(F.element_at("edges", x["pivots"]), F.lit(2.0)) - radius - SLACK))
-    left = known.where(~done)
+    done = F.exists(balls, lambda x: held(x) & (d(x) < F.coalesce(F.element_at("edges", x["pivots"]), F.lit(2.0)) - radius - SLACK))
     close = F.array_min(F.transform(balls, d))
-    homes = F.filter(balls, lambda x: d(x) <= close + 2 * radius + SLACK)
-    moved = left.select("region", "class", "grams", F.explode(F.transform(homes, lambda x: x["pivots"])).alias("pivot"))
-    moved = cut(moved.select("region", F.xxhash64("region", "pivot").alias("child"), "class", "grams"))
+    homes = F.transform(F.filter(balls, lambda x: d(x) <= close + 2 * radius + SLACK), lambda x: x["pivots"])
+    left = cut(known.where(~done).select("region", "class", homes.alias("homes")))
+    moved = left.select("region", "class", F.explode("homes").alias("pivot")).select("region", "class", F.xxhash64("region", "pivot").alias("child"))
     sizes = moved.groupBy("region", "child").agg(F.count(F.lit(1)).alias("m")).join(big, "region")
     # a region whose children are hardly smaller is joined by tiles instead
     stuck = cut(sizes.groupBy("region").agg(F.max(F.col("m") > 0.7 * F.col("n")).alias("stuck")).where("stuck").select("region"))
-    rest = left.select("region", "class", "grams")
-    parted = moved.join(stuck, "region", "left_anti").select(F.col("child").alias("region"), "class", "grams")
-    return links, rest.join(stuck, "region", "left_semi"), cut(parted)
+    parted = moved.join(stuck, "region", "left_anti")
+    parted = points.join(parted.hint("merge"), ["region", "class"]).select(F.col("child").alias("region"), "class", "grams")
+    rest = left.join(stuck, "region", "left_semi").select("region", "class")
+    return links, points.join(rest.hint("merge"), ["region", "class"]), cut(parted)
 
 
 def _tiled(points: DataFrame, percent: int) -> DataFrame:
-    """Every two tiles of a region in one task."""
-    sized = points.join(points.groupBy("region").agg(F.count(F.lit(1)).alias("n")), "region")
-    tiles = F.ceil(F.col("n") * 2 / REGION).cast("int")
-    own = sized.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("class", F.lit(9)), F.col("tiles")).cast("int"))
-    met = own.select("region", "class", "grams", "tile", "tiles", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    met = met.where((F.col("tile") != F.col("other")) | (F.col("tiles") == 1))
-    pair = F.xxhash64("region", F.least("tile", "other"), F.greatest("tile", "other"))
-    return met.select(pair.alias("region"), "class", "grams").groupBy("region").applyInArrow(_joined(percent), "i bigint, j bigint")
+    """Every two tiles of a region in one task. Near sets differ in size by the radius at most, so tiles are cut within
+    bands of sizes, and meet those of their own band and of the next ones."""
+    grow = math.log(100 / percent) + SLACK if percent < 100 else SLACK
+    own = points.withColumn("band", F.floor(F.log(_grams()) / grow)) if percent < 100 else points.withColumn("band", _grams().cast("bigint"))
+    sizes = own.groupBy("region", "band").agg(F.count(F.lit(1)).alias("n"), F.sum(_grams()).alias("grams_n"))
+    sizes = cut(sizes.select("region", "band", F.ceil(2 * F.greatest(F.col("n") / REGION, F.col("grams_n") / REGION_GRAMS)).cast("int").alias("tiles")))
+    own = own.join(sizes, ["region", "band"]).withColumn("tile", F.pmod(F.xxhash64("class", F.lit(9)), F.col("tiles")).cast("int"))
+    # which bands a band meets, each with the tiles there
+    step = sizes.select("region", "tiles", F.col("band").alias("with"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    met = own.drop("tiles").join(step.hint("merge"), ["region", "band"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    here, there = F.struct(F.col("band").alias("band"), F.col("tile").alias("tile")), F.struct(F.col("with").alias("band"), F.col("other").alias("tile"))
+    met = met.select(F.xxhash64("region", F.least(here, there), F.greatest(here, there)).alias("pair"), "class", "grams")
+    return met.select(F.col("pair").alias("region"), "class", "grams").groupBy("region").applyInArrow(_joined(percent), "i bigint, j bigint")
 
 
 def _flat_sets(col) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -376,13 +459,16 @@ def component_links(n: np.ndarray, flat: np.ndarray, start: np.ndarray, percent:
         ends = np.cumsum(n[among])
         return total[ends] - total[ends - n[among]]
 
-    weight = np.bincount(flat, minlength=width).astype(float)
-    total = np.concatenate([[0.0], np.cumsum(weight[flat])])
+    held = np.bincount(flat, minlength=width)  # in how many sets each n-gram is, and in which
+    at = np.cumsum(held) - held
+    owner = np.repeat(np.arange(len(n)), n)[np.argsort(flat, kind="stable")] if len(flat) else np.zeros(0, np.int64)
+    total = np.concatenate([[0.0], np.cumsum(held[flat].astype(float))])
     worth = (total[start + n] - total[start]) / np.maximum(n, 1)
     active = np.argsort(-worth, kind="stable")
     while len(active) > 1:
         p, rest = int(active[0]), active[1:]
-        common = measure(p, rest)
+        own = flat[start[p] : start[p] + n[p]]
+        common = np.bincount(owner[W.ranges(at[own], held[own])], minlength=len(n))[rest]
         united = n[p] + n[rest] - common
         near = 100 * common >= percent * united
         away = 1 - common / united
