@@ -26,7 +26,7 @@ UNITS = (
 ).split()
 
 _NUMBER = r"(?<!\S)[(\[\"'$€£+-]*\d[\d.,:/%°()-]*[\"'\]).,;:!?]*(?!\S)"
-_NAME = r"(?<=[^\s.!?:\"]\s{1,3})[(\[\"']*\p{Lu}\p{L}*(?:['-]\p{L}+)*[\"')\].,;:!?]*(?!\S)"
+_NAME = rf"{START}(?<=[^\s.!?:\"]\s{{1,3}}{START})"
 _START = r"(?<!\S)[(\[\"']*\p{Lu}\p{L}*(?:['-]\p{L}+)*[\"')\].,;:!?]*(?!\S)"
 _UNIT = rf"(?i)(?<={NUM}\s{{1,3}})({NAME}?)(?:{'|'.join(UNITS)})[)\].,;:!?]*(?!\S)"
 _SPLIT = r"[\x20\x09-\x0D]+"
@@ -44,16 +44,19 @@ def _lowered(text: Column) -> Column:
 
 def originals(text: Column) -> Column:
     """Words with a letter or digit, as written."""
-    return F.filter(F.split(_free(text), _SPLIT), lambda t: t.rlike(r"[\p{L}\p{N}]"))
+    return _split(F.regexp_replace(_free(text), r"(?<!\S)[^\p{L}\p{N}\x09-\x0D\x20]+(?!\S)", ""))
 
 
 def marked(text: Column) -> Column:
     """Lowered words without punctuation: numbers replaced, NAME before names within a sentence, START before other
     capitalised words, and UNIT in place of units, also of marked ones."""
-    t = F.regexp_replace(F.regexp_replace(_free(text), _NUMBER, NUM), _NAME, f"{NAME}$0")
-    t = _lowered(F.regexp_replace(F.regexp_replace(t, _START, f"{START}$0"), _UNIT, f"$1{UNIT}"))
-    t = F.regexp_replace(t, r"[^\p{L}\p{N}\p{M}\x09-\x0D\x20\ue000-\ue003]+", "")
-    return F.regexp_replace(t, r"(?<!\S)\p{M}+(?!\S)", "")
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(_free(text), _NUMBER, NUM), _START, f"{START}$0"), _NAME, NAME)
+    return F.regexp_replace(_unpointed(_lowered(F.regexp_replace(t, _UNIT, f"$1{UNIT}"))), r"(?<!\S)\p{M}+(?!\S)", "")
+
+
+def _unpointed(text: Column) -> Column:
+    """Words freed of punctuation, also within them; placeholders stay."""
+    return F.regexp_replace(text, r"[^\p{L}\p{N}\p{M}\x09-\x0D\x20\ue000-\ue003]+", "")
 
 
 def _split(text: Column) -> Column:
@@ -78,7 +81,7 @@ def cased(mark: Column) -> Column:
 def literal(text: Column) -> Column:
     """The words of ``originals`` lowered, without punctuation around them: values stay."""
     t = F.regexp_replace(_lowered(_free(text)), r"(?<!\S)[^\p{L}\p{N}\x09-\x0D\x20]+|[^\p{L}\p{N}%\x09-\x0D\x20]+(?!\S)", "")
-    return F.filter(F.split(t, _SPLIT), lambda x: x.rlike(r"[\p{L}\p{N}]"))
+    return _split(t)
 
 
 def _hashes(words: Column) -> Column:
@@ -112,19 +115,21 @@ def benchmark_windows(benchmark: DataFrame, *, item_col: str = "item_id", text_c
 
 
 def document_windows(rows: DataFrame, sizes: list[tuple[int, bool]], any_case: bool = False) -> DataFrame:
-    """(key, pos, window) of every row (key, text), for each size that items have; with literal words where that is true."""
-    texts = rows.select("key", marked(F.col("text")).alias("m"), *([literal(F.col("text")).alias("l")] if any(x for _, x in sizes) else []))
+    """(key, pos, size, window, words) of every row (key, text), for each size that items have; with literal words where
+    that is true. ``words`` are those of the place as written.
+    """
+    texts = rows.select("key", originals(F.col("text")).alias("o"), marked(F.col("text")).alias("m"), *([literal(F.col("text")).alias("l")] if any(x for _, x in sizes) else []))
     words = {"ht": template(F.col("m")), "hs": started(F.col("m"))} | ({"hc": cased(F.col("m"))} if any_case else {}) | ({"hl": F.col("l")} if "l" in texts.columns else {})
-    texts = texts.select("key", *[_hashes(w).alias(name) for name, w in words.items()])
+    texts = texts.select("key", "o", *[_hashes(w).alias(name) for name, w in words.items()])
 
     def places(size: int, literals: bool) -> Column:
         forms = [f for f in words if literals or f != "hl"]
         upto = F.size("ht") - size
-        one = lambda i: F.struct(i.alias("pos"), F.array_distinct(F.array(*[_window(F.col(f), i, size) for f in forms])).alias("windows"))
-        return F.when(upto >= 0, F.transform(F.sequence(F.lit(0), upto), one)).otherwise(F.array().cast("array<struct<pos:int,windows:array<bigint>>>"))
+        one = lambda i: F.struct(i.alias("pos"), F.lit(size).alias("size"), F.array_distinct(F.array(*[_window(F.col(f), i, size) for f in forms])).alias("windows"))
+        return F.when(upto >= 0, F.transform(F.sequence(F.lit(0), upto), one)).otherwise(F.array().cast("array<struct<pos:int,size:int,windows:array<bigint>>>"))
 
-    each = texts.select("key", F.explode(F.concat(*[places(*s) for s in sizes])).alias("x"))
-    return each.select("key", "x.pos", F.explode("x.windows").alias("window"))
+    each = texts.select("key", "o", F.explode(F.concat(*[places(*s) for s in sizes])).alias("x"))
+    return each.select("key", "x.pos", "x.size", F.slice("o", F.col("x.pos") + 1, F.col("x.size")).alias("words"), F.explode("x.windows").alias("window"))
 
 
 def find_leaks(
@@ -144,9 +149,10 @@ def find_leaks(
     sizes = [tuple(r) for r in known.groupBy("size").agg(F.max("literal")).orderBy("size").collect()]  # at most WINDOW of them
     seen = document_windows(rows, sizes or [(WINDOW, False)], any_case)
     few = known.count() <= SEND_ROWS
-    hits = seen.join(F.broadcast(known) if few else known.hint("merge"), "window")
-    hits = hits.groupBy("key", "item", "at", "pos").agg(*[F.max(c).alias(c) for c in ("size", "typed", "n_typed", "n_all")]).withColumn("shift", F.col("pos") - F.col("at"))
-    found = cut(_alignments(cut(hits), share))
+    hits = seen.join(F.broadcast(known) if few else known.hint("merge"), ["window", "size"])
+    kept = [*[F.max(c).alias(c) for c in ("size", "typed", "n_typed", "n_all")], F.first("words").alias("words")]
+    hits = cut(hits.groupBy("key", "item", "at", "pos").agg(*kept).withColumn("shift", F.col("pos") - F.col("at")))
+    found = cut(_alignments(hits.drop("words"), share))
     # slots of the matched windows, item value against document value
     text = F.col(item_text_col).cast("string")
     items = benchmark.where(text.isNotNull()).select(F.col(item_col).alias("item"), marked(text).alias("m"), originals(text).alias("o"))
@@ -154,12 +160,11 @@ def find_leaks(
     token = F.transform("s", lambda x, k: F.struct(x.alias("kind"), F.get("o", k).alias("value"), ((x == NAME) & (F.get("t", k) != NAME)).alias("begins")))
     slots = items.select("item", F.posexplode(token).alias("place", "x"))
     slots = cut(slots.where(F.col("x.kind").isin(NUM, NAME, UNIT)).select("item", "place", "x.kind", "x.value", "x.begins").distinct())
-    spread = found.select("key", "item", "start", "shift", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1)).alias("place")).distinct()
-    asked = cut(spread.join(slots, ["item", "place"]).select("key", "item", "start", "kind", "value", "begins", (F.col("place") + F.col("shift")).alias("pos")))
-    needed = asked.select("key").distinct()
-    words = rows.join(needed, "key", "left_semi").distinct().select("key", F.posexplode(originals(F.col("text"))).alias("pos", "other"))
+    met = found.join(hits.select("key", "item", "at", "shift", "words").hint("merge"), ["key", "item", "at", "shift"])
+    spread = met.select("key", "item", "start", "shift", "at", F.posexplode("words").alias("k", "other")).select("key", "item", "start", "shift", (F.col("at") + F.col("k")).alias("place"), "other")
+    asked = spread.distinct().join(slots, ["item", "place"])
     clean = lambda c: F.regexp_replace(F.lower(c), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}%]+$", "")
-    pairs = asked.join(words, ["key", "pos"]).select("key", "item", "start", "kind", "begins", clean(F.col("value")).alias("value"), clean(F.col("other")).alias("other"))
+    pairs = asked.select("key", "item", "start", "kind", "begins", clean(F.col("value")).alias("value"), clean(F.col("other")).alias("other"))
     many = pairs.groupBy("key", "item", "start", "kind", "value", "other").agg(F.count(F.lit(1)).alias("n"), F.max(~F.col("begins")).alias("firm"))
     # a word that only begins sentences is a name's value if the document has another in its place
     alters = F.max(F.col("value") != F.col("other")).over(Window.partitionBy("key", "item", "start", "kind", "value"))
