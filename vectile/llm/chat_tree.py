@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -208,15 +209,15 @@ def read_chat_tree(spark: SparkSession, path: str, vocabulary: str) -> DataFrame
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(vocabulary)
+        text_of = lru_cache(1 << 12)(lambda ids: tokenizer.decode(np.frombuffer(ids, np.uint32).tolist(), skip_special_tokens=False))  # heads and ends are few
         for batch in batches:
-            ids = [np.frombuffer(b, np.uint32) for b in batch.column("ids").to_pylist()]
-            texts = tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+            blobs, loss, lo, hi = (batch.column(c).to_pylist() for c in ("ids", "loss", "body_from", "body_to"))
+            bodies = tokenizer.decode_batch([np.frombuffer(x, np.uint32)[a:b].tolist() for x, a, b in zip(blobs, lo, hi, strict=True)], skip_special_tokens=False)
+            texts = [text_of(x[: 4 * a]) + body + text_of(x[4 * b :]) for x, a, body, b in zip(blobs, lo, bodies, hi, strict=True)]
             parsed = [_TURN.fullmatch(t) for t in texts]
-            spans = zip(ids, batch.column("loss").to_pylist(), batch.column("body_from").to_pylist(), batch.column("body_to").to_pylist(), strict=True)
-            learnt = tokenizer.decode_batch([x[a:b].tolist() if loss else [] for x, loss, a, b in spans], skip_special_tokens=False)
             yield pa.RecordBatch.from_pydict({
                 "offset": batch.column("offset"), "role": [unescaped_role(m[1]) for m in parsed], "text": [unescaped(m[2]) for m in parsed],
-                "learnt": [unescaped(x) for x in learnt], "chars": pa.array([len(t) for t in texts], pa.int64()),
+                "learnt": [unescaped(x) if k else "" for x, k in zip(bodies, loss, strict=True)], "chars": pa.array([len(t) for t in texts], pa.int64()),
             })
 
     read = turns.select("offset", "ids", "loss", "body_from", "body_to").mapInArrow(decode, "offset long, role string, text string, learnt string, chars long")
