@@ -249,3 +249,19 @@ def test_against_sql(spark, name):
     rows = lambda d: sorted((tuple(map(cell, r)) for r in d[sorted(d.columns)].itertuples(index=False)), key=str)
     got, want = QUERIES[name](spark, SF).toPandas(), con.execute(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+
+
+def test_fits_are_bounded_by_ids(spark):
+    """One id on most rows, and labelled: it teaches once."""
+    from vectile.llm import decision_list, language_id
+
+    text = lambda k: " ".join(f"word{(k * 7 + j * j) % 97}" for j in range(40))
+    rows = [(1, text(k), "en") for k in range(300)] + [(k, text(k), ("en", "de")[k % 2]) for k in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, language_id.F.lit(True))
+    assert model.languages == ("de", "en")
+    got = language_id.predict(docs, model).collect()
+    assert len(got) == len(rows)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 40)], "doc_id long, quality int")
+    judged, _ = decision_list.apply_rules(docs, labels)
+    assert judged.count() == len(rows)

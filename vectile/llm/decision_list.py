@@ -143,7 +143,7 @@ def apply_rules(
 
     base_failed: under 10 words, or over a fifth of the words repeat (``n_repeat_words``); such rows teach nothing.
     kept: false if base_failed or a learned rule holds. Labels: 0 is bad; several for an id count as their least, null
-    ones not at all. Without labels the list is empty. Equal rows are judged alike and each kept.
+    ones not at all; of an id's rows the one with the least statistics teaches. Without labels the list is empty. Equal rows are judged alike and each kept.
     """
     stats = cut(statistics(docs, id_col=id_col, text_col=text_col)).withColumnRenamed(id_col, "id")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
@@ -151,7 +151,8 @@ def apply_rules(
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("label"))
     drawn = known.orderBy(F.xxhash64("id"), "id").limit(train_rows)  # train_rows rows, small enough to send everywhere
-    taught = stats.where(~F.col("base_failed")).join(F.broadcast(drawn), "id").select("label", *FEATURES)
+    taught = stats.where(~F.col("base_failed")).join(F.broadcast(drawn), "id")
+    taught = taught.groupBy("id").agg(F.min(F.struct("label", *FEATURES)).alias("x")).select("x.*")  # one row an id, the least
     rows = taught.toPandas()
     x = {c: rows[c].to_numpy(dtype=float) for c in FEATURES}
     rules = learn_list(x, rows["label"].to_numpy() == 0, **options)

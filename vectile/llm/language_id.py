@@ -68,17 +68,17 @@ def fit(
 ) -> KernelModel:
     """Learn from the rows where ``usable`` holds and text, id and language are not null.
 
-    At most ``3 * per_language`` texts of a language leave the executors, as packed presence bits of a kilobyte, so the
+    An id gives one text, that of the least hash, however many rows it has. At most ``per_language`` texts of a language leave the executors, as packed presence bits of a kilobyte, so the
     sample is bounded by the number of languages. No usable row: a model without languages.
     """
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), draw.alias("draw"))
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # a row per language
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("id").alias("n"))  # a row per language
     share = F.broadcast(sizes.select("lang", (F.lit(2.0 * per_language) / F.col("n")).alias("share")))
-    near = rows.select("id", "lang", "draw").join(share, "lang").where(F.col("draw") < F.col("share"))
+    near = rows.select("id", "lang", "draw").join(share, "lang").where(F.col("draw") < F.col("share")).select("id", "lang", "draw").distinct()
     order = Window.partitionBy("lang").orderBy("draw", "id")
-    picked = near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("id", "lang", "k").distinct()
+    picked = near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("id", "lang", "k")
 
     def pack(batches):
         for batch in batches:
@@ -88,7 +88,9 @@ def fit(
                     {"lang": part.column("lang"), "k": part.column("k"), "bits": pa.array([b.tobytes() for b in bits], pa.binary())}
                 )
 
-    found = rows.join(F.broadcast(picked), ["id", "lang"]).select("lang", "k", "text").mapInArrow(pack, "lang string, k int, bits binary").collect()
+    # of an id's rows the one with the least text hash
+    drawn = rows.join(F.broadcast(picked), ["id", "lang"]).groupBy("lang", "k").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    found = drawn.select("lang", "k", "text").mapInArrow(pack, "lang string, k int, bits binary").collect()
     found.sort(key=lambda r: (r["lang"], r["k"], bytes(r["bits"])))
     languages = tuple(sorted({r["lang"] for r in found}))
     if not languages:
