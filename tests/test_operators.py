@@ -630,3 +630,11 @@ def test_nan_is_missing(spark):
     got = sorted(str(r["x"]) for r in minmax_scale(df, ["x"]).collect())
     assert got == ["0.0", "0.5", "1.0", "None", "nan"]
     assert sorted((r["bin"], r["n"]) for r in histogram(df, ["x"], 2).collect()) == [(0, 1), (1, 2)]
+
+
+def test_dedupe_keeps_one_id_a_key(spark):
+    from vectile.operators.profile import dedupe_keep_first
+
+    rows = [(1, "a"), (2, "a"), (1, "b"), (3, "b"), (None, "c"), (None, "a"), (5, None), (4, None), (7, ""), (1, "d"), (0, "d")]
+    got = dedupe_keep_first(spark.createDataFrame(rows, "i long, k string"), "k", "i").collect()
+    assert {tuple(r) for r in got} == {(1, "a"), (1, "b"), (None, "c"), (4, None), (7, ""), (0, "d")}

@@ -238,14 +238,16 @@ def attach(left: DataFrame, right: DataFrame, id_col: str, how: str = "inner") -
 
 
 def dedupe_keep_first(df: DataFrame, key: str, id_col: str) -> DataFrame:
-    """The row of lowest id per key; ids are unique.
+    """The row of lowest id per key; a null key is a key, a null id is the highest.
 
+    Where rows of a key share its lowest id, all of them stay; an id on rows of several keys is judged for each key.
     Only a digest of the key and the id are aggregated, before the shuffle too, so hot keys stay small and long keys
-    aren't carried; the rows come back by id.
+    aren't carried; the rows come back by digest and id.
     """
-    digest = F.when(F.col(key).isNotNull(), F.sha2(F.col(key).cast("string"), 256))
-    first = df.groupBy(digest.alias("__k")).agg(F.min(id_col).alias(id_col)).select(id_col)
-    return df.join(first, id_col, "left_semi").select(*df.columns)
+    digest = F.coalesce(F.sha2(F.col(key).cast("string"), 256), F.lit(""))
+    first = df.groupBy(digest.alias("__k")).agg(F.min(id_col).alias("__id"))
+    held = df.withColumn("__d", digest)
+    return held.join(first, (F.col("__d") == F.col("__k")) & held[id_col].eqNullSafe(first["__id"]), "left_semi").select(*df.columns)
 
 
 def factorize(df: DataFrame, col: str, id_col: str) -> DataFrame:
