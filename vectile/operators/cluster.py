@@ -142,7 +142,8 @@ def _seeds(df: DataFrame, id_col: str, vec_col: str, ks: Sequence[int], init_met
                         key = np.where(gap > 0, -np.log(u) / gap, np.inf)
                     at = np.argsort(key, kind="stable")[: 2 * k]
                     at = at[np.isfinite(key[at])]
-                    yield pd.DataFrame({"k": k, "key": key[at], "vec": list(x[at])})
+                    if len(at):  # none where all rows of the batch are copies of drawn ones
+                        yield pd.DataFrame({"k": k, "key": key[at], "vec": list(x[at])})
 
         one = points.withColumn("u", unit_float(F.concat(F.col("id"), F.lit(f":{seed}:{r}"))))
         order = Window.partitionBy("k").orderBy("key")
