@@ -23,7 +23,8 @@ from vectile.operators import sampling as sp
 from vectile.operators import sets as st
 from vectile.operators import blocks
 from vectile.operators.blocks import pairwise, tile
-from vectile.plans.clustering import ClusterRun, RunConfig
+from vectile.plans.clustering import ClusterRun, RunConfig, TextRun
+from vectile.plans.descriptors import register_model
 from vectile.sources import readers, sinks
 
 RNG = np.random.default_rng(7)
@@ -638,3 +639,67 @@ def test_dedupe_keeps_one_id_a_key(spark):
     rows = [(1, "a"), (2, "a"), (1, "b"), (3, "b"), (None, "c"), (None, "a"), (5, None), (4, None), (7, ""), (1, "d"), (0, "d")]
     got = dedupe_keep_first(spark.createDataFrame(rows, "i long, k string"), "k", "i").collect()
     assert {tuple(r) for r in got} == {(1, "a"), (1, "b"), (None, "c"), (4, None), (7, ""), (0, "d")}
+
+
+# -- runs from texts -----------------------------------------------------------------------------
+
+TEXTS = [f"alpha beta gamma delta {w}" for w in "abcdef"] + [f"one two three four five {w}" for w in "uvwxyz"]
+
+
+def text_frame(spark):
+    rows = [(i, t, "x" if i < 6 else "y") for i, t in enumerate(TEXTS)] + [(12, None, "x"), (13, TEXTS[0], "x"), (14, "", "y")]
+    return spark.createDataFrame(rows, "key long, body string, label string").withColumn("text", F.lit("other"))
+
+
+def text_run(spark, config, **more):
+    return TextRun(text_frame(spark), config, id_col="key", text_col="body", label_col="label", **more)
+
+
+def test_text_run_clusters_sets_without_reduction(spark):
+    run = text_run(spark, RunConfig("butina", {"threshold": 0.8}), descriptor="fingerprint", descriptor_params={"n_bits": 512})
+    assert run.config.reduction is None
+    out = run.report()
+    got = {r["id"]: r["cluster"] for r in out.labels.collect()}
+    assert set(got) == set(range(12)) | {13, 14}  # the null text takes no part
+    assert len({got[i] for i in (*range(6), 13)}) == 1 and len({got[i] for i in range(6, 12)}) == 1 and len(set(got.values())) == 3
+    scores = {r["metric"]: r["value"] for r in out.scores.collect()}
+    assert len(scores) == 7 and scores["homogeneity-index"] == pytest.approx(1.0)
+    assert out.projection.count() == 2 * len(got)
+    bits = {r["id"]: set(r["feature"]) for r in run.features.collect()}
+    edges, points, members = run._edges(0.5, "tanimoto")
+    reps = {r["id"] for r in points.collect()}
+    want = {(a, b) for a in reps for b in reps if a < b and len(bits[a] & bits[b]) >= 0.5 * len(bits[a] | bits[b]) > 0}
+    assert {(r["i"], r["j"]) for r in edges.collect()} == want and members.count() == len(got)
+    with pytest.raises(ValueError):
+        run.cluster(threshold=1.0)
+
+
+def test_text_run_from_vectors(spark):
+    run = text_run(spark, RunConfig("butina", {"threshold": 0.9, "distance_metric": "tanimoto"}, reduction=None), descriptor_params={"dim": 16})
+    assert run.config.params["distance_metric"] == "euclidean"
+    rows = {r["id"]: np.array(r["vector"]) for r in run.rows.collect()}
+    assert set(rows) == set(range(12)) | {13, 14} and all(len(v) == 16 for v in rows.values())
+    assert all(np.linalg.norm(v) == pytest.approx(1) or not v.any() for v in rows.values())
+    assert set(run.cluster()[0].columns) == {"id", "cluster"}
+    named = text_run(spark, RunConfig("k-means", {"n_clusters": 2}, "pca", metrics=["silhouette"]), descriptor="word2vec", descriptor_params={"width": 4})
+    assert [r["metric"] for r in named.run()[1].collect()] == ["silhouette", "inertia"]
+
+
+def test_text_run_checks_names(spark):
+    df = text_frame(spark)
+    for more in ({"descriptor": "nope"}, {"descriptor_params": {"radii": 1}}, {"descriptor": "word2vec", "descriptor_params": {"seed": 1}}):
+        with pytest.raises(ValueError):
+            TextRun(df, RunConfig(reduction=None), id_col="key", text_col="body", **more)
+    with pytest.raises(ValueError):
+        RunConfig(metrics=["nope"])
+    register_model("lengths-of-texts", lambda: lambda texts: [[float(len(t)), 1.0, 0.0] for t in texts])
+    run = TextRun(df, RunConfig("k-means", reduction=None), descriptor="lengths-of-texts", id_col="key", text_col="body")
+    assert run.rows.where("id = 0").first()["vector"] == [float(len(TEXTS[0])), 1.0, 0.0]
+    with pytest.raises(ValueError):
+        register_model("Hashed", lambda: None)
+
+
+def test_text_run_of_no_rows(spark):
+    none = text_frame(spark).where("key < 0")
+    run = TextRun(none, RunConfig("butina", reduction=None), descriptor="fingerprint", id_col="key", text_col="body")
+    assert run.cluster()[0].count() == 0

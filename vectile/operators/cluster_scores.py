@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -260,6 +260,7 @@ def _from_labels(column: str) -> Callable[..., DataFrame]:
     return lambda df, id_col, vec, cluster, label: label_scores(df, label, cluster).select(column)
 
 
+LABEL_SCORES = ("adjusted_rand", "completeness", "homogeneity", "mutual_info")  # columns of label_scores
 CLUSTER_METRICS = (
     ClusterMetric("adjusted-rand-index", _from_labels("adjusted_rand"), "adjusted_rand", True),
     ClusterMetric(
@@ -275,22 +276,30 @@ CLUSTER_METRICS = (
 
 def evaluate_clusters(
     df: DataFrame, id_col: str, vec: str, cluster: str, *, label: str | None = None, param: str, param_value: Column | float,
-    inertia: float | None = None, drop_noise: bool = False,
+    inertia: float | None = None, drop_noise: bool = False, metrics: Sequence[str] | None = None,
 ) -> DataFrame:
-    """(param, param_value, metric, value): every registered score of one run, as long rows.
+    """(param, param_value, metric, value): every registered score of one run, or the named ones, as long rows.
 
     Scores against true labels are left out when there is no label column or it holds one value only.
     Noise (-1) is scored as a cluster of its own unless ``drop_noise``.
     """
     rows = df.where(F.col(cluster) >= 0) if drop_noise else df
     has_truth = label is not None and label in df.columns and df.select(label).distinct().limit(2).count() > 1
+    wanted = [
+        m for m in CLUSTER_METRICS if (has_truth or not m.need_true_labels) and (metrics is None or m.name in metrics)
+    ]
     frames = [
         m.function(rows, id_col, vec, cluster, label).select(F.lit(m.name).alias("metric"), F.col(m.column).cast("double").alias("value"))
-        for m in CLUSTER_METRICS
-        if has_truth or not m.need_true_labels
+        for m in wanted
+        if m.column not in LABEL_SCORES
     ]
+    if of_labels := [m for m in wanted if m.column in LABEL_SCORES]:  # all from one contingency table
+        pairs = F.array(*[F.struct(F.lit(m.name).alias("metric"), F.col(m.column).alias("value")) for m in of_labels])
+        frames.append(label_scores(rows, label, cluster).select(F.inline(pairs)))
     if inertia is not None:
         frames.append(df.sparkSession.createDataFrame([("inertia", float(inertia))], "metric string, value double"))
+    if not frames:  # the named scores all need true labels
+        frames.append(df.sparkSession.createDataFrame([], "metric string, value double"))
     value = param_value if isinstance(param_value, Column) else F.lit(float(param_value))
     return reduce(DataFrame.unionByName, frames).select(
         F.lit(param).alias("param"), value.alias("param_value"), "metric", "value"

@@ -14,6 +14,7 @@ MODULES = (
     "score_queries",
     "set_queries",
     "run_queries",
+    "text_run_queries",
 )
 
 

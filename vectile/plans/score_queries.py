@@ -72,7 +72,7 @@ def inertia(spark, sf):
 # -- scores against labels -----------------------------------------------------------------------
 
 LAB_SQL = f"{ASSIGN_SQL}, lab AS (SELECT e.id, e.label, a0.k AS cluster FROM e JOIN a0 USING (id))"
-CELL_SQL = f"""{LAB_SQL}, cell AS (SELECT label, cluster, count(*)::DOUBLE AS n FROM lab GROUP BY ALL),
+CELLS_OF_LAB_SQL = """cell AS (SELECT label, cluster, count(*)::DOUBLE AS n FROM lab GROUP BY ALL),
    ra AS (SELECT label, sum(n) AS a FROM cell GROUP BY label), cb AS (SELECT cluster, sum(n) AS b FROM cell GROUP BY cluster),
    t AS (SELECT sum(n) AS n FROM cell),
    mi AS (SELECT sum(cell.n / t.n * ln(t.n * cell.n / (a * b))) AS mi FROM cell JOIN ra USING (label) JOIN cb USING (cluster), t),
@@ -80,6 +80,7 @@ CELL_SQL = f"""{LAB_SQL}, cell AS (SELECT label, cluster, count(*)::DOUBLE AS n
    s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM cell) AS c2, (SELECT sum(a * (a - 1) / 2) FROM ra) AS a2,
                 (SELECT sum(b * (b - 1) / 2) FROM cb) AS b2, (SELECT n * (n - 1) / 2 FROM t) AS n2),
    ari AS (SELECT (c2 - a2 * b2 / n2) / ((a2 + b2) / 2 - a2 * b2 / n2) AS ari FROM s)"""
+CELL_SQL = f"{LAB_SQL}, {CELLS_OF_LAB_SQL}"
 
 
 @query("contingency", f"WITH {LAB_SQL} SELECT label, CAST(cluster AS INTEGER) AS cluster, count(*) AS n FROM lab GROUP BY ALL")
@@ -119,37 +120,42 @@ def compare_clusterings(spark, sf):
 
 # -- scores from vectors -------------------------------------------------------------------------
 
-CENTROID_SQL = f"""{LAB_SQL}, lx AS (SELECT lab.id, lab.cluster AS k, x.pos, x.x FROM lab JOIN x USING (id)),
+CENTROIDS_OF_LAB_SQL = """lx AS (SELECT lab.id, lab.cluster AS k, x.pos, x.x FROM lab JOIN x USING (id)),
    cc AS (SELECT k, pos, avg(x) AS c, count(*) AS n FROM lx GROUP BY ALL),
    g AS (SELECT pos, avg(x) AS c FROM lx GROUP BY pos),
    dist AS (SELECT lx.id, lx.k, sum((x - c) * (x - c)) AS d2 FROM lx JOIN cc ON cc.k = lx.k AND cc.pos = lx.pos GROUP BY ALL)"""
+CENTROID_SQL = f"{LAB_SQL}, {CENTROIDS_OF_LAB_SQL}"
 
 
-@query(
-    "calinski_harabasz",
-    f"""WITH {CENTROID_SQL}, b AS (SELECT sum(cc.n * (cc.c - g.c) * (cc.c - g.c)) AS b FROM cc JOIN g USING (pos)),
+# what follows the centroids, a cluster's rows, or the distances of a row to the clusters
+CH_SQL = """b AS (SELECT sum(cc.n * (cc.c - g.c) * (cc.c - g.c)) AS b FROM cc JOIN g USING (pos)),
         w AS (SELECT sum(d2) AS w, count(*) AS n, count(DISTINCT k) AS k FROM dist)
-        SELECT round((b / (k - 1)) / (w / (n - k)), 6) AS calinski_harabasz FROM b, w""",
-)
+        SELECT round((b / (k - 1)) / (w / (n - k)), 6) AS calinski_harabasz FROM b, w"""
+DB_SQL = """s AS (SELECT k, avg(sqrt(d2)) AS s FROM dist GROUP BY k),
+        m AS (SELECT a.k AS i, b.k AS j, sqrt(sum((a.c - b.c) * (a.c - b.c))) AS d FROM cc a JOIN cc b ON a.pos = b.pos AND a.k <> b.k GROUP BY ALL),
+        r AS (SELECT m.i, max((s1.s + s2.s) / m.d) AS r FROM m JOIN s s1 ON s1.k = m.i JOIN s s2 ON s2.k = m.j GROUP BY m.i)
+        SELECT round(avg(r), 6) AS davies_bouldin FROM r"""
+SIL_AVG_SQL = "SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM ab"
+
+
+@query("calinski_harabasz", f"WITH {CENTROID_SQL}, {CH_SQL}")
 def calinski_harabasz(spark, sf):
     return sc.calinski_harabasz(assigned(spark, sf), "embedding", "cluster").select(
         F.round("calinski_harabasz", 6).alias("calinski_harabasz")
     )
 
 
-@query(
-    "davies_bouldin",
-    f"""WITH {CENTROID_SQL}, s AS (SELECT k, avg(sqrt(d2)) AS s FROM dist GROUP BY k),
-        m AS (SELECT a.k AS i, b.k AS j, sqrt(sum((a.c - b.c) * (a.c - b.c))) AS d FROM cc a JOIN cc b ON a.pos = b.pos AND a.k <> b.k GROUP BY ALL),
-        r AS (SELECT m.i, max((s1.s + s2.s) / m.d) AS r FROM m JOIN s s1 ON s1.k = m.i JOIN s s2 ON s2.k = m.j GROUP BY m.i)
-        SELECT round(avg(r), 6) AS davies_bouldin FROM r""",
-)
+@query("davies_bouldin", f"WITH {CENTROID_SQL}, {DB_SQL}")
 def davies_bouldin(spark, sf):
     return sc.davies_bouldin(assigned(spark, sf), "embedding", "cluster").select(F.round("davies_bouldin", 6).alias("davies_bouldin"))
 
 
 def sil_sql(distance):
-    return f"""{LAB_SQL}, lv AS (SELECT lab.id, lab.cluster AS k, e.v FROM lab JOIN e USING (id)),
+    return f"{LAB_SQL}, {sil_of_lab_sql(distance)}"
+
+
+def sil_of_lab_sql(distance):
+    return f"""lv AS (SELECT lab.id, lab.cluster AS k, e.v FROM lab JOIN e USING (id)),
        sz AS (SELECT k, count(*) AS n FROM lv GROUP BY k),
        m AS (SELECT a.id, a.k, b.k AS other, sum({distance}) AS s FROM lv a JOIN lv b ON true GROUP BY ALL),
        ab AS (SELECT m.id, max(CASE WHEN m.k = other THEN s / nullif(n - 1, 0) END) AS a,
@@ -159,10 +165,7 @@ def sil_sql(distance):
 SIL_SQL = sil_sql("list_distance(a.v, b.v)")
 
 
-@query(
-    "silhouette_exact",
-    f"""WITH {SIL_SQL} SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM ab""",
-)
+@query("silhouette_exact", f"WITH {SIL_SQL} {SIL_AVG_SQL}")
 def silhouette_exact(spark, sf):
     return sc.silhouette(assigned(spark, sf), "vec_id", "embedding", "cluster").select(F.round("silhouette", 6).alias("silhouette"))
 

@@ -231,8 +231,7 @@ def connected_components(spark, sf):
     return rows.join(lowest, "component").select("id", F.col("low").alias("component"))
 
 
-DBSCAN_SQL = f"""RECURSIVE {ADJ_SQL.format(radius=RADIUS)},
-   core AS (SELECT id FROM e LEFT JOIN b ON b.i = id GROUP BY id HAVING count(j) + 1 >= 5),
+DBSCAN_OF_B_SQL = f"""core AS (SELECT id FROM e LEFT JOIN b ON b.i = id GROUP BY id HAVING count(j) + 1 >= 5),
    ce AS (SELECT i, j FROM b WHERE i IN (SELECT id FROM core) AND j IN (SELECT id FROM core)),
    {REACH_SQL.format(nodes='core', edges='ce')},
    num AS (SELECT component, row_number() OVER (ORDER BY component) - 1 AS cluster FROM (SELECT DISTINCT component FROM comp)),
@@ -242,6 +241,7 @@ DBSCAN_SQL = f"""RECURSIVE {ADJ_SQL.format(radius=RADIUS)},
    lab AS (SELECT e.id, CAST(coalesce(inside.cluster, border.cluster, -1) AS INTEGER) AS cluster,
                   inside.id IS NOT NULL AS is_core
            FROM e LEFT JOIN inside ON inside.id = e.id LEFT JOIN border ON border.id = e.id)"""
+DBSCAN_SQL = f"RECURSIVE {ADJ_SQL.format(radius=RADIUS)}, {DBSCAN_OF_B_SQL}"
 
 
 def dbscan_labels(spark, sf):
