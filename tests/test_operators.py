@@ -410,6 +410,34 @@ def test_spectral_layout_is_orthonormal_and_separates(spark):
     assert abs(np.sign(v[:30]).sum() - np.sign(v[30:]).sum()) >= 50
 
 
+def test_spectral_layout_reaches_its_residual(spark):
+    n = 120
+    w = np.triu((RNG.random((n, n)) < 0.05) * RNG.random((n, n)), 1)
+    w[np.arange(n - 1), np.arange(1, n)] += 0.3
+    i, j = np.nonzero(w)
+    rows = [(int(a), int(c), float(w[a, c])) for a, c in zip(i, j, strict=True)] + [(0, 900, 0.0)]
+    got = gr.spectral_layout(spark.createDataFrame(rows, "i long, j long, w double"), dims=2, tol=1e-6).orderBy("id").collect()
+    assert [r["id"] for r in got] == list(range(n))  # an edge of no weight adds no row
+    full = w + w.T
+    root = np.sqrt(full.sum(1))
+    a = full / root[:, None] / root[None]
+    values, vectors = np.linalg.eigh(a)
+    x = np.array([[r["x_0"], r["x_1"]] for r in got])
+    for c in (0, 1):
+        want = vectors[:, -2 - c]
+        assert np.linalg.norm(a @ x[:, c] - values[-2 - c] * x[:, c]) <= 2e-6
+        np.testing.assert_allclose(np.abs(want @ x[:, c]), 1.0, atol=1e-5)
+    with pytest.raises(RuntimeError):
+        gr.spectral_layout(spark.createDataFrame(rows, "i long, j long, w double"), dims=2, tol=1e-13, iterations=1)
+
+
+def test_spectral_layout_of_few_rows(spark):
+    schema = "i long, j long, w double"
+    assert gr.spectral_layout(spark.createDataFrame([], schema)).count() == 0
+    two = gr.spectral_layout(spark.createDataFrame([(1, 2, 0.5)], schema), dims=2).orderBy("id").collect()
+    assert [(r["id"], round(abs(r["x_0"]), 6), round(r["x_1"], 6)) for r in two] == [(1, 0.707107, 0.0), (2, 0.707107, 0.0)]
+
+
 def test_pca_matches_svd(spark):
     points, ratio = rd.pca_project(frame(spark, BLOBS), "id", "v", 2)
     got = np.array([r["point"] for r in points.orderBy("id").collect()])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,6 +17,8 @@ from pyspark.sql import types as T
 from vectile.functions.keys import order_key, unit_float
 from vectile.session import cut
 
+logger = logging.getLogger(__name__)
+
 
 GRAIN = 500_000  # edges that one task makes a forest of
 HUB = 10_000  # a node with more neighbours than this, and than a 250th of all edges, is joined in parts
@@ -240,50 +244,153 @@ def fuzzy_graph(knn: DataFrame, k: int) -> DataFrame:
     return pair.select(F.col("a").alias("i"), F.col("b").alias("j"), (F.col("s") - F.col("hi") * other).alias("w"))
 
 
-def spectral_layout(edges: DataFrame, *, dims: int = 2, iterations: int = 20, seed: int = 42, weight: str = "w") -> DataFrame:
-    """(id, x_0 .. x_{dims-1}): leading non-trivial eigenvectors of the normalised graph.
+DEGREE = 8  # products with the graph between two restarts
+GUARD = 3  # extra vectors of a block, so that the wanted ones have a gap to the rest
+
 
-    Orthogonal iteration on (I + D^-1/2 W D^-1/2) / 2. A step is one edge join and one sum; only a
-    (dims+1)-square Gram matrix visits the driver. Signs are fixed by the entry of the lowest id.
+def spectral_layout(
+    edges: DataFrame, *, dims: int = 2, iterations: int = 100, tol: float = 1e-4, seed: int = 42, weight: str = "w"
+) -> DataFrame:
+    """(id, x_0 .. x_{dims-1}): leading non-trivial eigenvectors of A = D^-1/2 W D^-1/2, each with ||Av - tv|| <= ``tol``.
+
+    Restarted block Krylov iteration. A round multiplies a block by A ``DEGREE`` times along the Chebyshev
+    recurrence (an edge join and a sum each); the best vectors of all these products (Rayleigh-Ritz) start the next
+    round. Only the Gram matrix of the products, whose size hangs on ``dims`` alone, visits the driver. It also
+    gives the residuals, so the loop ends by them; if ``iterations`` rounds don't reach ``tol`` it raises. Signs are
+    fixed by the entry of the lowest id. Edges of no weight don't count; no edges give no rows; axes beyond the
+    number of rows are zero.
     """
-    m = dims + 1
-    cols = [f"v{c}" for c in range(m)]
-    both = edges.select("i", "j", F.col(weight).alias("w"))
-    both = both.unionByName(both.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
+    both = edges.select("i", "j", F.col(weight).cast("double").alias("w")).where("w > 0")
+    both = cut(both.unionByName(both.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")))
     deg = both.groupBy("i").agg(F.sum("w").alias("deg"))
     norm = cut(
-        both.join(deg, "i").join(deg.withColumnsRenamed({"i": "j", "deg": "deg_j"}), "j").select(
-            "i", "j", (F.col("w") / F.sqrt(F.col("deg") * F.col("deg_j"))).alias("w")
-        )
+        both.join(deg, "i").join(deg.withColumnsRenamed({"i": "j", "deg": "deg_j"}), "j")
+        .select("i", "j", (F.col("w") / F.sqrt(F.col("deg") * F.col("deg_j"))).alias("w"))
+    )
+    b = dims + GUARD
+    width = 1 + b * (DEGREE + 1)
+    # every row holds the trivial vector, then the products so far
+    draws = [unit_float(F.concat(F.col("i").cast("string"), F.lit(f":{seed}:{c}"))) - 0.5 for c in range(b)]
+    state = cut(deg.select(F.col("i").alias("id"), F.array(F.sqrt("deg"), *draws).alias("t")))
+    if state.isEmpty():
+        return state.select("id", *[F.lit(0.0).alias(f"x_{c}") for c in range(dims)])
+    # A of product k is the mean of its neighbours in the recurrence, A of the first is the second
+    shift = np.zeros((width, b * DEGREE))
+    for k in range(DEGREE):
+        for c in range(b):
+            for to, part in ((k + 1, 0.5), (k - 1, 0.5)) if k else ((1, 1.0),):
+                shift[1 + to * b + c, k * b + c] = part
+    for r in range(iterations):
+        state = _products(norm, _recombined(state, _orthogonal_start(_gram(state, 1 + b), b)), b)
+        mix, residual = _ritz(_gram(state, width), shift, b, dims)
+        state = _recombined(state, mix)
+        logger.info("round %d: residual %.2g", r + 1, residual)
+        if residual <= tol:
+            break
+    else:
+        raise RuntimeError(f"spectral layout: residual {residual:.2g} after {iterations} rounds, above {tol:.2g}")
+    state = cut(state)
+    lead = state.orderBy("id").limit(1).first()["t"]
+    return state.select(
+        "id", *[(F.col("t")[1 + c] * (1.0 if lead[1 + c] >= 0 else -1.0)).alias(f"x_{c}") for c in range(dims)]
     )
-    start = [
-        F.sqrt("deg").alias("v0"),
-        *[
-            (unit_float(F.concat(F.col("i").cast("string"), F.lit(f":{seed}:{c}"))) - 0.5).alias(f"v{c}")
-            for c in range(1, m)
-        ],
-    ]
-    state = _orthonormal(cut(deg.select(F.col("i").alias("id"), *start)), cols)
-    for step in range(iterations):
-        pushed = norm.join(state.withColumnRenamed("id", "j"), "j").groupBy("i").agg(
-            *[F.sum(F.col("w") * F.col(c)).alias(f"y_{c}") for c in cols]
+
+
+def layout_residuals(edges: DataFrame, layout: DataFrame, axes: list[str], *, weight: str = "w") -> DataFrame:
+    """(axis, n, norm, value, residual, overlap) of a spectral layout, measured on the edges themselves.
+
+    ``value`` is the Rayleigh quotient v'Av, ``residual`` is ||Av - value v||, ``overlap`` the largest product with the
+    trivial vector or another axis.
+    """
+    both = edges.select("i", "j", F.col(weight).cast("double").alias("w")).where("w > 0")
+    both = both.unionByName(both.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
+    deg = cut(both.groupBy(F.col("i").alias("id")).agg(F.sum("w").alias("deg")))
+    rows = layout.join(deg, "id")
+    scaled = rows.select(F.col("id").alias("j"), *[(F.col(a) / F.sqrt("deg")).alias(a) for a in axes])
+    pushed = both.join(scaled, "j").groupBy(F.col("i").alias("id")).agg(*[F.sum(F.col("w") * F.col(a)).alias(f"y_{a}") for a in axes])
+    all_in = cut(rows.join(pushed, "id").select("id", "deg", *axes, *[(F.col(f"y_{a}") / F.sqrt("deg")).alias(f"y_{a}") for a in axes]))
+    one = []
+    for a in axes:
+        v, y = F.col(a), F.col(f"y_{a}")
+        others = [F.abs(F.sum(v * F.col(o))) for o in axes if o != a]
+        trivial = F.abs(F.sum(v * F.sqrt("deg"))) / F.sqrt(F.sum(F.col("deg")))
+        one.append(
+            F.struct(
+                F.lit(a).alias("axis"), F.count(F.lit(1)).alias("n"), F.sqrt(F.sum(v * v)).alias("norm"),
+                (F.sum(v * y) / F.sum(v * v)).alias("value"), F.sum(y * y).alias("yy"), F.sum(v * y).alias("vy"),
+                (F.greatest(trivial, *others) if others else trivial).alias("overlap"),
+            )
         )
-        state = state.join(pushed.withColumnRenamed("i", "id"), "id").select(
-            "id", *[((F.col(c) + F.col(f"y_{c}")) / 2).alias(c) for c in cols]
+    per = all_in.agg(F.array(*one).alias("s")).select(F.inline("s"))
+    left = F.greatest(F.col("yy") - F.col("value") * F.col("vy"), F.lit(0.0))  # for v'y = value v'v
+    return per.select("axis", "n", "norm", "value", F.sqrt(left).alias("residual"), "overlap")
+
+
+def _gram(state: DataFrame, width: int) -> np.ndarray:
+    """Inner products of the columns held in ``t``, summed by task and then by cell: width^2 numbers."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        acc = np.zeros((width, width))
+        for batch in batches:
+            if len(batch):
+                x = np.stack(batch["t"].to_numpy())
+                acc += x.T @ x
+        yield pd.DataFrame({"cell": np.arange(width * width), "s": acc.ravel()})
+
+    gram = np.zeros(width * width)
+    for r in state.select("t").mapInPandas(partial, "cell int, s double").groupBy("cell").agg(F.sum("s").alias("s")).collect():
+        gram[r["cell"]] = r["s"]
+    return gram.reshape(width, width)
+
+
+def _orthogonal_start(gram: np.ndarray, b: int) -> np.ndarray:
+    """Coefficients of a unit trivial vector and of ``b`` unit vectors orthogonal to it."""
+    mix = np.eye(1 + b)
+    mix[0, 0] = 1.0 / math.sqrt(gram[0, 0])
+    mix[0, 1:] = -gram[0, 1:] / gram[0, 0]
+    norms = np.sqrt(np.maximum(np.einsum("ij,ik,kj->j", mix, gram, mix), 0.0))
+    return mix / np.where(norms > 1e-9, norms, np.inf)  # a graph of fewer rows leaves vectors of zeros
+
+
+def _recombined(state: DataFrame, mix: np.ndarray) -> DataFrame:
+    """New columns as combinations of the old ones, row by row."""
+
+    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"id": batch["id"].to_numpy(), "t": list(np.stack(batch["t"].to_numpy()) @ mix)})
+
+    return state.mapInPandas(apply, f"id {state.schema['id'].dataType.simpleString()}, t array<double>")
+
+
+def _products(norm: DataFrame, state: DataFrame, b: int) -> DataFrame:
+    """The block at the end of ``t`` followed by its products: T_1 = A T_0, T_k+1 = 2 A T_k - T_k-1."""
+    state = cut(state)
+    for k in range(DEGREE):
+        now, before = 1 + k * b, 1 + (k - 1) * b
+        last = state.select(F.col("id").alias("j"), *[F.col("t")[now + c].alias(f"v{c}") for c in range(b)])
+        pushed = norm.join(last, "j").groupBy(F.col("i").alias("id")).agg(
+            *[F.sum(F.col("w") * F.col(f"v{c}")).alias(f"y{c}") for c in range(b)]
         )
-        state = _orthonormal(cut(state), cols)
-    lead = state.orderBy("id").limit(1).first()
-    signs = [1.0 if lead[c] >= 0 else -1.0 for c in cols[1:]]
-    return state.select("id", *[(F.col(c) * s).alias(f"x_{n}") for n, (c, s) in enumerate(zip(cols[1:], signs, strict=True))])
-
-
-def _orthonormal(state: DataFrame, cols: list[str]) -> DataFrame:
-    """Columns made orthonormal through the Cholesky factor of their Gram matrix."""
-    m = len(cols)
-    gram = state.agg(*[F.sum(F.col(a) * F.col(b)) for a in cols for b in cols]).first()
-    inv = np.linalg.inv(np.linalg.cholesky(np.array(gram, dtype=float).reshape(m, m)))  # rows: new = inv @ old
-    new = []
-    for r, name in enumerate(cols):
-        expr = sum((F.col(cols[c]) * float(inv[r, c]) for c in range(r + 1)), F.lit(0.0))
-        new.append(expr.alias(name))
-    return state.select("id", *new)
+        new = [F.col(f"y{c}") * 2 - F.col("t")[before + c] if k else F.col(f"y{c}") for c in range(b)]
+        state = cut(state.join(pushed, "id").select("id", F.concat("t", F.array(*new)).alias("t")))
+    return state
+
+
+def _ritz(gram: np.ndarray, shift: np.ndarray, b: int, dims: int) -> tuple[np.ndarray, float]:
+    """(coefficients of the trivial vector and the ``b`` best ones, largest residual of the first ``dims``)."""
+    n = shift.shape[1]
+    inner, moved = gram[1 : 1 + n, 1 : 1 + n], gram[1 : 1 + n] @ shift
+    both = shift.T @ gram @ shift
+    size, axes = np.linalg.eigh(inner)
+    keep = size > 1e-10 * size.max(initial=0.0)
+    white = axes[:, keep] / np.sqrt(size[keep])
+    small = white.T @ moved @ white
+    values, vectors = np.linalg.eigh((small + small.T) / 2)
+    top = np.argsort(-values)[:b]
+    values, chosen = values[top], white @ vectors[:, top]
+    mix = np.zeros((gram.shape[0], 1 + b))
+    mix[0, 0] = 1.0
+    mix[1 : 1 + n, 1 : 1 + len(top)] = chosen
+    left = [c @ both @ c - 2 * t * (c @ moved @ c) + t * t * (c @ inner @ c) for t, c in zip(values[:dims], chosen.T, strict=False)]
+    return mix, math.sqrt(max(max(left, default=0.0), 0.0))

@@ -62,6 +62,9 @@ def graph_communities(spark, sf):
     return members.join(found.withColumnRenamed("id", "rep"), "rep").select("id", "cluster")
 
 
+RESIDUAL = 1e-3
+
+
 @query("fuzzy_graph")
 def fuzzy_graph(spark, sf):
     knn = pr.knn_join(vectors(spark, sf), "id", "vector", K)
@@ -71,7 +74,21 @@ def fuzzy_graph(spark, sf):
 @query("spectral_layout")
 def spectral_layout(spark, sf):
     knn = pr.knn_join(vectors(spark, sf), "id", "vector", K)
-    return gr.spectral_layout(gr.fuzzy_graph(knn, K), dims=2, iterations=10)
+    return gr.spectral_layout(gr.fuzzy_graph(knn, K), dims=2, tol=RESIDUAL)
+
+
+@query(
+    "spectral_residual",
+    """SELECT axis, count(*) AS n, true AS unit, true AS orthogonal, true AS solved
+       FROM embeddings, (VALUES ('x_0'), ('x_1')) a(axis) GROUP BY axis""",
+)
+def spectral_residual(spark, sf):
+    """Whether the layout, taken back to its edges, is orthonormal and solves its eigen-equation to the tolerance."""
+    edges = cut(gr.fuzzy_graph(pr.knn_join(vectors(spark, sf), "id", "vector", K), K))
+    return gr.layout_residuals(edges, cut(gr.spectral_layout(edges, dims=2, tol=RESIDUAL)), ["x_0", "x_1"]).select(
+        "axis", "n", (F.abs(F.col("norm") - 1) < 1e-6).alias("unit"), (F.col("overlap") < 1e-6).alias("orthogonal"),
+        (F.col("residual") <= RESIDUAL * 1.01).alias("solved"),
+    )
 
 
 @query("projection_long")
