@@ -12,6 +12,7 @@ from vectile.operators import class_scores as cs
 from vectile.operators import cluster as cl
 from vectile.operators import cluster_scores as sc
 from vectile.operators import density as de
+from vectile.operators import hierarchy as hi
 from vectile.operators import graph as gr
 from vectile.operators import learn as ln
 from vectile.operators import pairs as pr
@@ -268,7 +269,7 @@ def test_components(spark, monkeypatch):
     assert sorted(tuple(r) for r in gr.connected_components(own).collect()) == [(5, 5), (8, 8), (9, 8)]
 
 
-def brute_hierarchy(x, m, method="eom"):
+def brute_hierarchy(x, m, method="eom", epsilon=0.0):
     n, d = len(x), dist(x)
     core = np.sort(d, 1)[:, m - 1]
     reach = np.maximum(d, np.maximum(core[:, None], core[None]))
@@ -319,6 +320,13 @@ def brute_hierarchy(x, m, method="eom"):
         inner = sum(score[k] for k in me["kids"])
         pick[c] = c > 0 and (not me["kids"] if method == "leaf" else (not me["kids"] or inner <= own))
         score[c] = max(own, inner) if me["kids"] else own
+    if epsilon:
+        risen = set()
+        for c in (c for c in found if pick[c]):
+            while found[c]["birth"] > 1 / epsilon and found[c]["up"] != 0:
+                c = found[c]["up"]
+            risen.add(c)
+        pick = {c: c in risen for c in found}
     label = [-1] * n
     for c, me in found.items():
         owner, at = None, c
@@ -340,6 +348,56 @@ def test_hdbscan_equals_brute_force(spark):
         assert tree.agg(F.sum("w")).first()[0] == pytest.approx(weight)
 
 
+def brute_tree(x, m):
+    d = dist(x)
+    core = np.sort(d, 1)[:, m - 1]
+    reach, inside, out = np.maximum(d, np.maximum(core[:, None], core[None])), [0], []
+    while len(inside) < len(x):
+        w, i, j = min((reach[i, j], min(i, j), max(i, j)) for i in inside for j in range(len(x)) if j not in inside)
+        out.append((i, j, float(w)))
+        inside.append(j if i in inside else i)
+    return out
+
+
+@pytest.mark.parametrize("seed,m,method,epsilon,grain", [(1, 2, "eom", 0.3, 6), (3, 3, "eom", 0.0, 20), (2, 2, "leaf", 0.3, None)])
+def test_condensed_tree_in_small_ranges(spark, seed, m, method, epsilon, grain):
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(0, 0.3, (25, 2)), rng.normal(2, 0.5, (25, 2)), rng.uniform(-3, 5, (10, 2))])
+    tree = spark.createDataFrame(brute_tree(x, m), "i long, j long, w double")
+    got = de.condense(
+        tree, frame(spark, x).select("id"), min_cluster_size=m, cluster_selection_method=method,
+        cluster_selection_epsilon=epsilon, grain=grain,
+    )
+    assert [r["cluster"] for r in got.orderBy("id").collect()] == brute_hierarchy(x, m, method, epsilon)[0]
+
+
+def test_condense_of_nothing_and_of_tiny_clusters(spark):
+    tree, ids = spark.createDataFrame([], "i long, j long, w double"), spark.createDataFrame([(7,), (9,)], "id long")
+    assert [r["cluster"] for r in de.condense(tree, ids).collect()] == [-1, -1]
+    with pytest.raises(ValueError, match="at least 2"):
+        de.condense(tree, ids, min_cluster_size=1)
+
+
+def test_fold_of_deep_and_random_trees(spark):
+    rng = np.random.default_rng(5)
+    for shape in ("chain", "random"):
+        n, free, kids = 40, list(range(-40, 0)), {}
+        for node in range(n - 1):
+            one = free.pop(0 if shape == "chain" else int(rng.integers(len(free))))
+            two = free.pop(0 if shape == "chain" else int(rng.integers(len(free))))
+            kids[node] = (one, two)
+            free.insert(0, node)
+        lo, add = rng.integers(0, 60, 2 * n - 1).astype(float), rng.integers(-3, 9, 2 * n - 1).astype(float)
+        want, rows = {}, []
+        for k, node in enumerate(range(-n, n - 1)):
+            c = kids.get(node, (None, None))
+            want[node] = max(lo[k], add[k] + sum(want[v] for v in c if v is not None))
+            rows.append((node, *c, float(lo[k]), float(add[k])))
+        nodes = spark.createDataFrame(rows, "node long, c1 long, c2 long, lo double, add double")
+        for grain in (1, None):
+            assert {r["node"]: r["value"] for r in hi.fold(nodes, grain).collect()} == want
+
+
 def test_tree_over_many_cells(spark):
     t = tile(frame(spark, BLOBS), "id", "v", n_cells=8, block_rows=16)
     from dataclasses import replace
