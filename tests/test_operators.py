@@ -269,6 +269,16 @@ def test_components(spark, monkeypatch):
     assert sorted(tuple(r) for r in gr.connected_components(own).collect()) == [(5, 5), (8, 8), (9, 8)]
 
 
+def test_components_without_forests(spark, monkeypatch):
+    pairs = [(i, i + 1) for i in range(0, 30)] + [(40, i) for i in range(41, 60)] + [(5, 5), (70, 70), (None, 3)]
+    edges = spark.createDataFrame(pairs, "i long, j long")
+    want = {**{i: 0 for i in range(31)}, **{i: 40 for i in range(40, 60)}, 70: 70}
+    for hub in (gr.HUB, 3):
+        monkeypatch.setattr(gr, "HUB", hub)
+        got = {r["id"]: r["component"] for r in gr.connected_components(edges, forests=False).collect()}
+        assert {k: v for k, v in got.items() if k in want} == want
+
+
 def brute_hierarchy(x, m, method="eom", epsilon=0.0):
     n, d = len(x), dist(x)
     core = np.sort(d, 1)[:, m - 1]

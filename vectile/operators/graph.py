@@ -71,20 +71,24 @@ def _contracted(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, f"u {kind.simpleString()}, v {kind.simpleString()}")
 
 
-def connected_components(edges: DataFrame, ids: DataFrame | None = None, *, src: str = "i", dst: str = "j") -> DataFrame:
+def connected_components(
+    edges: DataFrame, ids: DataFrame | None = None, *, src: str = "i", dst: str = "j", forests: bool = True
+) -> DataFrame:
     """(id, component): component = the lowest id reachable. ``ids`` adds the isolated rows. Ids of any ordered type.
 
-    Every task first makes a forest of its edges, again after each round; what fits a task is done then. Otherwise,
+    Every task first makes a forest of its edges, again after each round; what fits a task is done then. Without
+    ``forests`` (Python in Arrow batches) the rounds are joins and groupings alone. Otherwise,
     alternating stars: every node links its greater neighbours to the lowest it knows, then its lower
     neighbours to the lowest of them, until the edge set is a set of stars. Minima are combined before the shuffle,
     and the joins that hand them back split the neighbours of a hub, such as the root of a large star. Null ends
     are no edges; a node whose only edge is to itself is a component.
     """
     named = edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
-    state = cut(_contracted(named.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))))
+    shorter = _contracted if forests else lambda pairs: pairs
+    state = cut(shorter(named.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))))
     mark = _mark(state)
     while mark[0]:
-        if mark[0] <= GRAIN:
+        if forests and mark[0] <= GRAIN:
             state = cut(_contracted(state.coalesce(1)))
             if isinstance(state.schema["u"].dataType, (T.IntegralType, T.StringType)):
                 break
@@ -92,7 +96,7 @@ def connected_components(edges: DataFrame, ids: DataFrame | None = None, *, src:
         large = _with_lowest(both, 2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         small = _with_lowest(large, 2 * mark[0])
         # v = m keeps the link to the lowest, any other lower neighbour is linked to it
-        state = cut(_contracted(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()))
+        state = cut(shorter(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()))
         seen, mark = mark, _mark(state)
         if mark == seen:
             break
