@@ -250,6 +250,24 @@ def test_leaks_in_any_case(spark):
         assert all(r["doc_id"] in r["items"] for r in found)
 
 
+def test_windows_go_without_words(spark, odd):
+    from pyspark.sql import functions as F
+
+    from vectile.llm import decontaminate as D
+
+    texts = ["He met Anna. She paid 12 Dollars, then (Tom) 3 kg of O'Neil's \"Rice\" 7 Days 5\n\n\n\nMeters ABC! " + QUESTION, "ÜBER die Straße İst É é\u0301 x"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "key long, text string").unionByName(odd.select(F.col("doc_id").alias("key"), "text"))
+    mark = D.marked(F.col("text"))
+    for form, whole in (("t", D.template), ("s", D.started), ("c", D.cased)):
+        assert rows.where(~D._word_hashes(D._split(mark), form).eqNullSafe(D._hashes(whole(mark)))).count() == 0
+    seen = D.document_windows(rows, [(8, False), (2, True)], True)
+    assert seen.columns == ["key", "pos", "size", "window"]  # and no generator, which runs for each place, interprets a function
+    plan = seen._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Generate" in x and "lambda" in x]
+    literal = rows.where("key = 0").select(D._window(D._hashes(D.literal(F.col("text"))), F.lit(3), F.lit(2)).alias("w")).first()[0]
+    assert seen.where(f"key = 0 AND pos = 3 AND size = 2 AND window = {literal}").count() >= 1
+
+
 # op5 -----------------------------------------------------------------------------------------------------------------
 
 

@@ -114,22 +114,31 @@ def benchmark_windows(benchmark: DataFrame, *, item_col: str = "item_id", text_c
     return kept.join(places.hint("merge"), "item")
 
 
-def document_windows(rows: DataFrame, sizes: list[tuple[int, bool]], any_case: bool = False) -> DataFrame:
-    """(key, pos, size, window, words) of every row (key, text), for each size that items have; with literal words where
-    that is true. ``words`` are those of the place as written.
-    """
-    texts = rows.select("key", originals(F.col("text")).alias("o"), marked(F.col("text")).alias("m"), *([literal(F.col("text")).alias("l")] if any(x for _, x in sizes) else []))
-    words = {"ht": template(F.col("m")), "hs": started(F.col("m"))} | ({"hc": cased(F.col("m"))} if any_case else {}) | ({"hl": F.col("l")} if "l" in texts.columns else {})
-    texts = texts.select("key", "o", *[_hashes(w).alias(name) for name, w in words.items()])
+def _word_hashes(words: Column, form: str) -> Column:
+    """Hashes of the words of split ``marked`` text as ``template`` (t), ``started`` (s) or ``cased`` (c) has them."""
+    begins, named, rest = (lambda x: x.startswith(START)), (lambda x: x.startswith(NAME)), (lambda x: F.substring(x, 2, 1 << 30))
+    one = {
+        "t": lambda x: F.when(named(x), NAME).when(begins(x), rest(x)).otherwise(x),
+        "s": lambda x: F.when(x.startswith(NAME + UNIT), rest(x)).when(named(x) | begins(x), NAME).otherwise(x),
+        "c": lambda x: F.when(named(x) | begins(x), rest(x)).otherwise(x),
+    }[form]
+    return F.transform(words, lambda x: F.xxhash64(one(x)))
 
-    def places(size: int, literals: bool) -> Column:
-        forms = [f for f in words if literals or f != "hl"]
-        upto = F.size("ht") - size
-        one = lambda i: F.struct(i.alias("pos"), F.lit(size).alias("size"), F.array_distinct(F.array(*[_window(F.col(f), i, size) for f in forms])).alias("windows"))
-        return F.when(upto >= 0, F.transform(F.sequence(F.lit(0), upto), one)).otherwise(F.array().cast("array<struct<pos:int,size:int,windows:array<bigint>>>"))
 
-    each = texts.select("key", "o", F.explode(F.concat(*[places(*s) for s in sizes])).alias("x"))
-    return each.select("key", "x.pos", "x.size", F.slice("o", F.col("x.pos") + 1, F.col("x.size")).alias("words"), F.explode("x.windows").alias("window"))
+def document_windows(rows: DataFrame, sizes: list[tuple[int, bool]], any_case: bool = False) -> DataFrame:
+    """(key, pos, size, window) of every row (key, text), for each size that items have; with literal words where that is true."""
+    literals = any(x for _, x in sizes)
+    texts = rows.select("key", _split(marked(F.col("text"))).alias("w"), *([literal(F.col("text")).alias("l")] if literals else []))
+    forms = ["t", "s", *("c" if any_case else "")]
+    texts = texts.select("key", *[_word_hashes(F.col("w"), f).alias(f"h{f}") for f in forms], *([_hashes(F.col("l")).alias("hl")] if literals else []))
+    # nothing as long as a text is written with a place: its windows are hashed while the places are dealt out
+    each = texts.select("*", F.explode(F.array(*[F.struct(F.lit(n).alias("size"), F.lit(x).alias("literals")) for n, x in sizes])).alias("x")).select("*", "x.*")
+    each = each.select("*", F.explode(F.when(F.size("ht") >= F.col("size"), F.sequence(F.lit(0), F.size("ht") - F.col("size")))).alias("pos"))
+    windows = [_window(F.col(f"h{f}"), F.col("pos"), F.col("size")) for f in forms]
+    if literals:
+        windows.append(F.when(F.col("literals"), _window(F.col("hl"), F.col("pos"), F.col("size"))).otherwise(windows[0]))
+    each = each.select("key", "pos", "size", F.array(*windows).alias("windows"))
+    return each.select("key", "pos", "size", F.explode(F.array_distinct("windows")).alias("window"))
 
 
 def find_leaks(
@@ -150,9 +159,9 @@ def find_leaks(
     seen = document_windows(rows, sizes or [(WINDOW, False)], any_case)
     few = known.count() <= SEND_ROWS
     hits = seen.join(F.broadcast(known) if few else known.hint("merge"), ["window", "size"])
-    kept = [*[F.max(c).alias(c) for c in ("size", "typed", "n_typed", "n_all")], F.first("words").alias("words")]
+    kept = [F.max(c).alias(c) for c in ("size", "typed", "n_typed", "n_all")]
     hits = cut(hits.groupBy("key", "item", "at", "pos").agg(*kept).withColumn("shift", F.col("pos") - F.col("at")))
-    found = cut(_alignments(hits.drop("words"), share))
+    found = cut(_alignments(hits, share))
     # slots of the matched windows, item value against document value
     text = F.col(item_text_col).cast("string")
     items = benchmark.where(text.isNotNull()).select(F.col(item_col).alias("item"), marked(text).alias("m"), originals(text).alias("o"))
@@ -160,7 +169,7 @@ def find_leaks(
     token = F.transform("s", lambda x, k: F.struct(x.alias("kind"), F.get("o", k).alias("value"), ((x == NAME) & (F.get("t", k) != NAME)).alias("begins")))
     slots = items.select("item", F.posexplode(token).alias("place", "x"))
     slots = cut(slots.where(F.col("x.kind").isin(NUM, NAME, UNIT)).select("item", "place", "x.kind", "x.value", "x.begins").distinct())
-    met = found.join(hits.select("key", "item", "at", "shift", "words").hint("merge"), ["key", "item", "at", "shift"])
+    met = cut(found.join(_words_of(rows, found).hint("merge"), "key").select("key", "item", "start", "shift", "at", F.slice("o", F.col("at") + F.col("shift") + 1, F.col("size")).alias("words")))
     spread = met.select("key", "item", "start", "shift", "at", F.posexplode("words").alias("k", "other")).select("key", "item", "start", "shift", (F.col("at") + F.col("k")).alias("place"), "other")
     asked = spread.distinct().join(slots, ["item", "place"])
     clean = lambda c: F.regexp_replace(F.lower(c), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}%]+$", "")
@@ -178,6 +187,13 @@ def find_leaks(
     return out.where(F.col("x.same") >= consistent * F.col("x.slots")).groupBy("key", "item").agg(F.max("x").alias("x")).select("key", "item", "x.*")
 
 
+def _words_of(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, o): the words as written, of the rows with a key in ``found`` alone; equal rows once."""
+    keys = cut(found.select("key").distinct())
+    keys = F.broadcast(keys) if keys.count() <= SEND_ROWS else keys.hint("merge")
+    return rows.join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")).select("key", originals(F.col("text")).alias("o"))
+
+
 def _alignments(hits: DataFrame, share: float) -> DataFrame:
     """(key, item, start, at, shift, size, share): the ways in which a row holds at least ``share`` of an item's windows.
 
