@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectile.llm.decontaminate import find_leaks, row_key
-from vectile.llm.jaccard_join import jaccard_components
+from vectile.llm.jaccard_join import jaccard_components, sent
 from vectile.llm.packing import pack_documents
 from vectile.llm.pii import replace_entities
 from vectile.llm.queries import PII_KEY, tokenizer
@@ -38,8 +38,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # ordered as a copy is chosen: least id, null last, then by content; the number tells equal rows apart
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*docs.columns).alias("content"), "_row")
     found = jaccard_components(rows.select(order.alias("_at"), "text"), id_col="_at", size=5, percent=80)
-    gone = found.where("component_id._row <> _at._row").select("_at._row")
-    return rows.join(gone.hint("merge"), "_row", "left_anti").select(*docs.columns)
+    gone = cut(found.where("component_id._row <> _at._row").select("_at._row"))
+    return rows.join(sent(gone), "_row", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

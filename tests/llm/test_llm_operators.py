@@ -134,6 +134,29 @@ def test_jaccard_components(spark, region, monkeypatch):
     assert got == {k: (len(sets[k]), want[k]) for k in range(len(texts))}
 
 
+def test_large_regions_are_cut_by_their_own_grams(spark, monkeypatch):
+    """Texts in one region that share few n-grams part; near ones stay together; small regions stay as they are."""
+    from vectile.llm import jaccard_join as J
+
+    monkeypatch.setattr(J, "REGION", 20)
+    rng = np.random.default_rng(5)
+    shared = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.integers(0, 1 << 63, 60, dtype=np.uint64), rng.choice(shared, 12, replace=False)])) for _ in range(200)]
+    for k in range(0, 60, 3):  # near ones by a few n-grams, and a third one near the second
+        for far in (1, 2):
+            grown = np.concatenate([sets[k + far - 1][3:], rng.integers(0, 1 << 63, 3, dtype=np.uint64)])
+            sets[k + far] = np.unique(grown)
+    rows = [(7, k, bytes(x.tobytes())) for k, x in enumerate(sets)] + [(8, 1000 + k, bytes(sets[k].tobytes())) for k in (0, 1, 90)]
+    points = spark.createDataFrame(rows, "region long, class long, grams binary").repartition(5)
+    for percent in (80, 90):
+        out = J._apart(points, percent).collect()
+        at = {r["class"]: r["region"] for r in out}
+        assert len(at) == len(out) and {at[1000], at[1001], at[1090]} == {8}
+        linked = {(i, j) for i in range(200) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j]))}
+        assert len(linked) >= 40 and all(at[i] == at[j] for i, j in linked)
+        assert len([k for k in at if k < 1000]) < 100 and len({at[k] for k in at if k < 60}) == 20
+
+
 def test_jaccard_odd(odd, none):
     from vectile.llm.jaccard_join import jaccard_components
 

@@ -29,6 +29,7 @@ from vectile.session import cut
 GROW = 1.5  # sizes up to this factor share a way of dealing n-grams to parts
 CELLS = 24  # the table of common n-grams, sent to every task, has 2**24 bytes
 FLUSH = 1_000_000
+SEND_ROWS = 1_000_000
 GROUP_BYTES = 8 << 20
 REGION = 2_000  # texts of a region that one task joins, and their n-grams
 REGION_GRAMS = 4_000_000
@@ -109,8 +110,8 @@ def jaccard_components(
     spaces = cut(spaces)
     alone = spaces.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("region")
     spaces = cut(spaces.join(alone.hint("merge"), "region", "left_semi"))
-    first = sets.where("n > 0").groupBy("class").agg(F.min("key").alias("key")).join(spaces, "class").select("key", "class", "region")
-    points = rows.select("key", "text").join(first, "key").select("class", "region", "text").mapInArrow(_points(size), "region bigint, class bigint, grams binary")
+    first = cut(sets.where("n > 0").groupBy("class").agg(F.min("key").alias("key")).join(spaces, "class").select("key", "class", "region"))
+    points = rows.select("key", "text").join(sent(first), "key").select("class", "region", "text").mapInArrow(_points(size), "region bigint, class bigint, grams binary")
     links = _join(cut(points), percent)
     joined = connected_components(links).select(F.col("id").alias("class"), F.col("component").alias("root"))
     own = sets.where("n > 0").groupBy("class").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n_rows"))
@@ -124,6 +125,11 @@ def jaccard_components(
     return out.withColumnRenamed("id", id_col)
 
 
+def sent(table: DataFrame) -> DataFrame:
+    """A written table of few columns: to every task up to SEND_ROWS rows, counted first, so that the texts stay where they are."""
+    return F.broadcast(table) if table.count() <= SEND_ROWS else table.hint("merge")
+
+
 def _describe(size: int):
     def run(batches):
         for batch in batches:
@@ -199,15 +205,17 @@ def _candidates(rows: DataFrame, total: int, size: int, keys: Callable) -> DataF
         if held:
             yield from _flushed(held, n)
 
-    def meet(batches):
-        sent = [unpack(b, np.uint64, np.int64, np.int64, np.int64) for batch in batches for b in batch.column("blob").to_pylist()]
-        if not sent:
-            return
-        sign, name, i, j = (np.concatenate(x) for x in zip(*sent, strict=True))
-        a, b = _stars(sign, name)[:2]
-        yield pa.record_batch([pa.array(x) for x in forest(np.concatenate([i, a]), np.concatenate([j, b]))], schema=_EDGE)
+    return rows.select("text").mapInArrow(deal, "bucket int, blob binary").repartition(n, "bucket").mapInArrow(_meet, "i bigint, j bigint")
+
 
-    return rows.select("text").mapInArrow(deal, "bucket int, blob binary").repartition(n, "bucket").mapInArrow(meet, "i bigint, j bigint")
+def _meet(batches):
+    """Links that hang the classes of each signature together."""
+    sent = [unpack(b, np.uint64, np.int64, np.int64, np.int64) for batch in batches for b in batch.column("blob").to_pylist()]
+    if not sent:
+        return
+    sign, name, i, j = (np.concatenate(x) for x in zip(*sent, strict=True))
+    a, b = _stars(sign, name)[:2]
+    yield pa.record_batch([pa.array(x) for x in forest(np.concatenate([i, a]), np.concatenate([j, b]))], schema=_EDGE)
 
 
 def first_grams(row, gram, count, name, percent: int, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -302,7 +310,7 @@ def _points(size: int):
 
 def _join(points: DataFrame, percent: int) -> DataFrame:
     """(i, j): links that connect what is connected, from regions split until a task can hold them."""
-    out = None
+    out, points = None, _apart(points, percent)
     while True:
         sizes = cut(points.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum(_grams()).alias("grams_n")))
         big = sizes.where((F.col("n") > 1) & (_tasks() > 1)).withColumn("salts", _tasks())
@@ -316,6 +324,74 @@ def _join(points: DataFrame, percent: int) -> DataFrame:
         out = out.unionByName(links).unionByName(cut(_tiled(stuck, percent)))
 
 
+def _apart(points: DataFrame, percent: int) -> DataFrame:
+    """Points, with large regions cut to what shares one of its first n-grams, the seldom ones of the region first.
+
+    Here the n-grams of a region are counted together, so that no text is held by one that it has to itself. They are counted
+    by hashes, equal for equal n-grams: the order stays one that all texts keep to. Each class is in one region.
+    """
+    sizes = points.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum(_grams()).alias("grams_n"))
+    big = cut(sizes.where((F.col("n") > 1) & (_tasks() > 1)).select("region", "grams_n"))
+    total = big.agg(F.sum("grams_n")).first()[0]
+    if not total:
+        return points
+    n = parts_for(points.sparkSession, int(total) * 6, GROUP_BYTES)
+    large = points.join(big.select("region"), "region", "left_semi").select("region", "class", "grams")
+    kind, blobs = "bucket int, blob binary", lambda rows: (blob_rows(rows[s : s + 256], _SENT) for s in range(0, len(rows), 256))
+
+    def deal(batches):
+        for batch in batches:
+            count = np.array([len(x) // 8 for x in batch.column("grams").to_pylist()], dtype=np.int64)
+            piece = (np.cumsum(count) // FLUSH) + np.arange(len(count)) // (1 << 15)
+            for _, rows in by_bucket(piece):
+                part = batch.slice(int(rows[0]), len(rows))
+                size, flat, _ = _flat_sets(part.column("grams"))
+                who = np.repeat(np.arange(len(size)), size)
+                region, name = (part.column(c).to_numpy() for c in ("region", "class"))
+                gram = W.mix(flat ^ W.mix(region.astype(np.uint64))[who])
+                out = []
+                for b, p in by_bucket(((gram >> np.uint64(32)) % np.uint64(n)).astype(np.int64)):
+                    mine, place = np.unique(who[p], return_inverse=True)
+                    out.append((b, pack(gram[p].astype(np.uint32), place.astype(np.uint16), name[mine], size[mine])))
+                yield from blobs(out)
+
+    def count(batches):
+        """Each class with its n-grams that others have too, and in how many sets they are."""
+        met: dict[int, list] = {}
+        for batch in batches:
+            for b, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                low, place, name, size = unpack(blob, np.uint32, np.uint16, np.int64, np.int64)
+                met.setdefault(b, []).append((low, name[place], size[place]))
+        for b, held in met.items():
+            low, name, size = (np.concatenate(x) for x in zip(*held, strict=True))
+            _, back, many = np.unique(low, return_inverse=True, return_counts=True)
+            again = many[back] > 1
+            gram, name, size, many = (np.uint64(b) << np.uint64(32)) | low[again].astype(np.uint64), name[again], size[again], many[back][again]
+            to = (name.view(np.uint64) % np.uint64(n)).astype(np.int64)
+            yield from blobs([(t, pack(gram[p], name[p], size[p], many[p])) for t, p in by_bucket(to)])
+
+    def choose(batches):
+        held = [unpack(b, np.uint64, np.int64, np.int64, np.int64) for batch in batches for b in batch.column("blob").to_pylist()]
+        if not held:
+            return
+        gram, name, size, many = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((gram, many, name))
+        gram, name, size = gram[order], name[order], size[order]
+        _, first, shared = np.unique(name, return_index=True, return_counts=True)
+        # its own n-grams come first in each set
+        left = size[first] - -(-size[first] * percent // 100) + 1 - (size[first] - shared)
+        kept = W.ranges(first, np.clip(left, 0, shared))
+        if len(kept):
+            yield from _flushed([(gram[kept], name[kept])], n)
+
+    each = large.mapInArrow(deal, kind).repartition(n, "bucket").mapInArrow(count, kind).repartition(n, "bucket").mapInArrow(choose, kind)
+    links = cut(each.repartition(n, "bucket").mapInArrow(_meet, "i bigint, j bigint"))
+    spaces = cut(connected_components(links).select(F.col("id").alias("class"), "component"))
+    near = large.join(sent(spaces), "class").select(F.xxhash64("region", "component").alias("region"), "class", "grams")
+    rest = points.join(big.select("region"), "region", "left_anti").select("region", "class", "grams")
+    return rest.unionByName(cut(near))
+
+
 def _grams() -> Column:
     return F.octet_length("grams") / 8
 
