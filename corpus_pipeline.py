@@ -1,7 +1,7 @@
 """A corpus from documents to packed sequences: quality, near copies, benchmark leaks, personal data, packing.
 
 Every stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's docs. All
-but the last return the columns of documents.
+but the last return the columns of documents. Stages that send texts to Python keep the session's batches small.
 """
 
 from __future__ import annotations
@@ -18,13 +18,14 @@ from vectile.llm.pii import replace_entities
 from vectile.llm.queries import PII_KEY, tokenizer
 from vectile.llm.weak_labels import REJECT_FROM, score_documents, train
 from vectile.plans.registry import table
-from vectile.session import cut
+from vectile.session import cut, small_batches
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the scorer doesn't reject; null and empty texts go."""
+    small_batches(spark)
     model, _ = train(docs, table(spark, sf_dir, "labels"))
     return score_documents(docs, model, score_col="_score").where(F.col("_score") < REJECT_FROM).drop("_score")
 
@@ -34,6 +35,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are judged one by one: of rows that share an id, only the copies go, and rows without an id go before others.
     """
+    small_batches(spark)
     rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
     # ordered as a copy is chosen: least id, null last, then by content; the number tells equal rows apart
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*docs.columns).alias("content"), "_row")
@@ -55,6 +57,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 1024 tokens."""
+    small_batches(spark)
     return pack_documents(docs, tokenizer("byte_bpe_50k.json"), size=1024, end_id=0)
 
 

@@ -561,6 +561,43 @@ def test_classifier(spark, odd, none):
     train(odd, labels.limit(0))
 
 
+def test_features_take_bounded_memory(monkeypatch):
+    """A worker holds the arrays of a piece, not of a batch; each executor runs one for every core."""
+    import tracemalloc
+
+    from vectile.llm import weak_labels as L
+    from vectile.llm import words as W
+
+    monkeypatch.setattr(W, "_POWERS", {})
+    text = " ".join(f"word{k % 977} a{k % 13}" for k in range(250))
+    batch = pa.record_batch({"text": [f"{text} {k}" for k in range(3000)]})  # 7 MB
+    tracemalloc.start()
+    try:
+        rows = sum(len(L.features(part.column("text"))[2]) for part in W.pieces(batch, "text"))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 3000 and peak < 100 << 20
+
+
+def test_training_starts_no_other_workers(spark, docs, monkeypatch):
+    """Rows that the driver makes don't go through a second set of Python workers, whether Arrow is on or not."""
+    from vectile.llm.weak_labels import train
+
+    def refused(*args, **kwargs):
+        raise AssertionError("rows by way of an RDD")
+
+    key = "spark.sql.execution.arrow.pyspark.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refused)
+    try:
+        _, report = train(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"), rounds=1)
+    finally:
+        spark.conf.set(key, before)
+    assert len(report)
+
+
 def test_statistics_and_list(spark, docs, odd, none):
     from vectile.llm.decision_list import apply_rules
 

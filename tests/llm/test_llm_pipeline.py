@@ -38,6 +38,29 @@ def test_odd_rows(spark, odd, none):
     assert P.personal_data(spark, odd, SF).count() == odd.count()
 
 
+def test_texts_go_to_python_in_small_batches(spark, none):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline as P
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch({"n": pa.array([b.nbytes], pa.int64())})
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, docs = spark.conf.get(key), none.select("doc_id", "text", "lang", "source", "n_chars")
+    texts = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 4000).alias("text"))
+    try:
+        for stage in (P.quality, P.near_copies, P.packing):
+            spark.conf.set(key, str(64 << 20))
+            stage(spark, docs, SF)
+            got = [r["n"] for r in texts.mapInArrow(sizes, "n long").collect()]
+            assert max(got) < 6 << 20 and sum(got) >= 16_000_000
+    finally:
+        spark.conf.set(key, before)
+
+
 def brute_groups(texts, size=5, percent=80):
     """Least place of each text's group, linked by distinct word runs."""
     split = [re.sub(r"[A-Z]", lambda m: m[0].lower(), t or "") for t in texts]

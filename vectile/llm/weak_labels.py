@@ -216,7 +216,8 @@ def train(
         return nothing, pd.DataFrame(columns=["labeller", "says_bad_of_bad", "says_bad_of_good"])
     post, table, _ = fit_accuracies(found[cols].to_numpy(), found["n"].to_numpy(dtype=float))
     report = pd.DataFrame({"labeller": LABELLERS, "says_bad_of_bad": table[1, :, 2], "says_bad_of_good": table[0, :, 2]})
-    soft = F.broadcast(spark.createDataFrame(found[cols].assign(p=post)))
+    # as an Arrow table: from pandas, unless Arrow is switched on, every executor starts a second set of Python workers
+    soft = F.broadcast(spark.createDataFrame(pa.table({c: pa.array(found[c], pa.int32()) for c in cols} | {"p": pa.array(post)})))
     texts = seen.join(soft, cols).groupBy("key").agg(F.avg("p").alias("p"))  # copies teach once
     suspect = F.col("p") > 0.5
     order = F.xxhash64("key", F.lit(7))

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 4 << 20  # texts are worked on in pieces of about this size; one longer text is a piece of its own
+PIECE_BYTES = 1 << 20  # texts are worked on in pieces of about this size; one longer text is a piece of its own
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
