@@ -48,6 +48,15 @@ def test_long_spans_hash_alike(monkeypatch):
     assert (W.word_hashes(w) == h).all()
 
 
+def test_hashing_a_piece_keeps_few_powers(monkeypatch):
+    from vectile.llm import words as W
+
+    monkeypatch.setattr(W, "_POWERS", {})
+    w = W.words_of(pa.array(["abc def " * (W.PIECE_BYTES // 8)]))
+    W.word_hashes(w)
+    assert len(W._POWERS[0][0]) <= W.PIECE_BYTES // 4
+
+
 # op1 -----------------------------------------------------------------------------------------------------------------
 
 
@@ -375,6 +384,28 @@ def test_ids_are_the_librarys(name, fold):
     assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [x.ids for x in ref]
 
 
+def test_a_worker_keeps_few_stretches(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from vectile.llm import tokens
+    from vectile.llm.queries import tokenizer
+
+    asked, encoded = [], tokens._encoded
+    monkeypatch.setattr(tokens, "_encoded", lambda lib, texts: asked.append(len(texts)) or encoded(lib, texts))
+    monkeypatch.setattr(tokens, "KEEP", 300)
+    monkeypatch.setattr(tokens, "AT_ONCE", 64, raising=False)
+    texts = [f"it is number {i} of\nmany words{i % 40}, told again" for i in range(4000)]
+    name = "byte_bpe_50k.json"
+    ref = [x.ids for x in Tokenizer.from_file(tokenizer(name)).encode_batch(texts, add_special_tokens=False)]
+    encoder, held = tokens.Encoder(tokenizer(name)), []
+    for lo in range(0, 4000, 200):
+        ids, bounds = encoder.encode(pa.array(texts[lo : lo + 200]))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == ref[lo : lo + 200]
+        held.append(len(encoder.hashes))
+    assert max(held) <= 300 + 250 and max(asked) <= 64
+    assert sum(asked) < 4000 + 500  # what every part of the texts has is tokenized once, not after each time of forgetting
+
+
 @pytest.mark.parametrize("size", [1024, 16])
 def test_packing(docs, odd, none, size):
     from tokenizers import Tokenizer

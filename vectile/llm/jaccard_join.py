@@ -28,7 +28,7 @@ from vectile.session import cut
 
 GROW = 1.5  # sizes up to this factor share a way of dealing n-grams to parts
 CELLS = 24  # the table of common n-grams, sent to every task, has 2**24 bytes
-FLUSH = 1_000_000
+FLUSH = 500_000
 SEND_ROWS = 1_000_000
 GROUP_BYTES = 8 << 20
 REGION = 2_000  # texts of a region that one task joins, and their n-grams
@@ -162,7 +162,7 @@ def _common_grams(rows: DataFrame, size: int) -> np.ndarray:
             for part in W.pieces(batch, "text"):
                 held.append(_cells(gram_sets(part.column("text"), size)[1]))
                 many += len(held[-1])
-                if many > 2 * FLUSH:
+                if many > 4 * FLUSH:
                     yield again(held)
                     held, many = [], 0
         if held:

@@ -3,17 +3,21 @@
 A text is cut only where the pre-tokenizers of both vocabularies always end a token: before a single space that a
 visible character follows, between an ASCII letter and a following mark, and around a lone line break. Stretches
 are then tokenized apart from each other with the same ids as the whole text. A process keeps the stretches it has
-seen, up to a bound.
+seen, up to a bound; beyond it, those that were met again.
 """
 
 from __future__ import annotations
 
+import os
+from itertools import chain
+
 import numpy as np
 
 from vectile.llm import words as W
 
-KEEP = 2_000_000  # distinct stretches a process remembers
+KEEP = 800_000  # distinct stretches a process remembers, and those of one piece of text
 TOGETHER = 64  # plain words a call to the library takes as one text
+AT_ONCE = 4096  # stretches tokenized at once; the library's own result takes far more room than the ids
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -39,29 +43,48 @@ class Encoder:
 
     def _reset(self) -> None:
         self.hashes = np.zeros(0, dtype=np.uint64)
-        self.entry = np.zeros(0, dtype=np.int64)
+        self.entry = np.zeros(0, dtype=np.int32)
         self.offsets = np.zeros(1, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.uint32)
+        self.again = np.zeros(0, dtype=bool)
+
+    def _forget(self) -> None:
+        """Drops the stretches not met again since the last time; all, if that doesn't halve them."""
+        kept, entry = self.hashes[self.again], self.entry[self.again]
+        if 2 * len(kept) > KEEP:
+            return self._reset()
+        size = self.offsets[entry + 1] - self.offsets[entry]
+        self.ids = self.ids[W.ranges(self.offsets[entry], size)]
+        self.offsets = np.concatenate([[0], np.cumsum(size)])
+        self.hashes, self.entry = kept, np.arange(len(kept), dtype=np.int32)
+        self.again = np.zeros(len(kept), dtype=bool)
 
     def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
         if self._tokenizer is None:
+            # Spark's tasks share out the cores; threads of the library's own would each keep memory
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
             from tokenizers import Tokenizer
 
             self._tokenizer = Tokenizer.from_file(self.path)
-        found = _encoded(self._tokenizer, texts)
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        flat = np.fromiter((i for x in found for i in x), dtype=np.uint32, count=int(sizes.sum()))
-        new = len(self.offsets) - 1 + np.arange(len(found))
-        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
-        self.ids = np.concatenate([self.ids, flat])
+        sizes, flat = [], []
+        for lo in range(0, len(texts), AT_ONCE):
+            found = _encoded(self._tokenizer, texts[lo : lo + AT_ONCE])
+            sizes.append(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
+            flat.append(np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(sizes[-1].sum())))
+        new = (len(self.offsets) - 1 + np.arange(len(texts))).astype(np.int32)
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(np.concatenate(sizes))])
+        self.ids = np.concatenate([self.ids, *flat])
         at = np.searchsorted(self.hashes, hashes)
         self.hashes = np.insert(self.hashes, at, hashes)
         self.entry = np.insert(self.entry, at, new)
+        self.again = np.insert(self.again, at, False)
 
     def encode(self, col) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, bounds of each row); null and empty texts have none."""
-        if self._tokenizer is None or len(self.hashes) > KEEP:
+        if self._tokenizer is None:
             self._reset()
+        elif len(self.hashes) > KEEP:
+            self._forget()
         buf, rows = W.flat(col)
         if self.fold and b"<|" not in buf.tobytes():
             plain = np.ones(len(buf), dtype=bool)  # a letter before a combining mark is left to the library
@@ -74,6 +97,7 @@ class Encoder:
         hashes, first, back = np.unique(W.span_hashes(buf, start, end), return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
         new = self.hashes[at] != hashes if len(self.hashes) else np.ones(len(hashes), dtype=bool)
+        self.again[at[~new]] = True
         if new.any():
             data = buf.tobytes()
             texts = [data[s:e].decode("utf-8", "replace") for s, e in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)]

@@ -103,11 +103,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span; spans are in order and don't overlap."""
+    """A 64-bit hash of the bytes of each span; spans are in order and don't overlap.
+
+    Taken in parts of a quarter piece: the powers and sums of a part have eight bytes for each of its own.
+    """
     out = np.empty(len(start), dtype=np.uint64)
     lo = 0
     while lo < len(start):
-        hi = max(lo + 1, int(np.searchsorted(end, start[lo] + PIECE_BYTES, side="right")))
+        hi = max(lo + 1, int(np.searchsorted(end, start[lo] + PIECE_BYTES // 4 - 1, side="right")))
         s, e, at = start[lo:hi], end[lo:hi], start[lo]
         part = buf[at : e[-1]]
         up, down = powers(len(part) + 1, which)
