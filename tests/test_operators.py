@@ -799,3 +799,20 @@ def test_text_run_of_no_rows(spark):
     none = text_frame(spark).where("key < 0")
     run = TextRun(none, RunConfig("butina", reduction=None), descriptor="fingerprint", id_col="key", text_col="body")
     assert run.cluster()[0].count() == 0
+
+
+# -- sizes ---------------------------------------------------------------------------------------
+
+
+def test_fingerprints_are_hashed_many_at_once(spark):
+    """Equal to the column expression, whatever the length of an n-gram (a block of md5 ends at 55 bytes)."""
+    from vectile.functions import text as tx
+
+    texts = ["", " ", "a", "b  a\tB a", "x" * 54 + " y", "x" * 55, "É ü ñ 漢字 a b", "b" * 60 + " c d e " + "z" * 11, None, "a b a b a b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    for radius, n_bits in ((2, 1 << 18), (0, 64), (3, 97)):
+        got = {r["id"]: (r["bits"], r["n_on"]) for r in tx.fingerprint(df, "id", "text", radius=radius, n_bits=n_bits).collect()}
+        want = df.where("text IS NOT NULL").select("id", tx.fingerprint_bits(F.col("text"), radius=radius, n_bits=n_bits).alias("b")).collect()
+        assert got == {r["id"]: (r["b"], len(r["b"])) for r in want}
+    plan = tx.fingerprint(df, "id", "text")._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "md5" not in plan
