@@ -816,3 +816,15 @@ def test_fingerprints_are_hashed_many_at_once(spark):
         assert got == {r["id"]: (r["b"], len(r["b"])) for r in want}
     plan = tx.fingerprint(df, "id", "text")._jdf.queryExecution().toString()
     assert "MapInArrow" in plan and "md5" not in plan
+
+
+def test_set_join_shuffles_no_pairs(spark, monkeypatch):
+    """Sets that share common bits only leave nothing behind on disk, and no shuffle grows with their number."""
+    monkeypatch.setattr(st, "HOT_ROWS", 50)
+    rows = [(i, sorted({*range(20), *(int(x) for x in RNG.choice(1 << 12, 40))})) for i in range(300)]
+    sets, members = st.distinct_sets(spark.createDataFrame(rows, "id long, bits array<int>"), "id")
+    joined = st.tanimoto_join(sets, 0.6, n_bits=1 << 12)
+    assert joined.count() == 0 and members.count() == 300
+    assert "Exchange" not in joined._jdf.queryExecution().toString()
+    r = sets.orderBy("id").first()
+    assert st.unpack(r["bits"], r["n"]).tolist() == rows[0][1]
