@@ -828,3 +828,14 @@ def test_set_join_shuffles_no_pairs(spark, monkeypatch):
     assert "Exchange" not in joined._jdf.queryExecution().toString()
     r = sets.orderBy("id").first()
     assert st.unpack(r["bits"], r["n"]).tolist() == rows[0][1]
+
+
+def test_label_scores_make_no_vectors(spark, monkeypatch):
+    """Scores that read labels alone don't write out the vectors of sets, which are as wide as the bits."""
+    from vectile.plans import clustering as runs
+
+    written = []
+    monkeypatch.setattr(runs, "cut", lambda df, real=runs.cut: written.append(df.columns) or real(df))
+    run = text_run(spark, RunConfig("butina", {"threshold": 0.8}, metrics=["adjusted-rand-index"]), descriptor="fingerprint", descriptor_params={"n_bits": 512})
+    assert [r["metric"] for r in run.run()[1].collect()] == ["adjusted-rand-index"]
+    assert all("vector" not in columns for columns in written)
