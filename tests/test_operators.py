@@ -839,3 +839,38 @@ def test_label_scores_make_no_vectors(spark, monkeypatch):
     run = text_run(spark, RunConfig("butina", {"threshold": 0.8}, metrics=["adjusted-rand-index"]), descriptor="fingerprint", descriptor_params={"n_bits": 512})
     assert [r["metric"] for r in run.run()[1].collect()] == ["adjusted-rand-index"]
     assert all("vector" not in columns for columns in written)
+
+
+def test_measures_are_taken_where_pairs_are_found(spark):
+    """The named distances and weights of a pair come from its block, as the expressions give them, and no pair is joined."""
+    from vectile.functions import vectors as vx
+
+    x = np.round(RNG.normal(0, 1, (60, 5)), 1)
+    x[0], x[1], x[2] = 0.0, 2.0, 0.0  # no length; no variance
+    x[2, 0] = 1.0
+    df = spark.createDataFrame([(i, v.tolist(), i % 3 + 1) for i, v in enumerate(x)], "id long, v array<double>, copies long")
+    found = pr.similarity_join(df, "id", "v", 2.5, weight="copies", measures=vx.METRICS)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString().replace("Join Inner, (block", "")
+    a, b = df.toDF("i", "a", "ci"), df.toDF("j", "b", "cj")
+    want = a.join(b, F.col("i") < F.col("j")).select(
+        "i", "j", (F.col("ci") * F.col("cj")).alias("n_pairs"), *[vx.distance(m, F.col("a"), F.col("b")).alias(m) for m in vx.METRICS]
+    ).where("euclidean <= 2.5")
+    rows = lambda d: {(r["i"], r["j"]): [r["n_pairs"], *(r[m] for m in vx.METRICS)] for r in d.collect()}
+    got, want = rows(found), rows(want)
+    assert got.keys() == want.keys() and any(None in v for v in want.values())
+    for k, v in want.items():
+        assert [y is None for y in got[k]] == [y is None for y in v]
+        assert [y for y in got[k] if y is not None] == pytest.approx([y for y in v if y is not None], abs=1e-9)
+
+
+def test_long_tables_travel_in_few_blocks(spark, monkeypatch):
+    """A long block is compared in parts; its rows go to as many tasks as there are blocks, not parts."""
+    monkeypatch.setattr(blocks, "MAX_BLOCK_ROWS", 64)
+    monkeypatch.setattr(blocks, "SHARES", 4)
+    x = RNG.normal(0, 1, (1200, 3)).astype("float32")
+    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "id long, v array<float>")
+    tiles = tile(df, "id", "v", n_cells=1)
+    assert sum(c.blocks for c in tiles.cells) == 4 and dict(tiles.points.dtypes)["vec"] == "array<float>"
+    d = pairwise("euclidean", x.astype(float), x.astype(float))
+    i, j = np.nonzero(np.triu(d <= 0.3, 1))
+    assert {(r["i"], r["j"]) for r in pr.pairs_within(tiles, 0.3).collect()} == set(zip(i.tolist(), j.tolist()))

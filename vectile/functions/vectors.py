@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,6 +54,36 @@ def distance(metric: str, a: Column, b: Column, *, p: float = 3.0) -> Column:
     raise ValueError(f"{metric} should be within {METRICS}")
 
 
+def _ratio(up: np.ndarray, down: np.ndarray) -> np.ndarray:
+    """Null (NaN) where there is nothing to divide by, as ``try_divide`` gives."""
+    return np.divide(up, down, out=np.full(np.shape(up), np.nan), where=down != 0)
+
+
+def distances_of(metrics: Sequence[str], a: np.ndarray, b: np.ndarray, *, p: float = 3.0) -> dict[str, np.ndarray]:
+    """What ``distance`` gives, for the aligned rows of two arrays; NaN stands for null."""
+    gap, up = a - b, np.abs(a - b)
+    squares, apart = (gap * gap).sum(1), a != b
+    either = (a != 0) | (b != 0)
+    n, sa, sb, ab = a.shape[1], a.sum(1), b.sum(1), (a * b).sum(1)
+    aa, bb = (a * a).sum(1), (b * b).sum(1)
+    size = np.abs(a) + np.abs(b)
+    made = {
+        "euclidean": lambda: np.sqrt(squares),
+        "sqeuclidean": lambda: squares,
+        "cityblock": lambda: up.sum(1),
+        "chebyshev": lambda: up.max(1),
+        "minkowski": lambda: (up**p).sum(1) ** (1.0 / p),
+        "cosine": lambda: 1.0 - _ratio(ab, np.sqrt(aa * bb)),
+        "correlation": lambda: 1.0 - _ratio(ab - sa * sb / n, np.sqrt((aa - sa * sa / n) * (bb - sb * sb / n))),
+        "hamming": lambda: apart.sum(1) / n,
+        "jaccard": lambda: np.nan_to_num(_ratio((apart & either).sum(1).astype(float), either.sum(1).astype(float))),
+        "canberra": lambda: np.divide(up, size, out=np.zeros_like(up), where=size != 0).sum(1),
+        "braycurtis": lambda: _ratio(up.sum(1), np.abs(a + b).sum(1)),
+    }
+    with np.errstate(invalid="ignore"):
+        return {m: made[m]() for m in metrics}
+
+
 METRICS = (
     "euclidean", "sqeuclidean", "cityblock", "chebyshev", "minkowski", "cosine", "correlation", "hamming", "jaccard",
     "canberra", "braycurtis",

@@ -195,7 +195,7 @@ def silhouette_samples(df: DataFrame, id_col: str, vec: str, cluster: str) -> Da
             yield from one_way(x[0]["id"].to_numpy(), x[0]["c"].to_numpy(), x[1], y[0], y[1], same)
 
     schema = "id long, mine boolean, other long, size double, total double, least double"
-    parts = map_block_pairs(placed, block_pairs(Tiles(placed, (cell,), None, "euclidean", 3.0), [(cell, cell)]), run, schema)
+    parts = map_block_pairs(placed, block_pairs(Tiles(placed, (cell,), None, "euclidean", 3.0), [(cell, cell)]), run, schema, split=False)
     nn = lambda c: F.when(~F.isnan(c), F.col(c))
     per = parts.groupBy("id", "mine", "other").agg(
         F.sum(nn("total")).alias("total"), F.max(nn("size")).alias("size"), F.min(nn("least")).alias("least")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectile.operators.blocks import TILE, Tiles, block_pairs, exact_pairs, map_block_pairs, pairwise, tile
+from vectile.functions import vectors as vx
+from vectile.operators.blocks import EXACT_VALUES, TILE, Tiles, block_pairs, exact_pairs, map_block_pairs, pairwise, tile
 
 SLACK = 1e-7  # the matrix form of a distance may be off by this much; candidates are then measured exactly
 
@@ -28,8 +29,12 @@ def collapse_copies(df: DataFrame, id_col: str, key_col: str) -> tuple[DataFrame
     return reps.select(F.col("rep").alias("id"), key_col, "copies"), members
 
 
-def pairs_within(tiles: Tiles, radius: float) -> DataFrame:
-    """(i, j, d) with i < j and d <= radius, each pair once."""
+def pairs_within(tiles: Tiles, radius: float, *, weight: str | None = None, measures: Sequence[str] = ()) -> DataFrame:
+    """(i, j, d) with i < j and d <= radius, each pair once.
+
+    With ``weight``, an extra column of the tiles, pairs carry the product of their weights as ``n_pairs``; with
+    ``measures`` also the named distances. Both are made where the vectors are, so that no pair has to be joined with them.
+    """
     metric, p = tiles.metric, tiles.p
     slack = SLACK * max(1.0, abs(radius))
 
@@ -44,22 +49,41 @@ def pairs_within(tiles: Tiles, radius: float) -> DataFrame:
                 x, y = x[keep], y[keep]
             d = exact_pairs(metric, part, x, b, y, p)
             keep = d <= radius
-            i, j, d = ia[s + x[keep]], ib[y[keep]], d[keep]
-            yield pd.DataFrame({"i": np.minimum(i, j), "j": np.maximum(i, j), "d": d})
+            x, y, d = x[keep], y[keep], d[keep]
+            i, j = ia[s + x], ib[y]
+            found = {"i": np.minimum(i, j), "j": np.maximum(i, j), "d": d}
+            if weight:
+                found["n_pairs"] = la[weight].to_numpy()[s + x] * lb[weight].to_numpy()[y]
+            step = max(1, EXACT_VALUES // max(a.shape[1], 1)) if measures else max(1, len(d))
+            for t in range(0, len(d), step):
+                z = slice(t, t + step)
+                more = vx.distances_of(measures, part[x[z]], b[y[z]], p=p) if measures else {}
+                yield pd.DataFrame({k: v[z] for k, v in found.items()} | more)
 
     space_radius = np.sqrt(radius) if metric == "sqeuclidean" else radius
     pairs = block_pairs(tiles, tiles.near_cells(space_radius))
-    return map_block_pairs(tiles.points, pairs, close, "i long, j long, d double")
+    schema = "i long, j long, d double" + (", n_pairs long" if weight else "") + "".join(f", `{m}` double" for m in measures)
+    return map_block_pairs(tiles.points, pairs, close, schema)
 
 
 def similarity_join(
-    df: DataFrame, id_col: str, vec_col: str, radius: float, *, metric: str = "euclidean", p: float = 3.0
+    df: DataFrame, id_col: str, vec_col: str, radius: float, *, metric: str = "euclidean", p: float = 3.0,
+    weight: str | None = None, measures: Sequence[str] = (),
 ) -> DataFrame:
     """All pairs of rows within ``radius``, i < j.
 
     Rows that may repeat go through ``collapse_copies`` first, or every pair of copies is a result.
     """
-    return pairs_within(tile(df, id_col, vec_col, metric=metric, p=p), radius)
+    tiles = tile(df, id_col, vec_col, metric=metric, p=p, extra=[weight] if weight else [])
+    return pairs_within(tiles, radius, weight=weight, measures=measures)
+
+
+def pairs_of_copies(reps: DataFrame, *more: Column) -> DataFrame:
+    """(id, id, 0, n_pairs, ...): a row for the pairs within each group of copies."""
+    n = F.col("copies")
+    return reps.where(n > 1).select(
+        F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("d"), (n * (n - 1) / 2).cast("bigint").alias("n_pairs"), *more
+    )
 
 
 def weighted_pairs(edges: DataFrame, reps: DataFrame) -> DataFrame:
@@ -68,12 +92,12 @@ def weighted_pairs(edges: DataFrame, reps: DataFrame) -> DataFrame:
     A group of copies adds one row (id, id, 0) for the pairs within it, so that nothing is lost and no group of
     copies is written out as all its pairs. ``reps`` and its members come from ``collapse_copies``.
     """
+    if "n_pairs" in edges.columns:  # weighed where they were found
+        return edges.unionByName(pairs_of_copies(reps))
     copies = reps.select("id", "copies")
     ends = edges.join(copies.toDF("i", "ci"), "i").join(copies.toDF("j", "cj"), "j")
     across = ends.select("i", "j", "d", (F.col("ci") * F.col("cj")).alias("n_pairs"))
-    n = F.col("copies")
-    own = reps.where(n > 1).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("d"), (n * (n - 1) / 2).cast("bigint").alias("n_pairs"))
-    return across.unionByName(own)
+    return across.unionByName(pairs_of_copies(reps))
 
 
 def both_ways(edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:

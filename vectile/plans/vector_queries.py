@@ -43,7 +43,7 @@ def edges_of(spark, sf, radius=RADIUS):
 def weighed(spark, sf, radius=RADIUS, **options):
     """(i, j, d, n_pairs): see ``pairs.weighted_pairs``."""
     reps = cut(distinct_vectors(spark, sf))
-    return pr.weighted_pairs(pr.similarity_join(reps, "id", "embedding", radius, **options), reps)
+    return pr.weighted_pairs(pr.similarity_join(reps, "id", "embedding", radius, weight="copies", **options), reps)
 
 
 @query(
@@ -115,11 +115,11 @@ METRIC_SQL = {
         SELECT i, j, n_pairs, {', '.join(f'round({e}, 6) AS {m}' for m, e in METRIC_SQL.items())} FROM z""",
 )
 def distance_metrics(spark, sf):
-    v = cut(distinct_vectors(spark, sf)).select("id", F.col("embedding").cast("array<double>").alias("v"))
-    both = weighed(spark, sf).select("i", "j", "n_pairs").join(v.toDF("i", "a"), "i").join(v.toDF("j", "b"), "j")
-    return both.select(
-        "i", "j", "n_pairs", *[F.round(vx.distance(m, F.col("a"), F.col("b")), 6).alias(m) for m in vx.METRICS]
-    )
+    reps = cut(distinct_vectors(spark, sf))
+    across = pr.similarity_join(reps, "id", "embedding", RADIUS, weight="copies", measures=vx.METRICS)
+    v = F.col("embedding").cast("array<double>")
+    own = pr.pairs_of_copies(reps, *[vx.distance(m, v, v).alias(m) for m in vx.METRICS])
+    return across.unionByName(own).select("i", "j", "n_pairs", *[F.round(m, 6).alias(m) for m in vx.METRICS])
 
 
 KNN_SQL = f"""{E_SQL}, n AS (SELECT a.id AS i, b.id AS j, list_distance(a.v, b.v) AS d FROM e a JOIN e b ON a.id <> b.id),
