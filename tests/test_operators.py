@@ -874,3 +874,22 @@ def test_long_tables_travel_in_few_blocks(spark, monkeypatch):
     d = pairwise("euclidean", x.astype(float), x.astype(float))
     i, j = np.nonzero(np.triu(d <= 0.3, 1))
     assert {(r["i"], r["j"]) for r in pr.pairs_within(tiles, 0.3).collect()} == set(zip(i.tolist(), j.tolist()))
+
+
+@pytest.mark.parametrize("many", [1_000_000, 0])
+def test_provenance_sums_without_a_shuffle_of_grams(spark, many, monkeypatch):
+    """The sums equal a grouping of the n-gram rows, with repeated and null ids; texts of one id alone are not shuffled."""
+    from vectile.functions import text as tx
+
+    monkeypatch.setattr(tx, "MANY_IDS", many)
+    texts = ["a b a b c", "b a b a b", "", "É é x", None, "one two  three\ttwo", "a b", "z " * 70 + "end", "end"]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(0, "c b a"), (None, "n u"), (None, "u n"), (5, "one two  three\ttwo")]
+    df = spark.createDataFrame(rows, "id long, text string").coalesce(2)
+    for n_bits in (1 << 18, 8):
+        want = tx.fingerprint_provenance(df, "id", "text", n_bits=n_bits).groupBy("id", "bit").agg(
+            F.count(F.lit(1)).alias("n_grams"), F.min("gram").alias("first_gram")
+        )
+        got = tx.fingerprint_provenance(df, "id", "text", n_bits=n_bits, summed=True)
+        assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+    once = tx.fingerprint_provenance(df.where("id NOT IN (0, 5)"), "id", "text", summed=True)
+    assert "Exchange hashpartitioning" not in once._jdf.queryExecution().toString() and once.count() > 0
