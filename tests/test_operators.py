@@ -893,3 +893,35 @@ def test_provenance_sums_without_a_shuffle_of_grams(spark, many, monkeypatch):
         assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
     once = tx.fingerprint_provenance(df.where("id NOT IN (0, 5)"), "id", "text", summed=True)
     assert "Exchange hashpartitioning" not in once._jdf.queryExecution().toString() and once.count() > 0
+
+
+@pytest.mark.parametrize("near", [1, 16])
+def test_spanning_tree_searches_only_uncertain_rows(spark, near, monkeypatch):
+    """With nearest rows known the tree is the one of all pairs, ties by ids included, and fewer rows are compared."""
+    asked = []
+    whole = de.map_block_pairs
+    monkeypatch.setattr(de, "map_block_pairs", lambda points, *a, **k: asked.append(points.where("ask").count()) or whole(points, *a, **k))
+    monkeypatch.setattr(de, "NEAR", near)
+    x = np.round(np.concatenate([BLOBS, BLOBS[:20]]), 1)  # copies and equal distances
+    df = frame(spark, x)
+    for samples in (1, 4):
+        asked.clear()
+        tiles = de.reachability_tiles(df, "id", "v", min_samples=samples)
+        got = {(r["i"], r["j"]): r["w"] for r in de.spanning_tree(tiles).collect()}
+        d = pairwise("euclidean", x, x)
+        exact = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        core = np.sort(exact, 1)[:, samples - 1]
+        w = np.maximum(exact, np.maximum(core[:, None], core[None]))
+        root, want = list(range(len(x))), {}
+
+        def top(k):
+            while root[k] != k:
+                k = root[k]
+            return k
+
+        for a, b in sorted(zip(*np.triu_indices(len(d), 1)), key=lambda e: (w[e], *e)):
+            if (ra := top(a)) != (rb := top(b)):
+                root[ra] = rb
+                want[int(a), int(b)] = w[a, b]
+        assert got == pytest.approx(want)
+        assert near < 16 or sum(asked) < len(x)
